@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, line_dedup, media_jpeg, piece_codec, quality_crf, toxicity, url_filter
+from lodestone.llm import exact_dedup, jaccard_join, line_dedup, media_jpeg, piece_codec, quality_crf, toxicity, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_media_jpeg": media_jpeg.op7_media_jpeg,
     "op8_sentencepiece": piece_codec.op8_sentencepiece,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
