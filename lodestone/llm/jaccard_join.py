@@ -278,5 +278,12 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", name: str = "near") -> DataFrame:
+    """The rows of df, with all columns, whose id is the smallest of its component; rows that share that id all stay, and so do rows without an id."""
+    found = jaccard_join(df, width, percent, id_col, text_col, name)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90)

@@ -54,23 +54,22 @@ def line_bitmaps(
     """Per document that loses lines: doc_id, drops array<struct<pos, h2>>, sorted.
 
     mode "all": keys found in min_docs documents at least lose all their lines.
-    mode "first": of the lines with one key, the first in order of document and position stays.
+    mode "first": of the lines with such a key, the first in order of document and position stays; with min_docs=1, repeats inside one document count too.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     keys = docs.select("doc_id", line_keys(F.col("t")).alias("keys"))
     lines = keys.select("doc_id", F.posexplode("keys").alias("pos", "key")).where(F.char_length("key") >= min_chars)
     lines = lines.select("doc_id", "pos", *_hashes(F.col("key")))
-    if mode == "all":
-        once = keys.select(F.explode(F.array_distinct("keys")).alias("key")).where(F.char_length("key") >= min_chars)
-        bad = once.select(*_hashes(F.col("key"))).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-        bad = bad.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-        hits = lines.join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi")
+    if mode == "first" and min_docs < 2:
+        counted = lines
     else:
-        first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-        first = first.where("n > 1").select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "first")
-        hits = lines.join(first, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).where(
-            ~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
-        )
+        counted = keys.select(F.explode(F.array_distinct("keys")).alias("key")).where(F.char_length("key") >= min_chars).select(*_hashes(F.col("key")))
+    bad = counted.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(min_docs, 2 if mode == "first" else 1))
+    bad = bad.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    hits = lines.join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi")
+    if mode == "first":
+        first = hits.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
+        hits = hits.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h2"))).alias("drops"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, jaccard_join, line_dedup, media_jpeg, piece_codec, quality_crf, suffix_dedup, toxicity, url_filter
+from lodestone.llm import exact_dedup, jaccard_join, line_dedup, media_jpeg, packing, piece_codec, quality_crf, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality_crf": quality_crf.op3_quality_crf,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_media_jpeg": media_jpeg.op7_media_jpeg,
     "op8_sentencepiece": piece_codec.op8_sentencepiece,

@@ -196,6 +196,22 @@ def score(df: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def drop_toxic(df: DataFrame, model: SubwordModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all columns, whose text scores below threshold."""
+    shared = df.sparkSession.sparkContext.broadcast(model.scorer())
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        scorer = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                clean = scorer.scores([x or "" for x in part.column(at).to_pylist()]) < threshold
+                yield part.filter(pa.array(clean))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs, fit(docs, labels))
