@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 SAMPLE = 5000
 #: Words whose numbers a worker keeps.
 CACHE_ENTRIES = 400_000
+#: Words whose n-grams are hashed at a time.
+PART = 20_000
 
 
 @dataclass(frozen=True)
@@ -126,12 +128,22 @@ class SubwordModel:
 
 def _bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text its buckets, and the share of its vector that each has."""
-    lists = [words_of(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
-    keys, bounds = subwords(list(vocabulary), s)
+    vocabulary: dict[str, int] = {}
+    lists = []
+    for t in texts:
+        counts = Counter(words_of(t))
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in counts], np.int32)
+        lists.append((ids, np.fromiter(counts.values(), np.int32, len(counts))))
+    names, found = list(vocabulary), []
+    for at in range(0, len(names), PART):
+        keys, bounds = subwords(names[at : at + PART], s)
+        found.append((keys.astype(np.int32), np.diff(bounds)))
+    keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int32)
+    bounds = np.concatenate([[0], *(np.cumsum(n) for _, n in found)]).astype(np.int64)
+    for i in range(1, len(found)):
+        bounds[1 + i * PART :] += len(found[i - 1][0])
     out = []
-    for ws in lists:
-        ids, counts = np.unique(np.array([vocabulary[w] for w in ws], np.int64), return_counts=True)
+    for ids, counts in lists:
         shares = np.sqrt(counts) / (np.sqrt(counts).sum() + s.padding)
         sizes = bounds[ids + 1] - bounds[ids]
         at = np.repeat(bounds[ids] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(ids) else np.zeros(0, np.int64)
@@ -162,8 +174,8 @@ class WordScores(dict):
         if len(self) > CACHE_ENTRIES:
             self.clear()
         new = list({w for ws in lists for w in ws if w not in self})
-        for at in range(0, len(new), 50_000):
-            self.learn(new[at : at + 50_000])
+        for at in range(0, len(new), PART):
+            self.learn(new[at : at + PART])
         get, logits = self.__getitem__, np.full(len(texts), self.bias)
         for i, ws in enumerate(lists):
             if ws:
