@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Which rows of the operator inventory a query covers.
+COVERS: dict[str, str] = {}
 FLAGSHIP = "rule_distribution"
+
+
+def query(covers: str, sql: str | None = None):
+    """Registers a function of (tables) under its name; tables(name) reads a table."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        QUERIES[f.__name__] = run
+        COVERS[f.__name__] = covers
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+for _name in ("text_queries", "rule_queries", "relational_queries", "split_queries", "judgement_queries", "vector_queries"):
+    importlib.import_module(f"lodestone.plans.{_name}")
