@@ -397,9 +397,9 @@ def _united(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 def _applied(df: DataFrame, width: int, id_col: str, text_col: str, name: str, hot: int, added: list[tuple[str, pa.DataType, T.DataType]], row, only: list[str] | None = None) -> DataFrame:
     """df with its text replaced by what row(bytes, spans) returns; null texts count as empty."""
-    spans = repeat_spans(df, width, id_col, text_col, name, hot).groupBy("rid").agg(F.collect_list(F.struct("b", "e")).alias("__spans"))
+    spans = repeat_spans(df, width, id_col, text_col, name, hot).groupBy(F.col("rid").alias("__r")).agg(F.collect_list(F.struct("b", "e")).alias("__spans"))
     base = _named(df if only is None else df.select(*only, text_col), id_col, text_col)
-    joined = _packed(base, text_col).join(spans, F.col("__rid") == F.col("rid"), "left").drop("rid", "__rid")
+    joined = _packed(base, text_col).join(spans, F.col("__rid") == F.col("__r"), "left").drop("__r", "__rid")
     kept = [f for f in joined.schema.fields if f.name not in ("__z", "__spans")]
 
     def run(batches):
