@@ -228,6 +228,37 @@ ROLE_SWAPS = [
     (r"(\w+) has a duty to (\w+) (\w+)", "$3 has a duty to $2 $1"),
 ]
 
+# Characters of the positional rules for classical Chinese.
+CHINESE = {
+    "particles": "之者所於以為被見使令",
+    "passive": "被見",
+    "causative": "使令",
+    "negation": "不非無未毋弗莫勿",
+    "nominals": "君臣民人子父母者",
+    "final": "也矣焉乎哉",
+    "modals": {"必": "OBLIGATION", "須": "OBLIGATION", "當": "OBLIGATION", "應": "OBLIGATION", "宜": "OBLIGATION", "可": "LIBERTY", "得": "LIBERTY", "許": "LIBERTY", "勿": None, "莫": None, "禁": None, "不可": None},
+    "predicates": {
+        "殺": "HARM_PREVENTION",
+        "害": "HARM_PREVENTION",
+        "傷": "HARM_PREVENTION",
+        "救": "CARE",
+        "護": "CARE",
+        "衛": "CARE",
+        "愛": "CARE",
+        "命": "AUTHORITY",
+        "治": "AUTHORITY",
+        "孝": "FAMILY",
+        "悌": "FAMILY",
+        "義": "FAIRNESS",
+        "正": "FAIRNESS",
+        "公": "FAIRNESS",
+        "報": "RECIPROCITY",
+        "還": "RECIPROCITY",
+        "償": "RECIPROCITY",
+        "仁": "CARE",
+    },
+}
+
 #: A lexicon of words that the synthetic tables hold, for queries whose results shouldn't be empty.
 SAMPLE_CLASSES = {"HARM": ["the", "this"], "CARE": ["of", "with"], "DUTY": ["and", "to"], "PROPERTY": ["in", "that"], "FAMILY": ["he", "you"]}
 SAMPLE_LEXICON = {k: [rf"\b({'|'.join(v)})\b"] for k, v in SAMPLE_CLASSES.items()}

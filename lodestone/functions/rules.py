@@ -198,3 +198,47 @@ def role_capture(text: Column) -> Column:
     agent = F.when(text.rlike(r"^I should"), "I").otherwise(F.nullif(F.regexp_extract(text, r"^(\w+) must", 1), F.lit("")))
     whom = F.lower(F.regexp_extract(text, r"(?i)help (\w+)", 1))
     return F.struct(agent.alias("agent"), F.when((whom != "") & ~whom.isin("the", "a", "an", "to", "with"), whom).alias("patient"))
+
+
+def _neighbours(chars: Column, skip: str, stop: str, nominals: str, forward: bool) -> Column:
+    """Characters next to a predicate, nearest first, joined in the order of the text: at most two, none of `skip`; a nominal is the last, a `stop` ends before itself."""
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
+
+    def step(s: Column, c: Column) -> Column:
+        ends = F.contains(F.lit(stop), c) if stop else F.lit(False)
+        take = ~s["done"] & ~ends & ~F.contains(F.lit(skip), c)
+        text = F.when(take, F.concat(s["text"], c) if forward else F.concat(c, s["text"])).otherwise(s["text"])
+        done = s["done"] | ends | (take & (F.contains(F.lit(nominals), c) | (F.char_length(text) >= 2)))
+        return F.struct(text.alias("text"), done.alias("done"))
+
+    return F.nullif(F.aggregate(chars, start, step, lambda s: s["text"]), F.lit(""))
+
+
+def positional(text: Column, c: dict = L.CHINESE) -> Column:
+    """struct<bond_type, state, modal, negated, passive, causative, agent, patient, confidence> by the positions of single characters.
+
+    The first predicate of the text has its agent within three characters before and its patient within three after; in a passive text it is the other
+    way round. Modals that forbid have no state here.
+    """
+    chars = F.split(text, "")
+    at = F.regexp_instr(text, F.lit(f"[{''.join(c['predicates'])}]"))
+    predicate = F.create_map(*[F.lit(x) for kv in c["predicates"].items() for x in kv])
+    modal_ = F.coalesce(*[F.when(F.contains(text, F.lit(m)), F.struct(F.lit(m).alias("word"), F.lit(s).cast("string").alias("state"))) for m, s in c["modals"].items()])
+    passive, causative = text.rlike(f"[{c['passive']}]"), text.rlike(f"[{c['causative']}]")
+    single = "".join(m for m in c["modals"] if len(m) == 1)
+    left = F.reverse(F.slice(chars, F.greatest(F.lit(1), at - 3), F.least(at - 1, F.lit(3))))
+    before = F.when(at > 1, _neighbours(left, c["particles"] + c["negation"] + single, "", c["nominals"], False))
+    after = F.when(at > 0, _neighbours(F.slice(chars, F.greatest(at + 1, F.lit(1)), F.lit(3)), c["particles"], c["final"], c["nominals"], True))
+    type_ = F.when(at > 0, predicate[F.substring(text, at, F.lit(1))])
+    confidence = 0.5 + F.when(type_.isNotNull(), 0.2).otherwise(0.0) + F.when(before.isNotNull() | after.isNotNull(), 0.1).otherwise(0.0) + F.when(modal_.isNotNull(), 0.1).otherwise(0.0)
+    return F.struct(
+        type_.alias("bond_type"),
+        modal_["state"].alias("state"),
+        modal_["word"].alias("modal"),
+        text.rlike(f"[{c['negation']}]").alias("negated"),
+        passive.alias("passive"),
+        causative.alias("causative"),
+        F.when(passive, after).otherwise(before).alias("agent"),
+        F.when(passive, before).otherwise(after).alias("patient"),
+        F.round(confidence, 6).alias("confidence"),
+    )
