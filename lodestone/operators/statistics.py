@@ -32,13 +32,28 @@ def effect_size(samples: DataFrame) -> DataFrame:
     return samples.select("*", ((m1 - m2) / F.nullif(pooled, F.lit(0.0))).alias("cohens_d"), ((m1 - m2) / F.sqrt(s2 * (1 / n1 + 1 / n2))).alias("t"), (m1 / F.nullif(m2, F.lit(0.0))).alias("ratio"))
 
 
+def running_total(df: DataFrame, order: str, value: Column, name: str, buckets: int = 256) -> DataFrame:
+    """The sum of value over all rows before the row, in order of a number; equal numbers must be one row.
+
+    Rows are parted by approximate quantiles; sums run inside a part, and the totals of the parts before are added, so no task sees all rows.
+    """
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = df.agg(F.percentile_approx(order, shares).alias("__bounds"))
+    parted = df.crossJoin(F.broadcast(bounds)).withColumn("__p", F.size(F.filter("__bounds", lambda b: b < F.col(order)))).drop("__bounds").withColumn("__v", value)
+    totals = parted.groupBy("__p").agg(F.sum("__v").alias("__t"))
+    # At most as many rows as parts.
+    before = totals.select(F.col("__p").alias("__q"), (F.sum("__t").over(W.orderBy("__p")) - F.col("__t")).alias("__before"))
+    inside = parted.withColumn("__r", F.sum("__v").over(W.partitionBy("__p").orderBy(order)) - F.col("__v"))
+    return inside.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__q", "__v", "__r", "__before")
+
+
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     """U of the first sample with average ranks, and the one-sided p (greater) by the normal approximation with ties.
 
     Ranks come from counts by value, so equal values meet in one row; the running sum goes over distinct values.
     """
     by = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
-    run = by.withColumn("before", F.sum(F.col("a") + F.col("b")).over(W.orderBy(value)) - F.col("a") - F.col("b"))
+    run = running_total(by, value, F.col("a") + F.col("b"), "before")
     t = F.col("a") + F.col("b")
     rank = F.col("before") + (t + 1) / 2
     out = run.agg(F.sum(F.col("a") * rank).alias("r1"), F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(t * t * t - t).alias("ties"))
