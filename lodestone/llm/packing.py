@@ -11,6 +11,7 @@ Token ids cross the network once, compressed. What goes to the driver is a docum
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,13 +30,32 @@ END = 2
 #: Tokens of a shard, about.
 SHARD = 1 << 20
 K1, B = 1.2, 0.75
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Texts are cut at these: white space for any tokenizer that this module accepts.
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 
 
+# The normaliser and the split of a tokenizer whose words can be told without it.
+_NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same split for texts of printable ASCII and Latin letters, in lower case; all of these are in NFC.
+_SIMPLE = re.compile("[\n\t\r -~À-ÖØ-öø-ſ]*")
+_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \n\t\ra-z0-9ß-öø-ſ]+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character for each byte in byte-level BPE: itself where it is one, else one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class ChunkIds(dict):
-    """Chunk of a text -> its token ids as bytes; emptied when full. Chunks that are new are encoded together."""
+    """Chunk of a text -> its token ids as bytes; emptied when full.
+
+    Chunks lie between white space. Where the tokenizer is of the kind above and the text is simple, they are the tokenizer's own
+    words, which repeat more often, and go to its model without its other steps.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -47,19 +67,34 @@ class ChunkIds(dict):
         probe = "a\n\t b"
         if self.tokenizer.encode(probe, add_special_tokens=False).ids != [i for c in "ab" for i in self.tokenizer.encode(c, add_special_tokens=False).ids]:
             raise ValueError("only tokenizers that drop white space and never join what it parts")
+        spec = json.loads(tokenizer)
+        steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = [(x["type"], x.get("pattern", {}).get("Regex")) for x in splits]
+        self.words = steps == _NORMAL and kinds == [("Split", _SPLIT), ("ByteLevel", None)] and spec["model"]["type"] == "BPE" and not splits[1]["add_prefix_space"]
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.words and _WORD.fullmatch(chunk) and _SIMPLE.fullmatch(chunk) and chunk == chunk.lower():
+            letters = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
+            found = [t.id for t in self.model.tokenize(letters)]
+        else:
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        ids = self[chunk] = np.array(found, self.dtype).tobytes()
+        return ids
 
     def ids(self, texts: list[str], end: int | None) -> list[np.ndarray]:
-        lists = [_CHUNK.findall(t) for t in texts]
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        new = list({c for chunks in lists for c in chunks if c not in self})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(found.ids, self.dtype).tobytes()
         last = b"" if end is None else np.array([end], self.dtype).tobytes()
-        get = self.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)) + last, self.dtype) for chunks in lists]
+        get, out = self.__getitem__, []
+        for t in texts:
+            simple = self.words and _SIMPLE.fullmatch(t) and not any(s in t for s in self.special)
+            chunks = _WORD.findall(t.lower()) if simple else _CHUNK.findall(t)
+            out.append(np.frombuffer(b"".join(map(get, chunks)) + last, self.dtype))
+        return out
 
 
 _TOKENIZERS: dict[str, ChunkIds] = {}
@@ -238,7 +273,9 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = EN
     stats = spark.sparkContext.broadcast((idf, total / max(count, 1)))
     shards = max(1, -(-total // SHARD))
     dealt = docs.select(F.pmod(F.col("key"), F.lit(shards)).alias("shard"), "key", "doc_id", "z")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
+    # A task has some eight shards at most, whatever the session's number of partitions.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))
+    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return dealt.mapInArrow(_packed(stats, window, tokenizer.dtype.str), schema)
 
