@@ -28,7 +28,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Edges with nulls and from a node to itself count for nothing.
     """
     spark = edges.sparkSession
-    now = materialize(_small_star(edges.where("a IS NOT NULL AND b IS NOT NULL")), name)
+    given = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL"), name)
+    now = materialize(_small_star(given), name)
+    remove_table(spark, given)
     sign = None
     while True:
         new_sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -9,6 +9,9 @@ so the outermost regions come from a partition instead, which is exact as well:
 sets of sizes a and b with similarity s or more differ in k = (a + b)(1 - s)/(1 + s) shingles at most, so of k + 1 parts
 of the hash space one holds the same shingles of both. Sets that agree on a part are connected; a
 connected component is a region, and all links lie inside regions. Each set travels to its region once.
+
+There are more parts than need be, so linked sets agree on many of them. That lets frequent parts (of passages that many documents share)
+be left out for each set that has few of them, without losing a link, and it tells pairs apart inside a region.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import byte_arrays as ba
 from lodestone.llm.components import components
-from lodestone.session import materialize
-
-#: Ratio of neighbouring numbers of parts.
-LADDER = 1.5
-#: Documents that one task joins at most; larger regions are joined block by block.
-REGION = 4096
+from lodestone.session import materialize, remove_table
+
+#: Ratio of neighbouring numbers of parts; parts for each that is needed, in percent.
+LADDER, SPARE = 1.5, 125
+#: A part that more sets agree on is frequent.
+FREQUENT = 8
+#: Shingles of a region that one task joins at most (single documents aside); larger regions are joined block by block.
+REGION = 2_000_000
 #: Documents compared directly.
 LEAF = 64
 PIVOTS = 6
@@ -71,14 +76,14 @@ def parts_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _ladder(most: int) -> np.ndarray:
-    steps = [1]
+    steps = [2]
     while steps[-1] < most:
         steps.append(max(steps[-1] + 1, int(steps[-1] * LADDER)))
     return np.array(steps, np.int64)
 
 
-def signatures(keys: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of some sets, and the offsets of the sets.
+def signatures(keys: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of some sets, the offsets of the sets, and how many signatures a set shares with each that it links with, at least.
 
     Each set is cut into every number of parts that a partner may need. Empty parts are left out where so many
     parts agree that one of them holds a shingle.
@@ -86,8 +91,9 @@ def signatures(keys: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.
     n = np.diff(offsets)
     least, most = -(-n * percent // 100), n * 100 // percent
     low, high = parts_needed(n, least, percent), parts_needed(n, most, percent)
-    ladder = _ladder(int(high.max(initial=1)))
-    first, last = np.searchsorted(ladder, low), np.searchsorted(ladder, high)
+    ladder = _ladder(int(high.max(initial=1)) * SPARE // 100 + 1)
+    first, last = (np.searchsorted(ladder, -(-x * SPARE // 100)) for x in (low, high))
+    shared = np.full(len(n), np.iinfo(np.int32).max, np.int64)
     found, owners = [], []
     for extra in range(int((last - first).max(initial=0)) + 1):
         sets = np.flatnonzero((first + extra <= last) & (n > 0))
@@ -104,17 +110,20 @@ def signatures(keys: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.
         sums = _sums(slot, ba.mix(mixed + _STEP), base[-1])
         filled = np.bincount(slot, minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(sets)), parts)
-        empty = np.bincount(owner, ~filled, len(sets))
-        slack = parts - np.minimum(high[sets], parts)
-        keep = filled | (empty > slack)[owner]
+        empty = np.bincount(owner, ~filled, len(sets)).astype(np.int64)
+        # Pairs of this level need no more parts than these; so many parts agree at least, of which `empty` may be empty.
+        agree = parts - np.minimum(high[sets], parts * 100 // SPARE) + 1
+        all_sent = empty >= agree
+        shared[sets] = np.minimum(shared[sets], np.where(all_sent, agree, agree - empty))
+        keep = filled | all_sent[owner]
         name = (np.arange(base[-1]) - base[owner]).astype(np.uint64) + (level[owner].astype(np.uint64) << np.uint64(32))
         found.append(ba.mix(sums + ba.mix(name + np.uint64(1)))[keep])
         owners.append(sets[owner[keep]])
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64), shared
     found, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return found[order], np.searchsorted(owners[order], np.arange(len(n) + 1))
+    return found[order], np.searchsorted(owners[order], np.arange(len(n) + 1)), shared
 
 
 class Region:
@@ -128,6 +137,20 @@ class Region:
         self.mark = np.zeros(int(self.items.max(initial=-1)) + 1, np.int32)
         self.links: list[tuple[int, int]] = []
         self.radius = 1 - percent / 100
+        # Documents by signature; `enough`: shared ones that a link takes.
+        sigs, self.sig_offsets, self.enough = signatures(keys, offsets, percent)
+        _, self.sig, counts = np.unique(sigs, return_inverse=True, return_counts=True)
+        self.sig_bounds = np.concatenate([[0], np.cumsum(counts)])
+        self.sig_docs = np.repeat(np.arange(len(self.n)), np.diff(self.sig_offsets))[np.argsort(self.sig, kind="stable")]
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Sets that share as many signatures with set i as a link takes."""
+        own = self.sig[self.sig_offsets[i] : self.sig_offsets[i + 1]]
+        begin, sizes = self.sig_bounds[own], self.sig_bounds[own + 1] - self.sig_bounds[own]
+        many = sizes > 1
+        begin, sizes = begin[many], sizes[many]
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.flatnonzero(np.bincount(self.sig_docs[at], minlength=len(self.n)) >= self.enough[i])
 
     def link(self, i: int, others: np.ndarray) -> None:
         for j in others:
@@ -181,16 +204,20 @@ class Region:
             for p in range(PIVOTS):
                 self.join(ids[window[:, p]])
             return
-        # The windows overlap too much: pairs that no pivot tells apart are compared.
-        for k, i in enumerate(ids[:-1]):
-            rest = np.flatnonzero(self.root[ids[k + 1 :]] != self.root[i]) + k + 1
+        # The windows overlap too much: pairs that neither signatures nor a pivot tell apart are compared.
+        place = np.full(len(self.n), -1)
+        place[ids] = np.arange(len(ids))
+        for k, i in enumerate(ids):
+            rest = place[self.candidates(int(i))]
+            rest = rest[rest > k]
+            rest = rest[self.root[ids[rest]] != self.root[i]]
             if len(rest):
                 rest = rest[(np.abs(table[rest] - table[k]) <= self.radius + 1e-9).all(1)]
                 self.check(int(i), ids[rest])
 
 
 def set_table(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, k1 and k2 (128 bits that name the set), sigs array<long>."""
+    """One row per input row: doc_id, n_shingles, k1 and k2 (128 bits that name the set), enough (see signatures()), sigs array<long>."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -201,11 +228,11 @@ def set_table(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", t
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(b - a), n)
                 names = [_sums(doc, ba.mix(keys + np.uint64(s)), b - a).view(np.int64) for s in (1, 2)]
-                sigs, ends = signatures(keys, bounds, percent)
+                sigs, ends, enough = signatures(keys, bounds, percent)
                 sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *map(pa.array, names), sigs], ["doc_id", "n_shingles", "k1", "k2", "sigs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *map(pa.array, names), pa.array(enough), sigs], ["doc_id", "n_shingles", "k1", "k2", "enough", "sigs"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, enough bigint, sigs array<bigint>")
 
 
 def _joined(width: int, percent: int):
@@ -213,7 +240,10 @@ def _joined(width: int, percent: int):
 
     def links(rows: list[tuple], blocks: tuple[int, int]) -> pa.RecordBatch | None:
         ids = np.array([r[0] for r in rows], np.int64)
-        keys, offsets = shingles(*ba.flat(pa.array([r[1] for r in rows], pa.large_string())), width)
+        data, bounds = ba.flat(pa.array([r[1] for r in rows], pa.large_string()))
+        parts = [shingles(data[bounds[x] : bounds[y]], bounds[x : y + 1] - bounds[x], width) for x, y in ba.pieces(bounds)]
+        keys = np.concatenate([k for k, _ in parts])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
         side = np.array([r[2] for r in rows]) if blocks[0] != blocks[1] else None
         region = Region(keys, offsets, percent, side)
         region.join(np.flatnonzero(region.n > 0))
@@ -226,13 +256,14 @@ def _joined(width: int, percent: int):
         rows: list[tuple] = []
         key = None
         for batch in batches:
-            table = batch.to_pydict()
-            for region, i, j, block, doc_id, text in zip(*(table[c] for c in ("region", "i", "j", "block", "doc_id", "text")), strict=True):
-                if (region, i, j) != key:
-                    if len(rows) > 1 and (found := links(rows, key[1:])) is not None:
-                        yield found
-                    rows, key = [], (region, i, j)
-                rows.append((doc_id, text, block))
+            for at in range(0, batch.num_rows, 500):
+                table = batch.slice(at, 500).to_pydict()
+                for region, i, j, block, doc_id, text in zip(*(table[c] for c in ("region", "i", "j", "block", "doc_id", "text")), strict=True):
+                    if (region, i, j) != key:
+                        if len(rows) > 1 and (found := links(rows, key[1:])) is not None:
+                            yield found
+                        rows, key = [], (region, i, j)
+                    rows.append((doc_id, text, block))
         if len(rows) > 1 and (found := links(rows, key[1:])) is not None:
             yield found
 
@@ -252,17 +283,25 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(set_table(docs, width, percent), f"{name}-sets")
-    groups = sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    groups = sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     # Regions, of sets named by k1: a collision only makes a region larger.
-    rows = sets.select(F.explode("sigs").alias("sig"), "k1")
-    hubs = rows.groupBy("sig").agg(F.min("k1").alias("hub"), F.max("k1").alias("top")).where("hub < top").select(F.col("sig").alias("s"), "hub")
-    stars = rows.join(hubs, (F.col("sig") == F.col("s")) & (F.col("k1") > F.col("hub"))).select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
+    rows = sets.select(F.explode("sigs").alias("sig"), "k1", "enough")
+    hubs = rows.groupBy("sig").agg(F.min("k1").alias("hub"), F.max("k1").alias("top"), F.count(F.lit(1)).alias("m")).where("hub < top")
+    hubs = hubs.select(F.col("sig").alias("s"), "hub", (F.col("m") > FREQUENT).alias("frequent"))
+    met = materialize(rows.join(hubs, F.col("sig") == F.col("s")).select("k1", "sig", "hub", "enough", "frequent").where("k1 > hub OR frequent"), f"{name}-met")
+    # A set that has fewer frequent signatures than a link takes shares another one with each partner, and needs none of them.
+    crowded = met.where("frequent").groupBy("k1").agg(F.count(F.lit(1)).alias("m"), F.min("enough").alias("least")).where("m >= least").select(F.col("k1").alias("c"))
+    kept = met.where("frequent").join(crowded, F.col("k1") == F.col("c"), "left_semi").select("sig", "k1")
+    heads = kept.groupBy("sig").agg(F.min("k1").alias("hub")).select(F.col("sig").alias("s"), "hub")
+    kept = kept.join(heads, F.col("sig") == F.col("s")).where("k1 > hub").select("k1", "hub")
+    stars = met.where("NOT frequent").select("k1", "hub").union(kept).select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
     near = components(stars, f"{name}-regions")
+    remove_table(df.sparkSession, met)
     # The hub is in its region too.
     near = near.union(near.select("component", "component").distinct()).select(F.col("node").alias("k"), F.col("component").alias("region"))
-    members = groups.join(near, F.col("k1") == F.col("k")).select("rep", "region")
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("region").alias("r"), "m")
-    members = members.join(sizes, F.col("region") == F.col("r")).select("rep", "region", F.ceil(F.col("m") / F.when(F.col("m") <= REGION, REGION).otherwise(REGION // 2)).cast("int").alias("g"))
+    members = groups.join(near, F.col("k1") == F.col("k")).select("rep", "region", "n")
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1").select(F.col("region").alias("r"), "s")
+    members = members.join(sizes, F.col("region") == F.col("r")).select("rep", "region", F.when(F.col("s") <= REGION, 1).otherwise(F.ceil(F.col("s") * 2 / REGION)).cast("int").alias("g"))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     texts = docs.join(members, F.col("doc_id") == F.col("rep"))
     # A region of one block is one group; of g blocks, each document goes to its block and to the g - 1 pairs that the block is in.
