@@ -232,7 +232,7 @@ def set_table(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", t
                 sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *map(pa.array, names), pa.array(enough), sigs], ["doc_id", "n_shingles", "k1", "k2", "enough", "sigs"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, enough bigint, sigs array<bigint>")
+    return rows.mapInArrow(ba.trimmed(run), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, enough bigint, sigs array<bigint>")
 
 
 def _joined(width: int, percent: int):
@@ -308,7 +308,7 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     dealt = texts.withColumn("o", F.explode(F.expr("sequence(0, g - 1)")))
     dealt = dealt.select("region", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "text")
     dealt = dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "doc_id")
-    links = dealt.mapInArrow(_joined(width, percent), "a bigint, b bigint")
+    links = dealt.mapInArrow(ba.trimmed(_joined(width, percent)), "a bigint, b bigint")
     merged = components(links, f"{name}-links")
     classes = groups.join(merged, F.col("rep") == F.col("node"), "left").select(
         F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("component")

@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import byte_arrays as ba
 from lodestone.session import materialize
 
 WINDOW = 4096
@@ -30,7 +31,7 @@ END = 2
 #: Tokens of a shard, about.
 SHARD = 1 << 20
 K1, B = 1.2, 0.75
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Texts are cut at these: white space for any tokenizer that this module accepts.
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 
@@ -261,11 +262,11 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = EN
     tokenizer = ChunkIds(source)
     rows = df.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    tokens = materialize(rows.mapInArrow(_tokenized(shared, end), f"key bigint, doc_id {id_type}, n bigint, z binary"), name)
+    tokens = materialize(rows.mapInArrow(ba.trimmed(_tokenized(shared, end)), f"key bigint, doc_id {id_type}, n bigint, z binary"), name)
     docs = tokens.where("n IS NOT NULL")
     count, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # One number for each id of the vocabulary.
-    found = tokens.where("n IS NULL").select("z").mapInArrow(_frequencies, "id bigint, f bigint").groupBy("id").agg(F.sum("f").alias("f")).collect()
+    found = tokens.where("n IS NULL").select("z").mapInArrow(ba.trimmed(_frequencies), "id bigint, f bigint").groupBy("id").agg(F.sum("f").alias("f")).collect()
     frequency = np.zeros(max(tokenizer.size, end + 1))
     for r in found:
         frequency[r.id] = r.f
@@ -277,7 +278,7 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = EN
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))
     dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return dealt.mapInArrow(_packed(stats, window, tokenizer.dtype.str), schema)
+    return dealt.mapInArrow(ba.trimmed(_packed(stats, window, tokenizer.dtype.str)), schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_arrays as ba
-from lodestone.llm.folds import held_out, labelled_sample
+from lodestone.llm.folds import fitted, held_out, labelled_sample
 
 THRESHOLD = 0.7
 #: Bound on the labelled rows a model is fitted on (a parameter of fit()).
@@ -141,10 +141,16 @@ class LineCrf:
         model = LineCrf(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), np.zeros((3, 2)))
         if not texts:
             return model
-        lines = lines_of(*ba.flat(pa.array(texts, pa.large_string())))
-        model.center, model.scale = lines.features.mean(0), lines.features.std(0) + np.float32(1e-3)
+        data, offsets = ba.flat(pa.array(texts, pa.large_string()))
+        parts = [lines_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in ba.pieces(offsets)]
+        lines = Lines(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("features", "lengths", "first", "counts")))
+        lines.first = np.cumsum(lines.counts) - lines.counts
+        del parts
+        model.center, model.scale = lines.features.mean(0, dtype=np.float64).astype(np.float32), lines.features.std(0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
         model.center[-1], model.scale[-1] = 0, 1
-        x = ((lines.features - model.center) / model.scale).astype(np.float64)
+        lines.features -= model.center
+        lines.features /= model.scale
+        x = lines.features
         y = np.repeat(np.array(labels, np.float64), lines.counts)
         weight = np.repeat(1 / lines.counts, lines.counts)[:, None] / len(texts)
         start = np.zeros(len(y), bool)
@@ -174,7 +180,7 @@ class LineCrf:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> LineCrf:
     """A model of the labels of at most `rows` labelled rows, none of them of the held-out fold."""
-    return LineCrf.fit(*labelled_sample(docs, labels, label, rows))
+    return fitted(labelled_sample(docs, labels, label, rows), LineCrf.fit)
 
 
 def score(df: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +197,7 @@ def score(df: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str =
                 found = model.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(ba.trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

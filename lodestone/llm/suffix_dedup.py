@@ -272,7 +272,7 @@ def _packed(df: DataFrame, text_col: str) -> DataFrame:
                 rest = [part.column(k) for k in range(part.num_columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*rest, z], [*(f.name for f in fields), "__z"])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField("__z", T.BinaryType())]))
+    return df.mapInArrow(ba.trimmed(run), T.StructType([*fields, T.StructField("__z", T.BinaryType())]))
 
 
 def _cut_out(width: int):
@@ -364,21 +364,21 @@ def _dealt_windows(width: int):
 def repeat_spans(df: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", name: str = "suffix", hot: int = HOT) -> DataFrame:
     """Spans of repeated bytes: rid (hash of id and text), b, e; they may overlap."""
     base = _named(df.select(id_col, text_col), id_col, text_col).select("__rid", text_col)
-    runs = base.mapInArrow(_runs(width), "pk bigint, rkey bigint, rid bigint, begin int, shape int")
-    judged = materialize(runs.repartition("pk").sortWithinPartitions("pk", "rkey").mapInArrow(_judge, _JUDGED), f"{name}-judged")
+    runs = base.mapInArrow(ba.trimmed(_runs(width)), "pk bigint, rkey bigint, rid bigint, begin int, shape int")
+    judged = materialize(runs.repartition("pk").sortWithinPartitions("pk", "rkey").mapInArrow(ba.trimmed(_judge), _JUDGED), f"{name}-judged")
     length = F.when(F.col("shape") < 0, -F.col("shape")).otherwise(F.floor(F.col("shape") / _PACK))
     whole = judged.where("span").select("rid", F.col("begin").cast("long").alias("b"), (F.col("begin") + length).cast("long").alias("e"))
     sends = judged.where("send").groupBy("rid").agg(F.collect_list(F.struct("begin", "shape", "pk", "rkey", "span")).alias("sends"))
     texts = _packed(base, text_col)
     # The smaller side by far; Spark decides by its size whether to broadcast it.
     joined = texts.join(sends, F.col("__rid") == F.col("rid")).select("rid", "__z", "sends")
-    records = joined.mapInArrow(_cut_out(width), "lead binary, pk bigint, rid bigint, begin int, span boolean, bytes binary")
+    records = joined.mapInArrow(ba.trimmed(_cut_out(width)), "lead binary, pk bigint, rid bigint, begin int, span boolean, bytes binary")
     crowded = judged.where("send").groupBy("pk").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select(F.col("pk").alias("crowd"))
     records = materialize(records.join(crowded, F.col("pk") == F.col("crowd"), "left").withColumn("hot", F.col("crowd").isNotNull()).drop("crowd"), f"{name}-records")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = records.where("NOT hot").drop("hot").repartitionByRange(n, "lead").sortWithinPartitions("lead", "pk")
-    found = buckets.mapInArrow(_sorted_buckets(width), "rid bigint, b bigint, e bigint")
-    windows = records.where("hot").drop("hot").mapInArrow(_dealt_windows(width), "f1 bigint, f2 bigint, rid bigint, begin bigint, span boolean")
+    found = buckets.mapInArrow(ba.trimmed(_sorted_buckets(width)), "rid bigint, b bigint, e bigint")
+    windows = records.where("hot").drop("hot").mapInArrow(ba.trimmed(_dealt_windows(width)), "f1 bigint, f2 bigint, rid bigint, begin bigint, span boolean")
     twice = windows.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"))
     hits = windows.where("NOT span").join(twice, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi")
     return whole.union(found).union(hits.select("rid", F.col("begin").alias("b"), (F.col("begin") + width).alias("e")))
@@ -414,7 +414,7 @@ def _applied(df: DataFrame, width: int, id_col: str, text_col: str, name: str, h
                 new = [pa.array([f[i] for f in found], kind) for i, (_, kind, _) in enumerate(added)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *new], [*(f.name for f in kept), *(n for n, _, _ in added)])
 
-    return joined.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, t) for n, _, t in added)]))
+    return joined.mapInArrow(ba.trimmed(run), T.StructType([*kept, *(T.StructField(n, t) for n, _, t in added)]))
 
 
 def _rest(text: bytes, spans: list[tuple[int, int]]) -> bytes:

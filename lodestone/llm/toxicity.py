@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_arrays as ba
-from lodestone.llm.folds import held_out, labelled_sample
+from lodestone.llm.folds import fitted, held_out, labelled_sample
 
 THRESHOLD = 0.3
 #: Bound on the labelled rows a model is fitted on (a parameter of fit()).
-SAMPLE = 5000
+SAMPLE = 6000
 #: Words whose numbers a worker keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Words whose n-grams are hashed at a time.
 PART = 20_000
 
@@ -186,7 +186,7 @@ class WordScores(dict):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE, settings: Settings = Settings()) -> SubwordModel:
     """A model of the labels of at most `rows` labelled rows, none of them of the held-out fold."""
-    return SubwordModel.fit(*labelled_sample(docs, labels, label, rows), settings)
+    return fitted(labelled_sample(docs, labels, label, rows), lambda texts, ys: SubwordModel.fit(texts, ys, settings))
 
 
 def score(df: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +205,7 @@ def score(df: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col:
                 found = scorer.scores([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(ba.trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def drop_toxic(df: DataFrame, model: SubwordModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -221,7 +221,7 @@ def drop_toxic(df: DataFrame, model: SubwordModel, threshold: float = THRESHOLD,
                 clean = scorer.scores([x or "" for x in part.column(at).to_pylist()]) < threshold
                 yield part.filter(pa.array(clean))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(ba.trimmed(run), df.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
