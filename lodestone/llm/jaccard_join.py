@@ -114,7 +114,8 @@ def signatures(keys: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.
         # Pairs of this level need no more parts than these; so many parts agree at least, of which `empty` may be empty.
         agree = parts - np.minimum(high[sets], parts * 100 // SPARE) + 1
         all_sent = empty >= agree
-        shared[sets] = np.minimum(shared[sets], np.where(all_sent, agree, agree - empty))
+        # A partner with fewer empty parts doesn't send its own: it surely shares one signature, and no more, with a set that sends them.
+        shared[sets] = np.minimum(shared[sets], np.where(all_sent, 1, agree - empty))
         keep = filled | all_sent[owner]
         name = (np.arange(base[-1]) - base[owner]).astype(np.uint64) + (level[owner].astype(np.uint64) << np.uint64(32))
         found.append(ba.mix(sums + ba.mix(name + np.uint64(1)))[keep])

@@ -412,6 +412,39 @@ def test_jaccard_join(spark, edge, monkeypatch, width, percent, region):
     assert got == want
 
 
+def test_linked_sets_share_enough_signatures():
+    """No link of small sets has fewer common signatures than `enough`, from either side; regions find all of them."""
+    from lodestone.llm.jaccard_join import Region, signatures
+
+    rng = np.random.default_rng(12)
+    for percent in (80, 90):
+        sizes = (4, 21) if percent == 80 else (9, 21)
+        bases = [rng.integers(0, 1 << 62, rng.integers(*sizes)).astype(np.uint64) for _ in range(2000)]
+        pairs = [np.unique(x) for b in bases for x in (b, np.append(b, rng.integers(0, 1 << 62, dtype=np.uint64)))]
+        keys, offsets = np.concatenate(pairs), np.concatenate([[0], np.cumsum([len(s) for s in pairs])])
+        sigs, ends, enough = signatures(keys, offsets, percent)
+        common = np.array([len(np.intersect1d(sigs[ends[i] : ends[i + 1]], sigs[ends[i + 1] : ends[i + 2]])) for i in range(0, len(pairs), 2)])
+        assert (common >= np.maximum(enough[::2], enough[1::2])).all()
+        r = Region(keys, offsets, percent)
+        r.join(np.arange(len(pairs)))
+        assert (r.root[::2] == r.root[1::2]).all()
+
+
+def test_jaccard_join_small_sets(spark):
+    """Five words in one of three parts, in groups where more than eight supersets of six words, the sixth in another part, share that part."""
+    from lodestone.llm import byte_arrays as ba
+    from lodestone.llm.jaccard_join import shingles
+
+    def part(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(ba.mix(shingles(data, np.array([0, len(data)]), 1)[0] ^ np.uint64(0x5851F42D4C957F2D))[0] % np.uint64(3))
+
+    words = {p: [w for w in (f"w{i}" for i in range(200)) if part(w) == p] for p in (0, 1)}
+    docs = [words[0][:5], *([*words[0][:5], w] for w in words[1][:12])]
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(docs)], "doc_id bigint, text string").repartition(4)
+    assert {r.component_id for r in jaccard_join(df, 1, 80).collect()} == {0}
+
+
 def test_near_duplicates_go(spark, edge, empty):
     kept = {r.doc_id for r in drop_near_duplicates(edge).collect()}
     assert 5 in kept and not kept & {6, *range(10, 18)} and {1, 2, 61, 62, 63} <= kept and drop_near_duplicates(edge).columns == edge.columns
