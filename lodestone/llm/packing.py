@@ -1,12 +1,14 @@
 """Packing (operator 5): lexical retrieval packing.
 
-Documents are tokenised and dealt, by a hash, into shards of about SHARD tokens. Each shard has a BM25 inverted index over
-token ids (document frequencies and the mean length are those of the whole corpus). The longest unused
-document is the seed of a window; the index returns its unused neighbours, best first, which
+Documents are tokenised and ranked by BM25 over token ids. The longest unused
+document is the seed of a window; its unused neighbours, best first among all documents of the corpus,
 fill the window; the last one is cut, and its rest is unused again. So windows are full, but for
-the last one of a shard, which is cut into sequences of powers of two.
+the last one, which is cut into sequences of powers of two.
 
-Token ids cross the network once, compressed. What goes to the driver is a document frequency for each id of the vocabulary.
+A corpus of up to SHARD tokens is one inverted index in one task. A larger one is searched by blocks of seeds: each block queries the
+inverted indexes of all documents, a batch of documents each, and the driver fills windows in order of the seeds for as long as each seed's list of
+neighbours (NEAREST, more where they are short) lasts; the seed whose list ends first begins the next block. So the windows are those of one index over everything. The work
+grows with the square of the corpus. What goes to the driver is a document frequency for each id of the vocabulary, three numbers a document, and the lists of a block.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,10 @@ from lodestone.session import materialize
 
 WINDOW = 4096
 END = 2
-#: Tokens of a shard, about.
+#: Tokens of a corpus that is packed in one task.
 SHARD = 1 << 20
+#: Seeds of a block; neighbours that are listed for each.
+SEEDS, NEAREST = 4000, 64
 K1, B = 1.2, 0.75
 CACHE_ENTRIES = 400_000
 #: Texts are cut at these: white space for any tokenizer that this module accepts.
@@ -108,14 +113,14 @@ def _tokenizer(source: str) -> ChunkIds:
 
 
 def _tokenized(shared, end: int):
-    """Rows of documents (key, doc_id, n, z), and at the end of a task one row with the frequencies of its ids (n is null)."""
+    """Rows of documents (row, a number of its own; key, doc_id, n, z), and at the end of a task one row with the frequencies of its ids (n is null)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shared.value)
         packer = zstandard.ZstdCompressor(level=3)
         frequency = np.zeros(max(tokenizer.size, end + 1), np.int64)
-        names = ["key", "doc_id", "n", "z"]
-        kind = None
+        names = ["row", "key", "doc_id", "n", "z"]
+        kind, row = None, TaskContext.get().partitionId() << 32
         for batch in batches:
             kind = batch.schema.field(1).type
             for at in range(0, batch.num_rows, 1000):
@@ -123,9 +128,11 @@ def _tokenized(shared, end: int):
                 found = tokenizer.ids([x or "" for x in part.column(2).to_pylist()], end)
                 for ids in found:
                     frequency[np.unique(ids)] += 1
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in found], pa.binary())], names)
+                at_row = pa.array(np.arange(row, row + part.num_rows))
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([at_row, part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in found], pa.binary())], names)
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], kind), pa.array([None], pa.int64()), pa.array([packer.compress(frequency.tobytes())], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], kind), pa.array([None], pa.int64()), pa.array([packer.compress(frequency.tobytes())], pa.binary())], names)
 
     return run
 
@@ -159,7 +166,10 @@ class Shard:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents of the shard for the ids of the seed."""
-        terms = self.terms[seed].astype(np.int64)
+        return self.scores_of(self.terms[seed])
+
+    def scores_of(self, terms: np.ndarray) -> np.ndarray:
+        terms = terms.astype(np.int64)
         begin, sizes = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return np.bincount(self.doc[at], self.weight[at], len(self.docs))
@@ -247,12 +257,135 @@ def _packed(stats, window: int, dtype: str):
     return run
 
 
+def _nearest(seeds, left, stats, window: int, dtype: str, most: int):
+    """The best unused documents for each seed, of a task's documents (number, z)."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        idf, mean = stats.value
+        d = zstandard.ZstdDecompressor()
+        best: list = [(np.zeros(0), np.zeros(0, np.int64))] * len(seeds.value)
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            on = np.flatnonzero(left.value[number] > 0)
+            if not len(on):
+                continue
+            number = number[on]
+            docs = [np.frombuffer(d.decompress(batch.column(1)[int(i)].as_py()), dtype) for i in on]
+            shard = Shard(docs, idf, mean, window)
+            for k, (own, terms) in enumerate(seeds.value):
+                scores = shard.scores_of(terms)
+                scores[number == own] = -1
+                if len(scores) > most:
+                    top = np.flatnonzero(scores >= np.partition(scores, -most)[-most])
+                else:
+                    top = np.arange(len(scores))
+                top = top[scores[top] >= 0]
+                best[k] = _first(np.concatenate([best[k][0], scores[top]]), np.concatenate([best[k][1], number[top]]), most)
+        for k, (scores, numbers) in enumerate(best):
+            if len(scores):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([scores]), pa.array([numbers])], ["seed", "scores", "numbers"])
+
+    return run
+
+
+def _first(scores: np.ndarray, numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((numbers, -scores))[:most]
+    return scores[order], numbers[order]
+
+
+def _windows(docs: DataFrame, stats, window: int, dtype: str) -> pa.Table:
+    """All pieces (r, start, length, sequence, offset), of the longest unused documents and their neighbours in the whole corpus."""
+    spark = docs.sparkSession
+    table = docs.select("row", "key", "n").toArrow()
+    row, key, length = (table.column(c).to_numpy() for c in ("row", "key", "n"))
+    order = np.lexsort((row, key))
+    row, length = row[order], length[order]
+    start = length // window * window
+    left = length - start
+    out: list[tuple] = []
+    sequences = 0
+
+    def put(sequence: list[tuple[int, int, int]]) -> None:
+        nonlocal sequences
+        offset = 0
+        for i, at, n in sequence:
+            out.append((int(row[i]), at, n, sequences, offset))
+            offset += n
+        sequences += 1
+
+    for i in np.flatnonzero(start):
+        for at in range(0, int(start[i]), window):
+            put([(int(i), at, window)])
+    numbers = spark.createDataFrame(pa.table({"r": row, "number": np.arange(len(row))}))
+    numbered = materialize(docs.join(numbers, F.col("row") == F.col("r")).select("number", "z"), "packing-numbered")
+    queue = np.argsort(-left, kind="stable")
+    d = zstandard.ZstdDecompressor()
+    size, most = SEEDS, NEAREST
+    while len(queue := queue[left[queue] > 0]):
+        block = queue[:size]
+        wanted = spark.createDataFrame(pa.table({"w": block}))
+        texts = dict(zip(*(c.to_pylist() for c in numbered.join(F.broadcast(wanted), F.col("number") == F.col("w")).select("number", "z").toArrow().columns), strict=True))
+        seeds = spark.sparkContext.broadcast([(int(i), np.unique(np.frombuffer(d.decompress(texts[int(i)]), dtype))) for i in block])
+        unused = spark.sparkContext.broadcast(left)
+        lists = numbered.mapInArrow(ba.trimmed(_nearest(seeds, unused, stats, window, dtype, most)), "seed bigint, scores array<double>, numbers array<bigint>")
+        near: dict[int, tuple] = {}
+        for k, scores, found in zip(*(c.to_pylist() for c in lists.toArrow().columns), strict=True):
+            old = near.get(k, (np.zeros(0), np.zeros(0, np.int64)))
+            near[k] = _first(np.concatenate([old[0], scores]), np.concatenate([old[1], np.array(found, np.int64)]), most)
+        whole = np.count_nonzero(left) - 1 <= most  # the lists hold all unused documents
+        done = 0
+        for k, seed in enumerate(block):
+            ended = False
+            while left[seed] and not ended:
+                candidates = [int(seed), *near.get(k, (None, []))[1]]
+                sequence, filled = [], 0
+                for i in candidates:
+                    take = int(min(left[i], window - filled))
+                    if take:
+                        sequence.append((int(i), int(start[i]), take))
+                        filled += take
+                ended = filled < window and not whole
+                if ended:
+                    break
+                for i, _, take in sequence:
+                    start[i] += take
+                    left[i] -= take
+                for x in [sequence] if filled == window else _powers_of_two(sequence, filled):
+                    put(x)
+            if ended:
+                break
+            done = k + 1
+        seeds.unpersist()
+        unused.unpersist()
+        if not done:  # short documents: longer lists
+            most *= 4
+        size = min(SEEDS, max(2 * done, SEEDS * NEAREST // most, 1))
+    columns = [np.array(c, np.int64) for c in zip(*out, strict=True)]
+    return pa.table(dict(zip(("r", "start", "length", "sequence", "offset"), columns, strict=True)))
+
+
+def _cut(dtype: str):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for doc_id, n, z, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(d.decompress(z), dtype).astype("<u4")
+                out += [(doc_id, p["start"], p["length"], zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()), n, p["sequence"], p["offset"]) for p in pieces]
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
+
+    return run
+
+
 def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text", name: str = "packing") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text, and `end`; null and empty texts have `end` alone. Each id lies in exactly one piece;
     the pieces of a sequence lie one after the other from offset 0. All sequences have `window` ids, but for at most 12 (of a
-    window of 4096) a shard, whose lengths are powers of two. Ids of rows are passed through, null or repeated; other columns are ignored; an empty table gives no
+    window of 4096), whose lengths are powers of two. Ids of rows are passed through, null or repeated; other columns are ignored; an empty table gives no
     rows. The result doesn't depend on the order or the partitions of the rows.
     """
     spark = df.sparkSession
@@ -262,7 +395,7 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = EN
     tokenizer = ChunkIds(source)
     rows = df.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    tokens = materialize(rows.mapInArrow(ba.trimmed(_tokenized(shared, end)), f"key bigint, doc_id {id_type}, n bigint, z binary"), name)
+    tokens = materialize(rows.mapInArrow(ba.trimmed(_tokenized(shared, end)), f"row bigint, key bigint, doc_id {id_type}, n bigint, z binary"), name)
     docs = tokens.where("n IS NOT NULL")
     count, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # One number for each id of the vocabulary.
@@ -272,13 +405,14 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = EN
         frequency[r.id] = r.f
     idf = np.log1p((count - frequency + 0.5) / (frequency + 0.5))
     stats = spark.sparkContext.broadcast((idf, total / max(count, 1)))
-    shards = max(1, -(-total // SHARD))
-    dealt = docs.select(F.pmod(F.col("key"), F.lit(shards)).alias("shard"), "key", "doc_id", "z")
-    # A task has some eight shards at most, whatever the session's number of partitions.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))
-    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return dealt.mapInArrow(ba.trimmed(_packed(stats, window, tokenizer.dtype.str)), schema)
+    if total <= SHARD:
+        dealt = docs.select(F.lit(0).cast("long").alias("shard"), "key", "doc_id", "z").repartition(1)
+        return dealt.mapInArrow(ba.trimmed(_packed(stats, window, tokenizer.dtype.str)), schema)
+    pieces = _windows(docs, stats, window, tokenizer.dtype.str)
+    of_row = spark.createDataFrame(pieces).groupBy("r").agg(F.collect_list(F.struct("start", "length", "sequence", "offset")).alias("pieces"))
+    cut = docs.join(of_row, F.col("row") == F.col("r")).select("doc_id", "n", "z", "pieces")
+    return cut.mapInArrow(ba.trimmed(_cut(tokenizer.dtype.str)), schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,24 @@ def test_packing_puts_neighbours_together():
     assert {i for i, _, _ in first} == {0, 2}
 
 
+def test_packing_searches_the_whole_corpus(spark, monkeypatch):
+    """By blocks of seeds, over many tasks, the windows are those of one index over all documents."""
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, rng.choice([3, 20, 60, 150]))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+
+    def windows():
+        found = {}
+        for r in P.pack(df, tokens.path("word_bpe_49k.json"), 256).collect():
+            found.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, r.length))
+        return sorted(sorted(x) for x in found.values())
+
+    want = windows()
+    for name, value in (("SHARD", 2000), ("SEEDS", 25), ("NEAREST", 4)):
+        monkeypatch.setattr(P, name, value)
+    assert windows() == want
+
+
 def test_chunks_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
