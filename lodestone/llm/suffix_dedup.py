@@ -221,6 +221,8 @@ def _judge(batches) -> Iterator[pa.RecordBatch]:
     """Runs sorted by anchor and run key: spans of repeats (span), and one run of each kind where an anchor has several (send)."""
     names = ["pk", "rkey", "rid", "begin", "shape"]
 
+    forced: int | None = None
+
     def judged(x: dict[str, np.ndarray], force: bool) -> pa.RecordBatch | None:
         free = x["shape"] < 0
         anchor = np.ones(len(free), bool)
@@ -232,7 +234,7 @@ def _judge(batches) -> Iterator[pa.RecordBatch]:
         anchor_of = np.cumsum(anchor) - 1
         kinds = np.bincount(anchor_of, kind & ~free)[anchor_of]
         span = free | many
-        send = kind & ~free & ((kinds > 1) | force)
+        send = kind & ~free & ((kinds > 1) | force | (False if forced is None else x["pk"] == forced))
         keep = span | send
         if not keep.any():
             return None
@@ -253,6 +255,8 @@ def _judge(batches) -> Iterator[pa.RecordBatch]:
             cut += int(np.searchsorted(x["rkey"][cut:], x["rkey"][-1], "left"))
         if cut and (out := judged({n: x[n][:cut] for n in names}, force)) is not None:
             yield out
+        if force:
+            forced = int(x["pk"][-1])  # what is left of this anchor is sent, be it one kind
         held = {n: x[n][cut:] for n in names}
     if held is not None and len(held["pk"]) and (out := judged(held, True)) is not None:
         yield out

@@ -56,6 +56,20 @@ def test_suffix_dedup(spark, hot):
         assert any(w[2] and w[2] < w[1] for w in want)
 
 
+def test_last_run_of_a_forced_anchor_is_sent(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "HELD", 3)
+
+    def batch(pk, rkeys):
+        n = len(rkeys)
+        return pa.RecordBatch.from_arrays([pa.array([pk] * n), pa.array(rkeys), pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([9] * n, pa.int32())], ["pk", "rkey", "rid", "begin", "shape"])
+
+    out = [r for b in S._judge(iter([batch(1, [1, 2, 3, 4, 5]), batch(2, [6]), batch(3, [7])])) for r in b.to_pylist()]
+    assert [r["rkey"] for r in out if r["send"] and r["pk"] == 1] == [1, 2, 3, 4, 5]
+    assert not [r for r in out if r["pk"] == 2]
+
+
 def test_suffix_dedup_keeps_columns(spark, edge, empty):
     out = S.suffix_dedup(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
