@@ -79,8 +79,11 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def chunks(text: Column, size: int = 400, most: int = 500, longer_than: int = 50) -> Column:
-    """Words packed greedily: a chunk ends with the word that brings it to `size` characters; short chunks are left out."""
+def chunks(text: Column, size: int = 400, most: int | None = None, longer_than: int = 50) -> Column:
+    """Words packed greedily: a chunk ends with the word that brings it to `size` characters; short chunks are left out.
+
+    `most`: only the first so many chunks are looked at, short ones included (the reference: 500); all by default.
+    """
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
@@ -90,7 +93,7 @@ def chunks(text: Column, size: int = 400, most: int = 500, longer_than: int = 50
         return F.struct(F.when(full, F.array_append(s["done"], joined)).otherwise(s["done"]).alias("done"), F.when(full, F.lit("")).otherwise(joined).alias("open"))
 
     out = F.aggregate(words, empty, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], s["open"])).otherwise(s["done"]))
-    return F.slice(F.filter(out, lambda c: F.char_length(c) > longer_than), 1, most)
+    return F.filter(out if most is None else F.slice(out, 1, most), lambda c: F.char_length(c) > longer_than)
 
 
 def packed_paragraphs(text: Column, size: int = 1500) -> Column:

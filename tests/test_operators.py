@@ -88,6 +88,14 @@ def test_chunks(spark):
     assert [len(p) for p in got] == [1402, 2000, 10]
 
 
+def test_chunks_of_long_texts(spark):
+    df = spark.createDataFrame([(" ".join(["w" * 399] * 600 + ["end"]),)], "t string")
+    r = df.select(flatten.chunks(F.col("t"), size=300).alias("all"), flatten.chunks(F.col("t"), size=300, most=500).alias("some")).first()
+    assert len(r["all"]) == 600 and len(r.some) == 500
+    short = spark.createDataFrame([("a " + "w" * 60,)], "t string")
+    assert short.select(flatten.chunks(F.col("t"), size=1, most=1).alias("c")).first().c == []
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, True), (3.0, True), (2.0, False), (4.0, False), (6.0, False)], "v double, a boolean")
     u = statistics.mann_whitney(df, "v", F.col("a")).first()
