@@ -61,7 +61,7 @@ def dimension_weights(t):
     return judgement.dimension_weights(rows, ["context"]).withColumns({c: F.round(c, 6) for c in ("mean", "weight")})
 
 
-@query("AG13 AG14", f"""
+@query("AG13", f"""
 WITH {_V}, c AS (SELECT session, protocol, state, count(*) AS v FROM v GROUP BY ALL), s AS (SELECT session, protocol, sum(v)::BIGINT AS votes, max(v) AS top FROM c GROUP BY ALL HAVING sum(v) >= 2)
 SELECT session, protocol, votes, round(top / votes, 9) AS agreement, CASE WHEN top / votes >= 0.85 THEN 'high' WHEN top / votes < 0.6 THEN 'contested' ELSE 'mixed' END AS level FROM s""")
 def agreement(t):

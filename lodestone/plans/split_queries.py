@@ -33,7 +33,7 @@ def stratified_split(t):
     return splits.by_shares(t("documents").select("doc_id", "lang", "source"), [("train", 0.7), ("valid", 0.15), ("test", 0.15)], "doc_id", strata=["lang", "source"]).select("doc_id", "role")
 
 
-@query("SPL4 SPL7 SPL8 SPL11", f"""
+@query("SPL7 SPL11", f"""
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_KEY}) AS k, count(*) OVER () AS n FROM documents)
 SELECT doc_id, CASE WHEN k <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS role FROM r""")
 def mixed_split(t):

@@ -43,7 +43,7 @@ def nearest_other_centroid(t):
     return out.withColumn("distance", F.round("distance", 6))
 
 
-@query("ST3 ST26", f"""
+@query("ST3", f"""
 WITH {_C}, g AS (SELECT list_transform(list_zip((SELECT centroid FROM c WHERE label = 0), (SELECT centroid FROM c WHERE label = 1)), lambda z: z[1] - z[2]) AS w),
 p AS (SELECT label, {_dot('embedding', 'w')} / (sqrt({_dot('w', 'w')}) + 1e-9) AS s FROM embeddings, g WHERE label IN (0, 1))
 SELECT round(avg(CASE WHEN label = 0 THEN s END), 6) AS first, round(avg(CASE WHEN label = 1 THEN s END), 6) AS second, round(avg(((s > (SELECT avg(s) FROM p)) = (label = 0))::INT::DOUBLE), 6) AS accuracy FROM p""")
@@ -96,7 +96,7 @@ def correlation(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
 
 
-@query("ST18", f"""
+@query("", f"""
 WITH {_C}, d AS (SELECT a.label AS a, b.label AS b, 1 - {_cos('a.centroid', 'b.centroid')} AS d FROM c a JOIN c b ON a.label < b.label)
 SELECT a, b, round(d, 6) AS distance FROM d WHERE d <= (SELECT quantile_cont(d, 0.3) FROM d)""")
 def threshold_graph(t):
@@ -116,7 +116,7 @@ def _vectors(df):
     return df.select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
-@query("ST5 ST27")
+@query("ST5")
 def principal_components(t):
     from pyspark.ml.feature import PCA
 
@@ -142,7 +142,7 @@ def linear_probe(t):
     return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")).crossJoin(n).select("n", "accuracy", (1 / F.col("k")).alias("chance"), (F.col("accuracy") > 1 / F.col("k") + 0.15).alias("linear"))
 
 
-@query("ST15 ST16")
+@query("ST16")
 def cluster_composition(t):
     from pyspark.ml.clustering import KMeans
 
