@@ -1,14 +1,13 @@
 """Packing (operator 5): lexical retrieval packing.
 
-Documents are tokenised and ranked by BM25 over token ids. The longest unused
-document is the seed of a window; its unused neighbours, best first among all documents of the corpus,
-fill the window; the last one is cut, and its rest is unused again. So windows are full, but for
-the last one, which is cut into sequences of powers of two.
-
-A corpus of up to SHARD tokens is one inverted index in one task. A larger one is searched by blocks of seeds: each block queries the
-inverted indexes of all documents, a batch of documents each, and the driver fills windows in order of the seeds for as long as each seed's list of
-neighbours (NEAREST, more where they are short) lasts; the seed whose list ends first begins the next block. So the windows are those of one index over everything. The work
-grows with the square of the corpus. What goes to the driver is a document frequency for each id of the vocabulary, three numbers a document, and the lists of a block.
+Documents are tokenised and ranked by BM25 over token ids. The inverted index is sharded: documents whose heaviest terms (by BM25, over the statistics of the
+whole corpus) are the same share a shard. In a shard the longest unused document is the seed of a window; the index returns its unused neighbours,
+best first, which fill the window; the last one is cut, and its rest is unused again. So windows are full, but for the last one of a shard, which is cut into
+sequences of powers of two.
+
+A document is dealt by its leading terms: those that at least one other document has, heaviest first. First terms that few documents lead with go to one
+shard together, up to SHARD tokens; a first term with more is divided by the terms that come next, so copies and near copies stay together. Only documents that agree in all of these
+and are more than a shard together are dealt by a hash. A corpus of up to SHARD tokens is one shard. What goes to the driver are two numbers for each id of the vocabulary.
 """
 
 from __future__ import annotations
@@ -31,10 +30,10 @@ from lodestone.session import materialize
 
 WINDOW = 4096
 END = 2
-#: Tokens of a corpus that is packed in one task.
+#: Tokens of a shard.
 SHARD = 1 << 20
-#: Seeds of a block; neighbours that are listed for each.
-SEEDS, NEAREST = 4000, 64
+#: Parts of one first term from which two more terms deal its documents, not one.
+FINE = 2048
 K1, B = 1.2, 0.75
 CACHE_ENTRIES = 400_000
 #: Texts are cut at these: white space for any tokenizer that this module accepts.
@@ -146,6 +145,71 @@ def _frequencies(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(f[ids])], ["id", "f"])
 
 
+def _weights(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
+
+
+def leading_terms(docs: list[np.ndarray], idf: np.ndarray, mean: float, shared: np.ndarray) -> np.ndarray:
+    """The three heaviest terms of each document, of the shared ones, the smaller id of equals first; -1 where there is none."""
+    out = np.full((len(docs), 3), -1, np.int64)
+    for i, ids in enumerate(docs):
+        term, tf = np.unique(ids, return_counts=True)
+        on = shared[term]
+        term, tf = term[on].astype(np.int64), tf[on]
+        weight = _weights(idf[term], tf, np.full(len(term), len(ids)), mean)
+        best = np.argsort(-weight, kind="stable")[:3] if len(term) < 64 else np.flatnonzero(weight >= np.partition(weight, -3)[-3])
+        best = best[np.lexsort((term[best], -weight[best]))][:3]
+        out[i, : len(best)] = term[best]
+    return out
+
+
+class Dealing:
+    """Where documents go: first terms with the tokens that they lead, to groups of up to `most` tokens, or to several parts of one."""
+
+    def __init__(self, term: np.ndarray, tokens: np.ndarray, most: int):
+        self.group: dict[int, tuple[int, int]] = {}
+        number, filled = 0, 0
+        for t, n in sorted(zip(term.tolist(), tokens.tolist(), strict=True)):
+            if filled and filled + n > most:
+                number, filled = number + 1, 0
+            parts = -(-n // most)
+            self.group[t] = (number, parts)
+            if parts > 1:
+                number, filled = number + parts, 0
+            else:
+                filled += n
+
+    def shard(self, leads: np.ndarray) -> np.ndarray:
+        group = np.array([self.group[t] for t in leads[:, 0].tolist()], np.int64).reshape(-1, 2)
+        step = np.uint64(0x9E3779B97F4A7C15)
+        key = ba.mix(leads[:, 1].astype(np.uint64) * step)
+        key = np.where(group[:, 1] >= FINE, ba.mix(key + leads[:, 2].astype(np.uint64)), key)
+        return group[:, 0] + (key % group[:, 1].astype(np.uint64)).astype(np.int64)
+
+
+def _leads(stats, dtype: str):
+    """Rows (n, z) of documents: n, and the leading terms."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        idf, mean, shared = stats.value
+        d = zstandard.ZstdDecompressor()
+        for batch in batches:
+            docs = [np.frombuffer(d.decompress(z), dtype) for z in batch.column("z").to_pylist()]
+            found = leading_terms(docs, idf, mean, shared)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), *(pa.array(found[:, i]) for i in range(3))], ["row", "n", "a", "b", "c"])
+
+    return run
+
+
+def _sharded(dealing):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = np.stack([batch.column(c).to_numpy() for c in ("a", "b", "c")], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array(dealing.value.shard(leads))], ["r", "n", "shard"])
+
+    return run
+
+
 class Shard:
     """Documents of a shard and their inverted index."""
 
@@ -160,16 +224,12 @@ class Shard:
         doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in found])
         order = np.argsort(term, kind="stable")
         self.doc = doc[order]
-        norm = K1 * (1 - B + B * self.length[doc] / max(mean, 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm))[order]
+        self.weight = _weights(idf[term], tf, self.length[doc], mean)[order]
         self.bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents of the shard for the ids of the seed."""
-        return self.scores_of(self.terms[seed])
-
-    def scores_of(self, terms: np.ndarray) -> np.ndarray:
-        terms = terms.astype(np.int64)
+        terms = self.terms[seed].astype(np.int64)
         begin, sizes = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return np.bincount(self.doc[at], self.weight[at], len(self.docs))
@@ -224,7 +284,7 @@ def _powers_of_two(pieces: list[tuple[int, int, int]], total: int) -> Iterator[l
 
 def _packed(stats, window: int, dtype: str):
     def pieces(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        idf, mean = stats.value
+        idf, mean, _ = stats.value
         rows.sort(key=lambda r: (r[0], str(r[1]), r[2]))
         d = zstandard.ZstdDecompressor()
         docs = [np.frombuffer(d.decompress(z), dtype) for _, _, z in rows]
@@ -257,134 +317,11 @@ def _packed(stats, window: int, dtype: str):
     return run
 
 
-def _nearest(seeds, left, stats, window: int, dtype: str, most: int):
-    """The best unused documents for each seed, of a task's documents (number, z)."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        idf, mean = stats.value
-        d = zstandard.ZstdDecompressor()
-        best: list = [(np.zeros(0), np.zeros(0, np.int64))] * len(seeds.value)
-        for batch in batches:
-            number = batch.column(0).to_numpy()
-            on = np.flatnonzero(left.value[number] > 0)
-            if not len(on):
-                continue
-            number = number[on]
-            docs = [np.frombuffer(d.decompress(batch.column(1)[int(i)].as_py()), dtype) for i in on]
-            shard = Shard(docs, idf, mean, window)
-            for k, (own, terms) in enumerate(seeds.value):
-                scores = shard.scores_of(terms)
-                scores[number == own] = -1
-                if len(scores) > most:
-                    top = np.flatnonzero(scores >= np.partition(scores, -most)[-most])
-                else:
-                    top = np.arange(len(scores))
-                top = top[scores[top] >= 0]
-                best[k] = _first(np.concatenate([best[k][0], scores[top]]), np.concatenate([best[k][1], number[top]]), most)
-        for k, (scores, numbers) in enumerate(best):
-            if len(scores):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([scores]), pa.array([numbers])], ["seed", "scores", "numbers"])
-
-    return run
-
-
-def _first(scores: np.ndarray, numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((numbers, -scores))[:most]
-    return scores[order], numbers[order]
-
-
-def _windows(docs: DataFrame, stats, window: int, dtype: str) -> pa.Table:
-    """All pieces (r, start, length, sequence, offset), of the longest unused documents and their neighbours in the whole corpus."""
-    spark = docs.sparkSession
-    table = docs.select("row", "key", "n").toArrow()
-    row, key, length = (table.column(c).to_numpy() for c in ("row", "key", "n"))
-    order = np.lexsort((row, key))
-    row, length = row[order], length[order]
-    start = length // window * window
-    left = length - start
-    out: list[tuple] = []
-    sequences = 0
-
-    def put(sequence: list[tuple[int, int, int]]) -> None:
-        nonlocal sequences
-        offset = 0
-        for i, at, n in sequence:
-            out.append((int(row[i]), at, n, sequences, offset))
-            offset += n
-        sequences += 1
-
-    for i in np.flatnonzero(start):
-        for at in range(0, int(start[i]), window):
-            put([(int(i), at, window)])
-    numbers = spark.createDataFrame(pa.table({"r": row, "number": np.arange(len(row))}))
-    numbered = materialize(docs.join(numbers, F.col("row") == F.col("r")).select("number", "z"), "packing-numbered")
-    queue = np.argsort(-left, kind="stable")
-    d = zstandard.ZstdDecompressor()
-    size, most = SEEDS, NEAREST
-    while len(queue := queue[left[queue] > 0]):
-        block = queue[:size]
-        wanted = spark.createDataFrame(pa.table({"w": block}))
-        texts = dict(zip(*(c.to_pylist() for c in numbered.join(F.broadcast(wanted), F.col("number") == F.col("w")).select("number", "z").toArrow().columns), strict=True))
-        seeds = spark.sparkContext.broadcast([(int(i), np.unique(np.frombuffer(d.decompress(texts[int(i)]), dtype))) for i in block])
-        unused = spark.sparkContext.broadcast(left)
-        lists = numbered.mapInArrow(ba.trimmed(_nearest(seeds, unused, stats, window, dtype, most)), "seed bigint, scores array<double>, numbers array<bigint>")
-        near: dict[int, tuple] = {}
-        for k, scores, found in zip(*(c.to_pylist() for c in lists.toArrow().columns), strict=True):
-            old = near.get(k, (np.zeros(0), np.zeros(0, np.int64)))
-            near[k] = _first(np.concatenate([old[0], scores]), np.concatenate([old[1], np.array(found, np.int64)]), most)
-        whole = np.count_nonzero(left) - 1 <= most  # the lists hold all unused documents
-        done = 0
-        for k, seed in enumerate(block):
-            ended = False
-            while left[seed] and not ended:
-                candidates = [int(seed), *near.get(k, (None, []))[1]]
-                sequence, filled = [], 0
-                for i in candidates:
-                    take = int(min(left[i], window - filled))
-                    if take:
-                        sequence.append((int(i), int(start[i]), take))
-                        filled += take
-                ended = filled < window and not whole
-                if ended:
-                    break
-                for i, _, take in sequence:
-                    start[i] += take
-                    left[i] -= take
-                for x in [sequence] if filled == window else _powers_of_two(sequence, filled):
-                    put(x)
-            if ended:
-                break
-            done = k + 1
-        seeds.unpersist()
-        unused.unpersist()
-        if not done:  # short documents: longer lists
-            most *= 4
-        size = min(SEEDS, max(2 * done, SEEDS * NEAREST // most, 1))
-    columns = [np.array(c, np.int64) for c in zip(*out, strict=True)]
-    return pa.table(dict(zip(("r", "start", "length", "sequence", "offset"), columns, strict=True)))
-
-
-def _cut(dtype: str):
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
-            kind, out = batch.schema.field(0).type, []
-            for doc_id, n, z, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(d.decompress(z), dtype).astype("<u4")
-                out += [(doc_id, p["start"], p["length"], zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()), n, p["sequence"], p["offset"]) for p in pieces]
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
-
-    return run
-
-
 def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text", name: str = "packing") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text, and `end`; null and empty texts have `end` alone. Each id lies in exactly one piece;
-    the pieces of a sequence lie one after the other from offset 0. All sequences have `window` ids, but for at most 12 (of a
+    the pieces of a sequence lie one after the other from offset 0. All sequences have `window` ids, but for at most 12 of each shard (of a
     window of 4096), whose lengths are powers of two. Ids of rows are passed through, null or repeated; other columns are ignored; an empty table gives no
     rows. The result doesn't depend on the order or the partitions of the rows.
     """
@@ -404,15 +341,18 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = EN
     for r in found:
         frequency[r.id] = r.f
     idf = np.log1p((count - frequency + 0.5) / (frequency + 0.5))
-    stats = spark.sparkContext.broadcast((idf, total / max(count, 1)))
+    stats = spark.sparkContext.broadcast((idf, total / max(count, 1), frequency > 1))
+    leads = materialize(docs.select("row", "n", "z").mapInArrow(ba.trimmed(_leads(stats, tokenizer.dtype.str)), "row bigint, n bigint, a bigint, b bigint, c bigint"), f"{name}-leads")
+    first = leads.groupBy("a").agg(F.sum("n").alias("n")).toArrow()
+    dealing = spark.sparkContext.broadcast(Dealing(first.column("a").to_numpy(), first.column("n").to_numpy(), SHARD))
+    shards = leads.mapInArrow(ba.trimmed(_sharded(dealing)), "r bigint, n bigint, shard bigint")
+    # Copies, and what agrees in all leading terms, may be more than a shard.
+    sizes = shards.groupBy("shard").agg(F.ceil(F.sum("n") / (2 * SHARD)).cast("long").alias("salts")).where("salts > 1").select(F.col("shard").alias("s"), "salts")
+    shards = shards.join(sizes, F.col("shard") == F.col("s"), "left").select("r", "shard", F.coalesce("salts", F.lit(1)).alias("salts"))
+    dealt = docs.join(shards, F.col("row") == F.col("r"))
+    dealt = dealt.select((F.col("shard") * (1 << 16) + F.pmod("key", F.col("salts"))).alias("shard"), "key", "doc_id", "z")
     schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    if total <= SHARD:
-        dealt = docs.select(F.lit(0).cast("long").alias("shard"), "key", "doc_id", "z").repartition(1)
-        return dealt.mapInArrow(ba.trimmed(_packed(stats, window, tokenizer.dtype.str)), schema)
-    pieces = _windows(docs, stats, window, tokenizer.dtype.str)
-    of_row = spark.createDataFrame(pieces).groupBy("r").agg(F.collect_list(F.struct("start", "length", "sequence", "offset")).alias("pieces"))
-    cut = docs.join(of_row, F.col("row") == F.col("r")).select("doc_id", "n", "z", "pieces")
-    return cut.mapInArrow(ba.trimmed(_cut(tokenizer.dtype.str)), schema)
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(ba.trimmed(_packed(stats, window, tokenizer.dtype.str)), schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,22 +177,40 @@ def test_packing_puts_neighbours_together():
     assert {i for i, _, _ in first} == {0, 2}
 
 
-def test_packing_searches_the_whole_corpus(spark, monkeypatch):
-    """By blocks of seeds, over many tasks, the windows are those of one index over all documents."""
+def test_neighbours_are_those_of_brute_bm25():
+    """The order of the index is that of BM25 added up term by term."""
+    import math
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 60, rng.integers(1, 90)).astype("<u2") for _ in range(80)]
+    df = np.array([sum(t in d for d in docs) for t in range(60)])
+    idf, mean = np.log1p((80 - df + 0.5) / (df + 0.5)), np.mean([len(d) for d in docs])
+    shard = P.Shard(docs, idf, mean, 64)
+    for seed in range(0, 80, 7):
+        want = []
+        for d in docs:
+            score = 0.0
+            for t in set(docs[seed].tolist()):
+                tf = int((d == t).sum())
+                score += math.log(1 + (80 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            want.append(score)
+        assert np.allclose(shard.scores(seed), want)
+
+
+def test_packing_deals_by_leading_terms(spark, monkeypatch):
+    """Copies and near copies share a shard, shards are bounded, and a group of copies larger than a shard is divided."""
+    monkeypatch.setattr(P, "SHARD", 2000)
     rng = random.Random(5)
-    rows = [(i, sentence(rng, rng.choice([3, 20, 60, 150]))) for i in range(90)]
+    base = [sentence(rng, 60) for _ in range(12)]
+    rows = [(100 * i + k, b if k < 2 else b.replace("alpha", "beta", 1)) for i, b in enumerate(base) for k in range(4)] + [(5000 + k, base[0]) for k in range(150)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-
-    def windows():
-        found = {}
-        for r in P.pack(df, tokens.path("word_bpe_49k.json"), 256).collect():
-            found.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, r.length))
-        return sorted(sorted(x) for x in found.values())
-
-    want = windows()
-    for name, value in (("SHARD", 2000), ("SEEDS", 25), ("NEAREST", 4)):
-        monkeypatch.setattr(P, name, value)
-    assert windows() == want
+    got = P.pack(df, tokens.path("word_bpe_49k.json"), 256).collect()
+    shard, size = {}, {}
+    for r in got:
+        shard[r.doc_id] = r.sequence_id >> 32
+        size[r.sequence_id >> 32] = size.get(r.sequence_id >> 32, 0) + r.length
+    assert max(size.values()) < 3 * 2000 and len({shard[i] for i in range(5000, 5150)}) > 1
+    assert np.mean([shard[100 * i] == shard[100 * i + k] for i in range(1, 12) for k in range(1, 4)]) > 0.8
 
 
 def test_chunks_encode_like_whole_texts():
