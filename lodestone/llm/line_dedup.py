@@ -1,23 +1,22 @@
 """Line deduplication (operator 4): native Spark expressions only.
 
-A line is known by a 128-bit hash (two 64-bit ones) of its key. Hashes of the lines of a document
-are made distinct inside the document, then counted with map-side combining, so a line
-that a third of all documents hold costs one row a task. The hashes that reach
-the limit are joined back to (document, position) rows; those rows carry no text. Per
-document the dropped positions become a keep bitmap, and the text is touched
+A line is known by a 128-bit hash (two 64-bit ones) of its key. Counting with map-side combining leaves the hashes that may be
+frequent enough; only their lines go on, without text. They are range-partitioned by hash, a heavy hash in SALTS parts by document, with a secondary sort by document
+and position, and stream past: the first occurrence in each document counts the documents, the very first one is the
+least of those of the parts. Per document the dropped positions become a keep bitmap, compressed to run lengths, and the text is touched
 again only where the bitmap is applied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that a key loses at both ends.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines a bitmap word holds.
-WORD = 60
+#: Parts of a hash, by document.
+SALTS = 16
 
 
 def lower_ascii(c: Column) -> Column:
@@ -33,75 +32,93 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
 
 
-def _keep_words(n_lines: Column, dropped: Column) -> Column:
-    """The keep bitmap: one long for each WORD lines, bit i (of 0 to WORD - 1) set if line i of the word stays."""
-    gaps = F.transform(
-        dropped, lambda p, i: F.concat(F.repeat(F.lit("1"), p - F.when(i == 0, F.lit(-1)).otherwise(F.get(dropped, i - 1)) - 1), F.lit("0"))
-    )
-    head = F.array_join(gaps, "")
-    flags = F.concat(head, F.repeat(F.lit("1"), n_lines - F.length(head)))
-    words = F.sequence(F.lit(0), F.floor((n_lines - 1) / WORD).cast("int"))
-    return F.transform(words, lambda w: F.conv(F.reverse(F.substring(flags, w * WORD + 1, F.lit(WORD))), 2, 10).cast("long"))
+def _row_key(id_col: Column, text: Column) -> list[Column]:
+    """128 bits for a row: rows that share an id, or have none, are told apart by their texts."""
+    return [F.xxhash64(id_col, text).alias("r1"), F.xxhash64(F.lit(1), id_col, text).alias("r2")]
 
 
-def _kept(line: Column, i: Column, words: Column) -> Column:
-    return F.get(words, F.floor(i / WORD).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % WORD).cast("int"))) != 0
+def _runs(dropped: Column) -> tuple[Column, Column]:
+    """First and last positions of the runs of an ascending array of positions."""
+    firsts = F.filter(dropped, lambda p, i: (i == 0) | (F.get(dropped, i - 1) != p - 1))
+    lasts = F.filter(dropped, lambda p, i: (i == F.size(dropped) - 1) | (F.get(dropped, i + 1) != p + 1))
+    return firsts, lasts
+
+
+def _before(firsts: Column, lasts: Column, i: Column) -> Column:
+    """Where the kept run before run i begins."""
+    return F.when(i == 0, F.lit(0)).otherwise(F.get(lasts, i - 1) + 1)
 
 
 def line_bitmaps(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "all", min_docs: int = 10, min_chars: int = 1
 ) -> DataFrame:
-    """Per document that loses lines: doc_id, drops array<struct<pos, h2>>, sorted.
+    """Per row that loses lines: r1 and r2 (its key, see _row_key), firsts and lasts (ascending positions where runs of dropped lines begin and end).
 
     mode "all": keys found in min_docs documents at least lose all their lines.
     mode "first": of the lines with such a key, the first in order of document and position stays; with min_docs=1, repeats inside one document count too.
+    Rows that share an id are one document; rows without an id come first, and each text of theirs is one.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    keys = docs.select("doc_id", line_keys(F.col("t")).alias("keys"))
-    lines = keys.select("doc_id", F.posexplode("keys").alias("pos", "key")).where(F.char_length("key") >= min_chars)
-    lines = lines.select("doc_id", "pos", *_hashes(F.col("key")))
-    if mode == "first" and min_docs < 2:
-        counted = lines
-    else:
-        counted = keys.select(F.explode(F.array_distinct("keys")).alias("key")).where(F.char_length("key") >= min_chars).select(*_hashes(F.col("key")))
-    bad = counted.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(min_docs, 2 if mode == "first" else 1))
-    bad = bad.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    hits = lines.join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = df.select(F.col(id_col).alias("doc_id"), *_row_key(F.col(id_col), text), line_keys(text).alias("keys"))
+    keys = keys.withColumn("d", F.when(F.col("doc_id").isNull(), F.col("r1")).otherwise(F.xxhash64("doc_id")))
+    lines = keys.select("doc_id", "d", "r1", "r2", F.posexplode("keys").alias("pos", "key")).where(F.char_length("key") >= min_chars)
+    lines = lines.select("doc_id", "d", "r1", "r2", "pos", *_hashes(F.col("key")), F.pmod("d", F.lit(SALTS)).alias("s"))
+    least = max(min_docs, 1)
+    one_document = mode == "first" and min_docs < 2
+    counted = keys.select(F.explode("keys" if one_document else F.array_distinct("keys")).alias("key")).where(F.char_length("key") >= min_chars).select(*_hashes(F.col("key")))
+    maybe = counted.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (2 if one_document else least))
+    hits = lines.join(_salted(maybe.select("h1", "h2")), ["h1", "h2", "s"], "left_semi")
+    ranges = hits.repartitionByRange("h1", "h2", "s")
+    stream = Window.partitionBy("h1", "h2", "s").orderBy("doc_id", "d", "pos")
+    place = F.struct("doc_id", "d", "pos")
+    ranges = ranges.withColumn("new", ~F.lag("d").over(stream).eqNullSafe(F.col("d")))
+    verdicts = ranges.where("new").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= least)
+    dropped = ranges.join(_salted(verdicts.select("h1", "h2", "first")), ["h1", "h2", "s"])
     if mode == "first":
-        first = hits.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
-        hits = hits.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h2"))).alias("drops"))
+        dropped = dropped.where(~place.eqNullSafe(F.col("first")))
+    drops = dropped.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("pos"))
+    firsts, lasts = _runs(F.col("pos"))
+    return drops.select("r1", "r2", firsts.alias("firsts"), lasts.alias("lasts"))
+
+
+def _salted(hashes: DataFrame) -> DataFrame:
+    """Each row once for each part; these are the frequent hashes only."""
+    return hashes.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
 def line_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "all", min_docs: int = 10, min_chars: int = 1
 ) -> DataFrame:
-    """One row per input row: the columns of df with the text cleaned, and n_lines, n_dropped, keep_bitmap (array<long>).
+    """One row per input row: the columns of df with the text cleaned, and n_lines, n_dropped, keep_runs (array<long>).
 
+    keep_runs is the keep bitmap in run lengths: so many lines stay, so many go, and so on.
     Null and empty texts are one empty line, and stay so (a null stays null). Keys shorter than min_chars
-    code points are never dropped. Rows that share an id are told apart by the hash of the line that
-    stands at the position; a null id takes part as a value of its own. Columns of df named like the three new ones are replaced.
+    code points are never dropped. Rows that share an id are one document, but each is cleaned by its own lines; a row without an id
+    is a document named by its text. Rows that are equal fare alike. Very long texts are lines like others; positions are int. An empty table gives no rows.
+    Columns of df named like the three new ones are replaced.
     """
-    drops = line_bitmaps(df, id_col, text_col, mode, min_docs, min_chars).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
-    new = ["n_lines", "n_dropped", "keep_bitmap"]
-    out = df.drop(*new).join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    new = ["n_lines", "n_dropped", "keep_runs"]
+    bitmaps = line_bitmaps(df, id_col, text_col, mode, min_docs, min_chars).select(F.col("r1").alias("__b1"), F.col("r2").alias("__b2"), F.col("firsts").alias("__firsts"), F.col("lasts").alias("__lasts"))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    r1, r2 = _row_key(F.col(id_col), text)
+    out = df.drop(*new).withColumns({"__r1": r1, "__r2": r2}).join(bitmaps, (F.col("__r1") == F.col("__b1")) & (F.col("__r2") == F.col("__b2")), "left")
     out = out.withColumn("__lines", F.split(text, "\n"))
-    # The stored hash is compared with that of the line in place: another row under the same id drops nothing here.
-    right = F.filter("__drops", lambda d: F.xxhash64(F.lit(1), F.btrim(lower_ascii(F.get("__lines", d["pos"])), F.lit(WHITE))) == d["h2"])
-    out = out.withColumn("__pos", F.coalesce(F.transform(right, lambda d: d["pos"]), F.array().cast("array<int>")))
-    n = F.size("__lines")
-    out = out.withColumn("keep_bitmap", F.when(F.size("__pos") > 0, _keep_words(n, F.col("__pos"))))
-    kept = F.filter("__lines", lambda x, i: _kept(x, i, F.col("keep_bitmap")))
-    cleaned = F.when(F.size("__pos") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", F.size("__pos").cast("long"))
-    return out.withColumn(text_col, cleaned).select(*[c for c in df.columns if c not in new], *new)
+    firsts, lasts, n = F.col("__firsts"), F.col("__lasts"), F.size("__lines").cast("long")
+    some = firsts.isNotNull()
+    inner = F.flatten(F.transform(firsts, lambda p, i: F.array(p - _before(firsts, lasts, i), F.get(lasts, i) - p + 1))).cast("array<long>")
+    tail = n - F.element_at(lasts, -1) - 1
+    runs = F.when(some, F.concat(inner, F.when(tail > 0, F.array(tail)).otherwise(F.array().cast("array<long>")))).otherwise(F.array(n))
+    kept = F.flatten(F.transform(firsts, lambda p, i: F.slice("__lines", _before(firsts, lasts, i) + 1, p - _before(firsts, lasts, i))))
+    kept = F.concat(kept, F.slice("__lines", F.element_at(lasts, -1) + 2, F.size("__lines")))
+    gone = F.aggregate(F.zip_with(firsts, lasts, lambda a, b: b - a + 1), F.lit(0), lambda a, x: a + x)
+    out = out.withColumns({"keep_runs": runs, "n_lines": n, "n_dropped": F.coalesce(gone, F.lit(0)).cast("long"), text_col: F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text_col))})
+    return out.select(*[c for c in df.columns if c not in new], *new)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = line_dedup(docs, mode="all", min_docs=10, min_chars=1)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.array_join("keep_runs", ",").alias("keep_runs"))
 
 
 OP4_SQL = r"""
@@ -118,7 +135,18 @@ WITH lines AS (
 ), marked AS (
   SELECT k.*, b.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN bad b ON k.key = b.key
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+SELECT d.*, r.keep_runs FROM (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+  FROM marked GROUP BY doc_id
+) d JOIN (
+  SELECT doc_id, CASE WHEN bool_or(run = 1 AND dropped) THEN '0,' ELSE '' END || string_agg(n, ',' ORDER BY run) AS keep_runs
+  FROM (
+    SELECT doc_id, run, dropped, count(*)::VARCHAR AS n FROM (
+      SELECT doc_id, dropped, sum(change) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+        SELECT doc_id, pos, dropped, CASE WHEN dropped IS DISTINCT FROM lag(dropped) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS change FROM marked
+      )
+    ) GROUP BY doc_id, run, dropped
+  ) GROUP BY doc_id
+) r ON d.doc_id = r.doc_id
 """
