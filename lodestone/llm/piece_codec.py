@@ -17,8 +17,11 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +123,8 @@ class PieceCodec:
         lined = all("\n" not in x for x in self.joined)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if spaced else re.compile("(?s).+")
         self.cache = _Chunks(self)
+        #: What an id stands for; none for the bytes of longer characters, which have to be seen together.
+        self.surfaces = [chr(b) if (b := self.byte_of.get(i, 128)) < 128 else None if t == BYTE else self.unk_surface if t == UNKNOWN else "" if t == CONTROL else p.replace(SPACE, " ") for i, (p, _, t) in enumerate(self.pieces)]
         self.plain = self.map is None and self.escape and not self.squeeze and self.dummy
 
     # Normalisation
@@ -208,19 +213,19 @@ class PieceCodec:
 
     def chunk(self, chunk: str) -> tuple[list[int], list[int]]:
         """Ids, and the characters of the chunk that each takes: of a character in bytes, the first id has it."""
+        pieces = self.merged(chunk) if len(chunk) <= CACHE_CHARS else [x for part in self.parts(chunk) for x in self.merged(part)]
+        found = [*map(self.ids.get, pieces)]
+        if None not in found:
+            return found, [*map(len, pieces)]
         ids, sizes = [], []
-        for part in self.parts(chunk):
-            for piece in self.merged(part):
-                if (i := self.ids.get(piece)) is not None:
-                    ids.append(i)
-                    sizes.append(len(piece))
-                elif self.bytes:
-                    raw = piece.encode()
-                    ids.extend(self.bytes[b] for b in raw)
-                    sizes.extend([len(piece)] + [0] * (len(raw) - 1))
-                else:
-                    ids.append(self.unk)
-                    sizes.append(len(piece))
+        for piece, i in zip(pieces, found, strict=True):
+            if i is None and self.bytes:
+                raw = piece.encode()
+                ids.extend(self.bytes[b] for b in raw)
+                sizes.extend([len(piece)] + [0] * (len(raw) - 1))
+            else:
+                ids.append(self.unk if i is None else i)
+                sizes.append(len(piece))
         return ids, sizes
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
@@ -237,23 +242,32 @@ class PieceCodec:
                 ends.append(starts[at])
         return ids, begins, ends
 
-    def digested(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of what they decode to."""
-        if self.plain:
-            normal = SPACE + text.replace(" ", SPACE) if text else ""
-        else:
-            normal = self.normalise(text)[0]
-        found = [self.cache[c] for c in self.cut.findall(normal)]
-        listed = ",".join([x[0] for x in found])
-        decoded = "".join([x[1] for x in found])
-        if decoded[:1] == " " and (self.dummy or self.squeeze):
-            decoded = decoded.lstrip(" ") if self.squeeze else decoded[1:]
-        return listed.count(",") + bool(listed), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """encode() in arrays, and the ids in decimal joined by commas. Where normalisation only marks spaces, chunks carry the source bytes of their pieces."""
+        if not self.plain or SPACE in text or not text:
+            ids, begins, ends = (np.array(x, kind) for x, kind in zip(self.encode(text), (np.int32, np.int64, np.int64), strict=True))
+            return ids, begins, ends, ",".join(map(str, ids.tolist()))
+        found = [self.cache[c] for c in self.cut.findall(SPACE + text.replace(" ", SPACE))]
+        ids = np.frombuffer(b"".join([x[1] for x in found]), np.int32)
+        sizes = np.frombuffer(b"".join([x[2] for x in found]), np.int32).astype(np.int64)
+        sizes[0] -= 1  # the space put in front is in no source
+        at = np.cumsum(sizes)
+        own = np.maximum.accumulate(np.where(sizes > 0, np.arange(len(sizes)), 0))  # of a character in bytes, the first id has the span of all
+        return ids, (at - sizes)[own], at[own], ",".join([x[0] for x in found])
+
+    def digested(self, text: str) -> tuple[int, str, str, int]:
+        """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of what decode() makes of them, CRC-32 of the begins and ends of their source spans (64-bit numbers)."""
+        ids, begins, ends, listed = self.aligned(text)
+        decoded = self.decode(ids.tolist())
+        spans = zlib.crc32(ends.tobytes(), zlib.crc32(begins.tobytes()))
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), spans
 
     # Decoding
 
     def surface(self, ids: list[int]) -> str:
         """What the ids stand for, spaces that begin a text included."""
+        if None not in (out := [*map(self.surfaces.__getitem__, ids)]):
+            return "".join(out)
         out, run = [], bytearray()
         for i in [*ids, None]:
             if i is not None and (b := self.byte_of.get(i)) is not None:
@@ -294,22 +308,23 @@ def _utf8(data: bytes) -> str:
 
 
 class _Chunks(dict):
-    """Chunk -> (ids in decimal joined by commas, surface); emptied when full."""
+    """Chunk -> (ids in decimal joined by commas, ids, source bytes of each: a space for each mark), the last two as bytes; emptied when full."""
 
     def __init__(self, codec: PieceCodec):
         self.codec = codec
-        self.decimal = {p: str(i) for p, i in codec.ids.items()}
-
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        short = len(chunk) <= CACHE_CHARS
-        pieces = self.codec.merged(chunk) if short else []
-        listed = [self.decimal.get(p) for p in pieces]
-        if short and None not in listed:
-            value = (",".join(listed), "".join(pieces).replace(SPACE, " "))
-        else:
-            ids = self.codec.chunk(chunk)[0]
-            value = (",".join(map(str, ids)), self.codec.surface(ids))
-        if short:
+        self.decimal = [str(i) for i in range(len(codec.pieces))]
+
+    def __missing__(self, chunk: str) -> tuple[str, bytes, bytes]:
+        ids, sizes = self.codec.chunk(chunk)
+        if not chunk.replace(SPACE, "").isascii():
+            at, own = 0, []
+            for n in sizes:
+                part = chunk[at : at + n]
+                own.append(len(part.encode()) - 2 * part.count(SPACE))
+                at += n
+            sizes = own
+        value = (",".join([self.decimal[i] for i in ids]), array("i", ids).tobytes(), array("i", sizes).tobytes())
+        if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[chunk] = value
@@ -370,7 +385,10 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
 
 
 def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, of encoding and then decoding each text."""
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_crc32, of encoding each text with the spans of its pieces, and decoding the ids.
+
+    Null and empty texts have no ids; other edges are as in encode().
+    """
     rows = _rows(df, id_col, text_col)
     model = df.sparkSession.sparkContext.broadcast(_read(model_path))
 
@@ -378,10 +396,10 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         c = codec(model.value)
         for batch in batches:
             found = [c.digested(x or "") for x in batch.column(1).to_pylist()]
-            kinds = (pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,11 +364,16 @@ def test_pieces_like_the_library(spark, edge, empty):
 
     path = tokens.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    c = C.PieceCodec(C._read(path))
+    for x in ("Hello  world, and more", "Plain text\nof two lines ", " x"):
+        assert [(p.begin, p.end) for p in sp.encode(x, return_type="proto").pieces] == list(zip(*c.encode(x)[1:], strict=True))
     got = sorted(map(tuple, C.round_trip(edge, path).collect()), key=str)
     want = []
     for i, x in edge_rows():
         ids = sp.encode(x or "")
-        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+        spans = [np.array(v, np.int64) for v in c.encode(x or "")[1:]]
+        crc = zlib.crc32(spans[1].tobytes(), zlib.crc32(spans[0].tobytes()))
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), crc))
     assert got == sorted(want, key=str)
     short = edge.where("doc_id IN (1, 2, 3, 60, 61)")
     coded = C.encode(short, path)
@@ -383,6 +388,7 @@ def test_spans_cover_the_source():
         ids, begins, ends = c.encode(x)
         data = x.encode()
         assert begins[0] == 0 and ends[-1] == len(data)
+        assert [a.tolist() for a in c.aligned(x)[:3]] == [ids, begins, ends]
         assert c.decode(ids) == x.replace("▁", " ")
         for i, b, e in zip(ids, begins, ends, strict=True):
             piece = c.pieces[i][0]
