@@ -4,7 +4,7 @@ The suffix array is sparse. Each window of `width` bytes has an anchor: of the K
 smallest hash. Equal windows have equal anchors at equal offsets, so all repeats are found
 among suffixes that begin at anchors, about one byte in seventy. Consecutive windows of one anchor are a run.
 
-1. Runs are dealt by the hash of their anchor. Runs that are equal as a whole are repeats at once; anchors that
+1. Runs are dealt by the hash of their anchor (frequent anchors: by the run). Runs that are equal as a whole are repeats at once; anchors that
    occur once drop out. Of the rest, one run of each kind goes on.
 2. Sampled splitters range-partition these suffixes by their leading bytes. A bucket sorts the windows
    of its suffixes by multikey quicksort (leading token, then the fingerprint of the rest: only equality
@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ LEAD = 16
 HOT = 20_000
 #: Runs that a bucket works on at a time, at least; rows held back of one anchor, at most.
 CHUNK, HELD = 8_000, 200_000
+#: Runs of one anchor in a piece of text from which they are dealt by the run.
+KINDS = 8
 #: Starts in a piece: positions take the low 22 bits.
 PIECE = 1 << 21
 _POSITION = np.uint64((1 << 22) - 1)
@@ -79,9 +83,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[:n], head[w - 1 : w - 1 + n])
 
 
-def run_keys(h: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    shape = ((end - begin) * _PACK + anchor - begin).astype(np.uint64)
-    return ba.mix(ba.span_hash(h, begin, end) + ba.mix(shape + np.uint64(1)))
+def run_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Names of runs: XXH3 of their bytes, with the length and the place of the anchor. Together with the anchor's own hash 128 bits tell runs apart."""
+    view, name = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    found = np.fromiter((name(view[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin))
+    return ba.mix(found + ba.mix(((end - begin) * _PACK + anchor - begin).astype(np.uint64) + np.uint64(1)))
 
 
 def _pieces(offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
@@ -160,9 +166,11 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _runs(width: int):
-    """Runs of the documents: pk (hash of the anchor), rkey, rid, begin, shape (length x 1024 + offset of the anchor).
+    """Runs of the documents: deal, pk (hash of the anchor), rkey, rid, begin, shape (length x 1024 + offset of the anchor).
 
     A task sends at most two equal runs; more of them are repeats already, and are sent as spans (shape: minus the length), dealt by document.
+    Runs are dealt by their anchor. Where one anchor has more than KINDS of them in a piece of text, these
+    are dealt by the run instead, and a row of shape 0 tells the anchor's own place that there are others.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -175,7 +183,7 @@ def _runs(width: int):
                 doc, first, last, anchor, h = anchors(data[begin:end], own, width)
                 if not len(doc):
                     continue
-                key = run_keys(h, first, last, anchor)
+                key = run_keys(data[begin:end], first, last, anchor)
                 order = np.argsort(key, kind="stable")
                 rank = np.empty(len(key), np.int64)
                 head = np.ones(len(key), bool)
@@ -191,6 +199,11 @@ def _runs(width: int):
                 place = first + begin - offsets[:-1][a:b][doc]
                 shape = (last - first) * _PACK + anchor - first
                 size = last - first
+                # Anchors that are known to have several runs need not wait for the rest in one place.
+                found, which, counts = np.unique(pk, return_inverse=True, return_counts=True)
+                hot = counts > KINDS
+                deal = np.where(hot[which] & ~extra, ba.mix(pk ^ key), pk)
+                told = found[hot]
                 # Neighbouring spans become one.
                 e = np.flatnonzero(extra)
                 if len(e):
@@ -200,16 +213,16 @@ def _runs(width: int):
                     j = np.append(i[1:], len(e)) - 1
                     size[e[i]] = last[e[j]] - first[e[i]]
                     shape[e[i]] = -size[e[i]]
-                    pk[e[i]] = ba.mix(rid[a:b][doc[e[i]]].view(np.uint64))
+                    deal[e[i]] = pk[e[i]] = ba.mix(rid[a:b][doc[e[i]]].view(np.uint64))
                     key[e[i]] = 0
                     keep = ~extra
                     keep[e[i]] = True
                 else:
                     keep = ~extra
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pk[keep].view(np.int64)), pa.array(key[keep].view(np.int64)), pa.array(rid[a:b][doc[keep]]), pa.array(place[keep], pa.int32()), pa.array(shape[keep], pa.int32())],
-                    ["pk", "rkey", "rid", "begin", "shape"],
-                )
+                zero = np.zeros(len(told), np.int64)
+                columns = [deal[keep].view(np.int64), pk[keep].view(np.int64), key[keep].view(np.int64), rid[a:b][doc[keep]], place[keep], shape[keep]]
+                columns = [np.concatenate([c, t]) for c, t in zip(columns, [told.view(np.int64), told.view(np.int64), zero, zero, zero, zero], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], ["deal", "pk", "rkey", "rid", "begin", "shape"])
 
     return run
 
@@ -217,24 +230,24 @@ def _runs(width: int):
 _JUDGED = "rid bigint, begin int, shape int, pk bigint, rkey bigint, send boolean, span boolean"
 
 
-def _judge(batches) -> Iterator[pa.RecordBatch]:
+def _judge(batches, most: int) -> Iterator[pa.RecordBatch]:
     """Runs sorted by anchor and run key: spans of repeats (span), and one run of each kind where an anchor has several (send)."""
-    names = ["pk", "rkey", "rid", "begin", "shape"]
+    names = ["deal", "pk", "rkey", "rid", "begin", "shape"]
 
     forced: int | None = None
 
     def judged(x: dict[str, np.ndarray], force: bool) -> pa.RecordBatch | None:
-        free = x["shape"] < 0
+        free, told = x["shape"] < 0, x["shape"] == 0
         anchor = np.ones(len(free), bool)
-        anchor[1:] = x["pk"][1:] != x["pk"][:-1]
+        anchor[1:] = (x["deal"][1:] != x["deal"][:-1]) | (x["pk"][1:] != x["pk"][:-1])
         kind = anchor.copy()
-        kind[1:] |= (x["rkey"][1:] != x["rkey"][:-1]) | (free[1:] != free[:-1])
+        kind[1:] |= (x["rkey"][1:] != x["rkey"][:-1]) | (np.sign(x["shape"][1:]) != np.sign(x["shape"][:-1]))
         kind_of = np.cumsum(kind) - 1
-        many = (np.bincount(kind_of) > 1)[kind_of]
+        many = (np.bincount(kind_of) > 1)[kind_of] & ~told
         anchor_of = np.cumsum(anchor) - 1
-        kinds = np.bincount(anchor_of, kind & ~free)[anchor_of]
+        kinds = np.bincount(anchor_of, (kind & ~free) + 2 * told)[anchor_of]
         span = free | many
-        send = kind & ~free & ((kinds > 1) | force | (False if forced is None else x["pk"] == forced))
+        send = kind & ~free & ~told & ((kinds > 1) | force | (x["deal"] != x["pk"]) | (False if forced is None else x["pk"] == forced))
         keep = span | send
         if not keep.any():
             return None
@@ -248,11 +261,12 @@ def _judge(batches) -> Iterator[pa.RecordBatch]:
             x = {n: np.concatenate([held[n], x[n]]) for n in names}
         if not len(x["pk"]):
             continue
-        cut = int(np.searchsorted(x["pk"], x["pk"][-1], "left"))
-        force = len(x["pk"]) - cut > HELD
+        cut = int(np.searchsorted(x["deal"], x["deal"][-1], "left"))
+        force = len(x["pk"]) - cut > most
         if force:
             # Too many runs of one anchor to wait for its end: they are taken to be of several kinds, which is safe.
-            cut += int(np.searchsorted(x["rkey"][cut:], x["rkey"][-1], "left"))
+            change = (x["rkey"][1:] != x["rkey"][:-1]) | (x["pk"][1:] != x["pk"][:-1])
+            cut = max(cut, int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0)
         if cut and (out := judged({n: x[n][:cut] for n in names}, force)) is not None:
             yield out
         if force:
@@ -298,7 +312,7 @@ def _cut_out(width: int):
                     continue
                 data, offsets = ba.flat(pa.array([o[-1] for o in out], pa.large_binary()))
                 begin = offsets[:-1]
-                key = run_keys(ba.prefix_hash(ba.BYTE[data]), begin, offsets[1:], begin + np.array([o[5] for o in out]))
+                key = run_keys(data, begin, offsets[1:], begin + np.array([o[5] for o in out]))
                 own = key.view(np.int64) == np.array([o[2] for o in out])
                 columns = list(zip(*[o for o, k in zip(out, own, strict=True) if k], strict=True))
                 if columns:
@@ -356,11 +370,15 @@ def _dealt_windows(width: int):
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
                 data, offsets = ba.flat(part.column("bytes"))
-                run, place, f1 = _windows(data, offsets, width)
-                f2 = ba.mix(ba.span_hash(ba.prefix_hash(ba.mix(ba.BYTE)[data]), place, place + width))
+                counts = np.diff(offsets) - width + 1
+                run = np.repeat(np.arange(len(counts)), counts)
+                place = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[:-1][run]
+                view, name = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+                names = np.frombuffer(b"".join([name(view[x : x + width]) for x in place.tolist()]), np.int64).reshape(-1, 2)
+                f1, f2 = np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1])
                 begin = part.column("begin").to_numpy()[run] + place - offsets[:-1][run]
                 span = part.column("span").to_numpy(zero_copy_only=False)[run]
-                yield pa.RecordBatch.from_arrays([pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(part.column("rid").to_numpy()[run]), pa.array(begin, pa.int64()), pa.array(span)], ["f1", "f2", "rid", "begin", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), pa.array(part.column("rid").to_numpy()[run]), pa.array(begin, pa.int64()), pa.array(span)], ["f1", "f2", "rid", "begin", "span"])
 
     return run
 
@@ -368,8 +386,8 @@ def _dealt_windows(width: int):
 def repeat_spans(df: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", name: str = "suffix", hot: int = HOT) -> DataFrame:
     """Spans of repeated bytes: rid (hash of id and text), b, e; they may overlap."""
     base = _named(df.select(id_col, text_col), id_col, text_col).select("__rid", text_col)
-    runs = base.mapInArrow(ba.trimmed(_runs(width)), "pk bigint, rkey bigint, rid bigint, begin int, shape int")
-    judged = materialize(runs.repartition("pk").sortWithinPartitions("pk", "rkey").mapInArrow(ba.trimmed(_judge), _JUDGED), f"{name}-judged")
+    runs = base.mapInArrow(ba.trimmed(_runs(width)), "deal bigint, pk bigint, rkey bigint, rid bigint, begin int, shape int")
+    judged = materialize(runs.repartition("deal").sortWithinPartitions("deal", "pk", "rkey").mapInArrow(ba.trimmed(partial(_judge, most=HELD)), _JUDGED), f"{name}-judged")
     length = F.when(F.col("shape") < 0, -F.col("shape")).otherwise(F.floor(F.col("shape") / _PACK))
     whole = judged.where("span").select("rid", F.col("begin").cast("long").alias("b"), (F.col("begin") + length).cast("long").alias("e"))
     sends = judged.where("send").groupBy("rid").agg(F.collect_list(F.struct("begin", "shape", "pk", "rkey", "span")).alias("sends"))
@@ -380,7 +398,7 @@ def repeat_spans(df: DataFrame, width: int = 200, id_col: str = "doc_id", text_c
     crowded = judged.where("send").groupBy("pk").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select(F.col("pk").alias("crowd"))
     records = materialize(records.join(crowded, F.col("pk") == F.col("crowd"), "left").withColumn("hot", F.col("crowd").isNotNull()).drop("crowd"), f"{name}-records")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = records.where("NOT hot").drop("hot").repartitionByRange(n, "lead").sortWithinPartitions("lead", "pk")
+    buckets = records.where("NOT hot").drop("hot").repartitionByRange(n, "lead", "pk").sortWithinPartitions("lead", "pk")
     found = buckets.mapInArrow(ba.trimmed(_sorted_buckets(width)), "rid bigint, b bigint, e bigint")
     windows = records.where("hot").drop("hot").mapInArrow(ba.trimmed(_dealt_windows(width)), "f1 bigint, f2 bigint, rid bigint, begin bigint, span boolean")
     twice = windows.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"))
@@ -432,7 +450,7 @@ def suffix_dedup(df: DataFrame, width: int = 200, id_col: str = "doc_id", text_c
     """df with the repeated bytes of the text gone; all rows and all other columns stay.
 
     A byte goes if a string of `width` bytes (65 to 500) that covers it starts anywhere else too, in the same document or another one,
-    overlaps included; strings are judged on the input. Texts are UTF-8; characters of which only some bytes go lose the others too.
+    overlaps included; strings are judged on the input. An empty table gives no rows; texts of any length are read in pieces. Texts are UTF-8; characters of which only some bytes go lose the others too.
     Null texts count as empty, and stay null. Rows may repeat ids, or each other (then they are copies), and ids may be null.
     """
     columns = df.columns

@@ -46,8 +46,11 @@ def small(rows):
     return [(i, x[:3000] if x else x) for i, x in rows]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("hot,kinds,held", [(20_000, 8, 200_000), (2, 1, 3), (20_000, 1, 200_000), (20_000, 8, 2)])
+def test_suffix_dedup(spark, hot, kinds, held, monkeypatch):
+    monkeypatch.setattr(S, "KINDS", kinds)
+    monkeypatch.setattr(S, "HELD", held)
+    monkeypatch.setattr(S, "CHUNK", 16 if kinds == 1 else 8_000)
     rows = small(edge_rows())
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     for width in (200, 100):
@@ -56,16 +59,14 @@ def test_suffix_dedup(spark, hot):
         assert any(w[2] and w[2] < w[1] for w in want)
 
 
-def test_last_run_of_a_forced_anchor_is_sent(monkeypatch):
+def test_last_run_of_a_forced_anchor_is_sent():
     import pyarrow as pa
 
-    monkeypatch.setattr(S, "HELD", 3)
-
     def batch(pk, rkeys):
         n = len(rkeys)
-        return pa.RecordBatch.from_arrays([pa.array([pk] * n), pa.array(rkeys), pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([9] * n, pa.int32())], ["pk", "rkey", "rid", "begin", "shape"])
+        return pa.RecordBatch.from_arrays([pa.array([pk] * n), pa.array([pk] * n), pa.array(rkeys), pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([9] * n, pa.int32())], ["deal", "pk", "rkey", "rid", "begin", "shape"])
 
-    out = [r for b in S._judge(iter([batch(1, [1, 2, 3, 4, 5]), batch(2, [6]), batch(3, [7])])) for r in b.to_pylist()]
+    out = [r for b in S._judge(iter([batch(1, [1, 2, 3, 4, 5]), batch(2, [6]), batch(3, [7])]), 3) for r in b.to_pylist()]
     assert [r["rkey"] for r in out if r["send"] and r["pk"] == 1] == [1, 2, 3, 4, 5]
     assert not [r for r in out if r["pk"] == 2]
 
