@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,43 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder; where neither is set, a temporary one, for local sessions only."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = getattr(spark.sparkContext, "_lodestone_dir", None)
-        if folder is None:
-            folder = spark.sparkContext._lodestone_dir = tempfile.mkdtemp(prefix="lodestone-")
+        set_dir = context._jsc.sc().getCheckpointDir()
+        folder = set_dir.get() if set_dir.isDefined() else getattr(context, "_lodestone_dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = context._lodestone_dir = tempfile.mkdtemp(prefix="lodestone-")
     return folder
 
 
+#: Folders that materialize() wrote and nothing has removed.
+_written: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialized inside go at the end, but for those given to the function that this returns."""
+    mark, kept = len(_written), set()
+    yield lambda df: kept.update(_folders(df))
+    for path in _written[mark:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            _delete(spark, path)
+            _written.remove(path)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -41,6 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     takes less room than checkpoint()'s serialized rows.
     """
     path = table_path(df.sparkSession, name)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,7 +81,5 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def remove_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
-    jvm = spark._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
