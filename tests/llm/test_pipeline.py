@@ -28,3 +28,58 @@ def test_stages(spark):
         before = docs.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_run(spark):
+    """Every document that the stages keep is in the windows once, gapless, and no window is longer than 4096 tokens."""
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        pytest.skip("without the pipeline")
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in rows} < ids
+    ends, size = {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == ends.get(r.doc_id, 0)
+        ends[r.doc_id] = r.start + r.length
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    assert max(size.values()) <= 4096 and all(ends[r.doc_id] == r.doc_tokens for r in rows)
+
+
+COLUMNS = {
+    "op1_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op2_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op3_quality_crf": ["doc_id", "held_out", "score", "predicted"],
+    "op4_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op5_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op6_url_filter": ["page_id", "host", "path", "rule", "verdict"],
+    "op7_media_jpeg": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+    "op8_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op9_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+    "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+}
+LIMIT = {"op3_quality_crf": 0.7, "op10_toxicity": 0.3}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_registered_queries(spark, name):
+    """The queries themselves: columns of the contract, one row a document (packing aside), folds and thresholds."""
+    import zlib
+
+    out = QUERIES[name](spark, SF)
+    assert out.columns[: len(COLUMNS[name])] == COLUMNS[name]
+    rows = out.collect()
+    table = "pages" if name == "op6_url_filter" else "documents"
+    key = out.columns[0]
+    want = sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
+    assert sorted({r[0] for r in rows} if name == "op5_packing" else [r[0] for r in rows]) == want
+    if name in LIMIT:
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= LIMIT[name]) for r in rows)
+        labels = {r.doc_id: r[1] for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality" if name == "op3_quality_crf" else "toxic").collect()}
+        judged = [r.predicted == labels[r.doc_id] for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+        assert sum(judged) >= 0.8 * len(judged)
+    if name == "op7_media_jpeg":
+        assert all(r.payload_bytes % 64 == 0 and r.payload_bytes >= max(r.n_bytes, 64) for r in rows)
+    if name == "op1_suffix_dedup":
+        assert any(0 < r.n_removed < r.n_bytes for r in rows) and any(not r.n_removed for r in rows)
