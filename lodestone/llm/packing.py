@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SHARD = 1 << 20
 FINE = 2048
 K1, B = 1.2, 0.75
 CACHE_ENTRIES = 400_000
+#: Of these, those that stay when a task ends.
+KEPT = 60_000
 #: Texts are cut at these: white space for any tokenizer that this module accepts.
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 
@@ -92,6 +95,13 @@ class ChunkIds(dict):
         ids = self[chunk] = np.array(found, self.dtype).tobytes()
         return ids
 
+    def shrink(self, most: int) -> None:
+        """Leaves the chunks that came first, which are the common ones."""
+        if len(self) > most:
+            first = list(islice(self.items(), most))
+            self.clear()
+            self.update(first)
+
     def ids(self, texts: list[str], end: int | None) -> list[np.ndarray]:
         last = b"" if end is None else np.array([end], self.dtype).tobytes()
         get, out = self.__getitem__, []
@@ -130,6 +140,7 @@ def _tokenized(shared, end: int):
                 at_row = pa.array(np.arange(row, row + part.num_rows))
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays([at_row, part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in found], pa.binary())], names)
+        tokenizer.shrink(KEPT)
         if kind is not None:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], kind), pa.array([None], pa.int64()), pa.array([packer.compress(frequency.tobytes())], pa.binary())], names)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ THRESHOLD = 0.3
 SAMPLE = 6000
 #: Words whose numbers a worker keeps.
 CACHE_ENTRIES = 200_000
+#: Of these, those that stay when a task ends.
+KEPT = 40_000
 #: Words whose n-grams are hashed at a time.
 PART = 20_000
 
@@ -134,14 +137,15 @@ def _bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
         counts = Counter(words_of(t))
         ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in counts], np.int32)
         lists.append((ids, np.fromiter(counts.values(), np.int32, len(counts))))
-    names, found = list(vocabulary), []
+    names = list(vocabulary)
+    del vocabulary
+    lengths = np.array([len(w) + 2 for w in names], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(1 + sum(np.maximum(lengths - n + 1, 0) for n in range(s.shortest, s.longest + 1)))]) if names else np.zeros(1, np.int64)
+    keys = np.empty(bounds[-1], np.int32)
     for at in range(0, len(names), PART):
-        keys, bounds = subwords(names[at : at + PART], s)
-        found.append((keys.astype(np.int32), np.diff(bounds)))
-    keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int32)
-    bounds = np.concatenate([[0], *(np.cumsum(n) for _, n in found)]).astype(np.int64)
-    for i in range(1, len(found)):
-        bounds[1 + i * PART :] += len(found[i - 1][0])
+        found, _ = subwords(names[at : at + PART], s)
+        keys[bounds[at] : bounds[at] + len(found)] = found
+    del names, lengths
     out = []
     for ids, counts in lists:
         shares = np.sqrt(counts) / (np.sqrt(counts).sum() + s.padding)
@@ -169,6 +173,13 @@ class WordScores(dict):
         sums = np.add.reduceat(self.numbers[keys].astype(np.float64), bounds[:-1]) / np.diff(bounds)
         self.update(zip(words, sums.tolist()))
 
+    def shrink(self, most: int = 0) -> None:
+        """Leaves the words that were learned first, which are the common ones."""
+        if len(self) > most:
+            first = list(islice(self.items(), most))
+            self.clear()
+            self.update(first)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         lists = [Counter(words_of(t)) for t in texts]
         if len(self) > CACHE_ENTRIES:
@@ -204,6 +215,7 @@ def score(df: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col:
                 part = batch.slice(at, 1000)
                 found = scorer.scores([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+        scorer.shrink(KEPT)
 
     return rows.mapInArrow(ba.trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -220,6 +232,7 @@ def drop_toxic(df: DataFrame, model: SubwordModel, threshold: float = THRESHOLD,
                 part = batch.slice(i, 1000)
                 clean = scorer.scores([x or "" for x in part.column(at).to_pylist()]) < threshold
                 yield part.filter(pa.array(clean))
+        scorer.shrink(KEPT)
 
     return df.mapInArrow(ba.trimmed(run), df.schema)
 
