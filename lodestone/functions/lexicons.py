@@ -262,3 +262,44 @@ CHINESE = {
 #: A lexicon of words that the synthetic tables hold, for queries whose results shouldn't be empty.
 SAMPLE_CLASSES = {"HARM": ["the", "this"], "CARE": ["of", "with"], "DUTY": ["and", "to"], "PROPERTY": ["in", "that"], "FAMILY": ["he", "you"]}
 SAMPLE_LEXICON = {k: [rf"\b({'|'.join(v)})\b"] for k, v in SAMPLE_CLASSES.items()}
+
+# Modal words with their states, in order of declaration; negations; the vowel marks that go before matching.
+ARABIC_MODALS = {
+    "يجب": "OBLIGATION",
+    "واجب": "OBLIGATION",
+    "فرض": "OBLIGATION",
+    "لازم": "OBLIGATION",
+    "يجوز": "LIBERTY",
+    "مباح": "LIBERTY",
+    "حلال": "LIBERTY",
+    "حرام": "NO_RIGHT",
+    "محرم": "NO_RIGHT",
+    "ممنوع": "NO_RIGHT",
+}
+ARABIC_NEGATIONS = ["لا", "ما", "ليس", "لم", "لن", "غير"]
+ARABIC_MARKS = r"[ً-ٟ]"
+HEBREW_MODALS = {
+    "חייב": "OBLIGATION",
+    "צריך": "OBLIGATION",
+    "מוכרח": "OBLIGATION",
+    "מצווה": "OBLIGATION",
+    "מותר": "LIBERTY",
+    "רשאי": "LIBERTY",
+    "יכול": "LIBERTY",
+    "אסור": "NO_RIGHT",
+    "אי אפשר": "NO_RIGHT",
+}
+HEBREW_NEGATIONS = ["לא", "אל", "בלי", "אין", "מבלי"]
+HEBREW_MARKS = r"[֑-ׇ]"
+# Dimensions and the names that weights are exported under; the weight of one that is missing.
+WEIGHT_NAMES = {
+    "HARM": "physical_harm",
+    "RIGHTS": "rights_respect",
+    "FAIRNESS": "fairness_equity",
+    "AUTONOMY": "autonomy_respect",
+    "PRIVACY": "privacy_protection",
+    "SOCIETAL": "societal_environmental",
+    "LEGITIMACY": "legitimacy_trust",
+    "EPISTEMIC": "epistemic_quality",
+}
+MISSING_WEIGHT = 0.1

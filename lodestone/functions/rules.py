@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,22 +16,57 @@ def pattern(p: str) -> str:
     return f"(?iU){p}"
 
 
-def any_match(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(pattern("|".join(f"(?:{p})" for p in patterns)))
+#: Patterns that are a choice of single words.
+_SINGLE_WORDS = re.compile(r"\\b\(([A-Za-z|]+)\)\\b")
 
 
-def hits(text: Column, patterns: list[str]) -> Column:
-    """Matches of all patterns together."""
+def _parted(patterns: list[str]) -> tuple[Counter, list[str]]:
+    """Single words with the patterns that name them, and the patterns that are not a choice of such."""
+    found = [_SINGLE_WORDS.fullmatch(p) for p in patterns]
+    words = Counter(w for m in found if m for w in {*m[1].lower().split("|")})
+    return words, [p for m, p in zip(found, patterns, strict=True) if not m]
+
+
+def _with_words(text: Column, f) -> Column:
+    """f(text, words), both worked out once: the words are those between word boundaries, in lower case, two letters replaced by those that they match without regard to case."""
+    words = F.split(F.translate(F.lower(text), "\u017f\u0131", "si"), r"(?U)\W+")
+    return F.get(F.transform(F.array(F.struct(text.alias("text"), words.alias("words"))), lambda b: f(b["text"], b["words"])), F.lit(0))
+
+
+def _any(text: Column, words: Column, patterns: list[str]) -> Column:
+    single, others = _parted(patterns)
+    tests = [F.arrays_overlap(words, F.array(*map(F.lit, sorted(single))))] if single else []
+    tests += [text.rlike(pattern("|".join(f"(?:{p})" for p in others)))] if others else []
+    return tests[0] | tests[1] if len(tests) > 1 else tests[0]
+
+
+def _count(text: Column, words: Column, patterns: list[str]) -> Column:
+    single, others = _parted(patterns)
     total = F.lit(0)
-    for p in patterns:
+    for times in sorted({*single.values()}):
+        chosen = sorted(w for w, n in single.items() if n == times)
+        total = total + times * F.size(F.filter(words, lambda w: w.isin(chosen)))
+    for p in others:
         total = total + F.regexp_count(text, F.lit(pattern(p)))
     return total
 
 
+def any_match(text: Column, patterns: list[str]) -> Column:
+    return _with_words(text, lambda t, ws: _any(t, ws, patterns))
+
+
+def hits(text: Column, patterns: list[str]) -> Column:
+    """Matches of all patterns together: single words are counted among the words of the text, other patterns searched for."""
+    return _with_words(text, lambda t, ws: _count(t, ws, patterns))
+
+
 def class_counts(text: Column, lexicon: dict[str, list[str]]) -> Column:
     """array<struct<n, ordinal, class>>, most matches first, then in order of declaration; classes without a match are left out."""
-    items = F.array(*[F.struct((-hits(text, ps)).alias("minus"), F.lit(i).alias("ordinal"), F.lit(c).alias("class")) for i, (c, ps) in enumerate(lexicon.items())])
-    found = F.array_sort(F.filter(items, lambda x: x["minus"] < 0))
+
+    def items(t: Column, ws: Column) -> Column:
+        return F.array(*[F.struct((-_count(t, ws, ps)).alias("minus"), F.lit(i).alias("ordinal"), F.lit(c).alias("class")) for i, (c, ps) in enumerate(lexicon.items())])
+
+    found = F.array_sort(F.filter(_with_words(text, items), lambda x: x["minus"] < 0))
     return F.transform(found, lambda x: F.struct((-x["minus"]).alias("n"), x["ordinal"].alias("ordinal"), x["class"].alias("class")))
 
 
@@ -44,12 +82,12 @@ def top_class(text: Column, lexicon: dict[str, list[str]]) -> Column:
 
 def first_class(text: Column, lexicon: dict[str, list[str]], default: str | None = None) -> Column:
     """The first declared class that matches."""
-    return F.coalesce(*[F.when(any_match(text, ps), F.lit(c)) for c, ps in lexicon.items()], F.lit(default))
+    return _with_words(text, lambda t, ws: F.coalesce(*[F.when(_any(t, ws, ps), F.lit(c)) for c, ps in lexicon.items()], F.lit(default)))
 
 
 def matched_classes(text: Column, lexicon: dict[str, list[str]], default: str | None = None) -> Column:
     """All classes that match, in order of declaration."""
-    found = F.filter(F.array(*[F.when(any_match(text, ps), F.lit(c)) for c, ps in lexicon.items()]), lambda x: x.isNotNull())
+    found = F.filter(_with_words(text, lambda t, ws: F.array(*[F.when(_any(t, ws, ps), F.lit(c)) for c, ps in lexicon.items()])), lambda x: x.isNotNull())
     return found if default is None else F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
 
 
@@ -242,3 +280,14 @@ def positional(text: Column, c: dict = L.CHINESE) -> Column:
         F.when(passive, before).otherwise(after).alias("patient"),
         F.round(confidence, 6).alias("confidence"),
     )
+
+
+def morphological(text: Column, modals: dict[str, str], cues: list[str], marks: str, tokens: bool) -> Column:
+    """struct<modal, state, context, negated, confidence> by substrings, after vowel marks go: the first declared modal; a cue as a substring or (tokens) a whole word. No class is set."""
+    plain = F.regexp_replace(text, marks, "")
+    word = F.coalesce(*[F.when(F.contains(plain, F.lit(m)), F.lit(m)) for m in modals])
+    state = F.coalesce(*[F.when(word == m, F.lit(s)) for m, s in modals.items()])
+    return F.struct(
+        word.alias("modal"), state.alias("state"), F.when(word.isNotNull(), "prescriptive").otherwise("descriptive").alias("context"),
+        negated(plain, cues, tokens).alias("negated"), F.when(word.isNotNull(), 0.7).otherwise(0.5).alias("confidence"),
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import lexicons as L
+
 from lodestone.functions.dihedral import correlative
 
 
@@ -106,3 +108,15 @@ def module_summary(df: DataFrame, domain: str, state: str, source: str) -> DataF
     """Per domain: rows, share of each state, and all sources, sorted."""
     shares = [F.avg((F.coalesce(F.col(state), F.lit("")) == s).cast("double")).alias(f"share_{s.lower()}") for s in "OCLN"]
     return df.groupBy(domain).agg(F.count(F.lit(1)).alias("n"), *shares, F.array_sort(F.collect_set(source)).alias("sources"))
+
+
+def remapped_weights(df: DataFrame, dimension: str, weight: str) -> DataFrame:
+    """name, weight: dimensions under the names they are exported with, a missing one at its default, virtue_care at half of SOCIETAL, together 1. Other dimensions are left out."""
+    names = df.sparkSession.createDataFrame(list(L.WEIGHT_NAMES.items()), "__d string, name string")
+    found = df.groupBy(dimension).agg(F.max(weight).alias("__w"))
+    rows = names.join(found, F.col("__d") == F.col(dimension), "left").select("name", F.coalesce("__w", F.lit(L.MISSING_WEIGHT)).alias("weight"))
+    care = rows.where(F.col("name") == L.WEIGHT_NAMES["SOCIETAL"]).select(F.lit("virtue_care").alias("name"), (F.col("weight") * 0.5).alias("weight"))
+    # Nine rows.
+    rows = rows.unionByName(care)
+    total = rows.agg(F.sum("weight").alias("total"))
+    return rows.crossJoin(F.broadcast(total)).select("name", F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(F.col("weight")).alias("weight"))

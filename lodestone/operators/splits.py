@@ -122,3 +122,49 @@ def without_overlap(train: DataFrame, test: DataFrame, id_col: str) -> tuple[Dat
     """Both sides without the ids that are in both."""
     both = train.select(id_col).intersect(test.select(id_col))
     return train.join(both, id_col, "left_anti"), test.join(both, id_col, "left_anti")
+
+
+def both_directions(df: DataFrame, side: Column, names: tuple[str, str], id_col: str, share: float = 0.9, seed: int = 42) -> DataFrame:
+    """Two splits: one side trains (the first share of its hash order) and validates, the other is the test set; and the other way round. Long form: split, role, id."""
+    rows = df.select(F.col(id_col).alias("id"), side.alias("first")).where(F.col("first").isNotNull())
+    ranked = by_shares(rows.where("first"), [("train", share), ("valid", 1 - share)], "id", seed).unionByName(by_shares(rows.where("NOT first"), [("train", share), ("valid", 1 - share)], "id", seed))
+    forth, back = f"{names[0]}_to_{names[1]}", f"{names[1]}_to_{names[0]}"
+    own = F.when(F.col("first"), F.array(F.struct(F.lit(forth).alias("split"), F.col("role").alias("role")), F.struct(F.lit(back).alias("split"), F.lit("test").alias("role"))))
+    other = F.array(F.struct(F.lit(back).alias("split"), F.col("role").alias("role")), F.struct(F.lit(forth).alias("split"), F.lit("test").alias("role")))
+    return ranked.select(F.explode(own.otherwise(other)).alias("e"), "id").select("e.split", "e.role", "id")
+
+
+def balanced_directions(df: DataFrame, side: Column, names: tuple[str, str], id_col: str, seed: int = 42) -> DataFrame:
+    """Both directions with sides of one size: of the larger side, the first rows of the hash order. Long form: split, role, id."""
+    rows = df.select(F.col(id_col).alias("id"), side.alias("first")).where(F.col("first").isNotNull()).withColumn("__k", order_key(F.col("id"), seed))
+    a, b = (global_rank(rows.where(c), "__k") for c in ("first", "NOT first"))
+    least = rows.agg(F.least(F.count_if("first"), F.count_if(~F.col("first"))).alias("least"))
+    kept = a.unionByName(b).crossJoin(F.broadcast(least)).where("rank <= least")
+    forth, back = f"{names[0]}_to_{names[1]}", f"{names[1]}_to_{names[0]}"
+    roles = F.array(F.struct(F.lit(forth).alias("split"), F.when(F.col("first"), "train").otherwise("test").alias("role")), F.struct(F.lit(back).alias("split"), F.when(F.col("first"), "test").otherwise("train").alias("role")))
+    return kept.select(F.explode(roles).alias("e"), "id").select("e.split", "e.role", "id")
+
+
+def family_split(df: DataFrame, column: str, train: list[str], id_col: str, most: int = 5000, seed: int = 42) -> DataFrame:
+    """One family of values trains, the others are the test set; of the first, min(most, a tenth) rows of the hash order validate: role, id."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(column).isin(train).alias("first")).where(F.col("first").isNotNull()).withColumn("__k", order_key(F.col("id"), seed))
+    own = global_rank(rows.where("first"), "__k").crossJoin(F.broadcast(rows.agg(F.count_if("first").alias("n"))))
+    own = own.select(F.when(F.col("rank") <= F.least(F.lit(most), F.floor(F.col("n") / 10)), "valid").otherwise("train").alias("role"), "id")
+    return own.unionByName(rows.where("NOT first").select(F.lit("test").alias("role"), "id"))
+
+
+def value_pairs(df: DataFrame, column: str, least: int = 100) -> DataFrame:
+    """All ordered pairs of values that have `least` rows each: train, test. There are as many rows as pairs of values."""
+    found = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    a, b = found.select(F.col(column).alias("train")), found.select(F.col(column).alias("test"))
+    return a.join(b, F.col("train") != F.col("test"))
+
+
+def weighted_choice(key: Column, choices: list[tuple[str, float]]) -> Column:
+    """One of the choices by weight: the first eight digits of a hash (hexadecimal) against the running share."""
+    total, end, out = sum(w for _, w in choices), 0.0, None
+    for name, weight in choices[:-1]:
+        end += weight
+        at = F.substring(key, 1, 8) < f"{int(end / total * (1 << 32)):08x}"
+        out = F.when(at, name) if out is None else out.when(at, name)
+    return F.lit(choices[-1][0]) if out is None else out.otherwise(choices[-1][0])

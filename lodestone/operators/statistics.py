@@ -99,9 +99,29 @@ def bootstrap(df: DataFrame, value: str, id_col: str, resamples: int = 1000, lev
     return mean.crossJoin(interval).select("n", "mean", F.when(F.col("n") < 2, F.col("mean")).otherwise(F.col("low")).alias("low"), F.when(F.col("n") < 2, F.col("mean")).otherwise(F.col("high")).alias("high"))
 
 
-def verdict(ratio: Column, p: Column) -> Column:
-    """How well a ratio of effects is supported."""
-    return F.when((ratio > 2) & (p < 0.01), "STRONGLY_SUPPORTED").when((ratio > 1.5) & (p < 0.05), "SUPPORTED").when(ratio > 1, "WEAK").otherwise("NOT_SUPPORTED")
+def verdict(ratio: Column, p: Column, d: Column, n: Column) -> Column:
+    """How well a ratio of effects is supported; limits are stricter with 30 samples, looser with fewer than 15."""
+
+    def by_size(large: float, medium: float, small: float) -> Column:
+        return F.when(n >= 30, large).when(n >= 15, medium).otherwise(small)
+
+    strong = (ratio >= by_size(3.0, 2.5, 2.0)) & (p < by_size(0.01, 0.05, 0.10)) & (d > 0.8)
+    moderate = (ratio >= by_size(2.0, 1.8, 1.5)) & (p < 0.05) & (d > 0.5)
+    weak = (ratio >= by_size(1.5, 1.3, 1.2)) & (p < 0.10)
+    return F.when(strong, "STRONG_SUPPORT").when(moderate, "MODERATE_SUPPORT").when(weak, "WEAK_SUPPORT").otherwise("NOT_SUPPORTED")
+
+
+def split_verdict(transfer: Column, invariant: Column) -> Column:
+    """Of one split; invariant is null where it wasn't tested."""
+    untested = F.when(transfer, "PARTIAL").otherwise("FAIL")
+    return F.when(invariant.isNull(), untested).when(transfer & invariant, "SUCCESS").when(transfer, "LEAK").when(invariant, "WEAK").otherwise("FAIL")
+
+
+def overall_verdict(verdicts: DataFrame, column: str) -> DataFrame:
+    """One row over the verdicts of all splits."""
+    n = {v: F.count_if(F.col(column) == v) for v in ("SUCCESS", "LEAK", "PARTIAL")}
+    word = F.when(n["SUCCESS"] >= 2, "STRONGLY_SUPPORTED").when(n["SUCCESS"] >= 1, "SUPPORTED").when(n["LEAK"] > 0, "CHALLENGED").when(n["PARTIAL"] >= 2, "PROVISIONAL").otherwise("NOT_SUPPORTED")
+    return verdicts.agg(word.alias("overall"))
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

@@ -14,7 +14,7 @@ _V = """v AS (SELECT user_id AS session, event_id AS "case", event_type AS proto
 _MISS = "sum(CASE WHEN expected IS NOT NULL AND state <> expected THEN 1 ELSE 0 END)"
 
 
-@query("AG9 SRC3 EXP8", f"WITH {_V} SELECT session, protocol, count(*) AS n, {_MISS}::BIGINT AS defects, round({_MISS} / count(*) / 2.0, 9) AS bond_index FROM v GROUP BY session, protocol")
+@query("AG9", f"WITH {_V} SELECT session, protocol, count(*) AS n, {_MISS}::BIGINT AS defects, round({_MISS} / count(*) / 2.0, 9) AS bond_index FROM v GROUP BY session, protocol")
 def bond_index(t):
     out = judgement.bond_index(judged(t("events")), ["session", "protocol"], tau=2.0)
     return out.withColumn("bond_index", F.round("bond_index", 9))
@@ -53,7 +53,7 @@ def gate_effectiveness(t):
     return judgement.gate_effectiveness(rows).withColumn("effectiveness", F.round("effectiveness", 9))
 
 
-@query("AG12 AG15 EXP9", """
+@query("AG12 EXP9", """
 WITH m AS (SELECT event_type AS context, 'd' || user_id % 4 AS dimension, avg(value) AS mean FROM events WHERE value IS NOT NULL GROUP BY ALL)
 SELECT context, dimension, round(mean, 6) AS mean, round(mean / sum(mean) OVER (PARTITION BY context), 6) AS weight FROM m""")
 def dimension_weights(t):
@@ -68,7 +68,7 @@ def agreement(t):
     return judgement.agreement(judged(t("events")), ["session", "protocol"]).withColumn("agreement", F.round("agreement", 9))
 
 
-@query("AG21 AG23", """
+@query("AG21", """
 WITH p AS (SELECT quality AS truth, (length(text) % 3 > 0)::INT AS predicted FROM documents JOIN labels USING (doc_id))
 SELECT truth, predicted, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY truth), 9) AS share FROM p GROUP BY truth, predicted""")
 def confusion(t):
@@ -76,7 +76,7 @@ def confusion(t):
     return judgement.confusion(rows, "quality", "p").withColumn("share", F.round("share", 9))
 
 
-@query("AG22 AG24", """
+@query("AG22", """
 WITH p AS (SELECT lang, quality AS t, (length(text) % 3)::INT AS p FROM documents JOIN labels USING (doc_id)), l AS (SELECT DISTINCT lang, t AS label FROM p UNION SELECT DISTINCT lang, p FROM p),
 f AS (SELECT l.lang, label, count(*) FILTER (WHERE t = label AND p = label) AS tp, count(*) FILTER (WHERE t <> label AND p = label) AS fp, count(*) FILTER (WHERE t = label AND p <> label) AS fn FROM l JOIN p ON l.lang = p.lang GROUP BY l.lang, label)
 SELECT f.lang, (SELECT count(*) FROM p WHERE p.lang = f.lang) AS n, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 9) AS macro_f1, round(sum(tp) / (SELECT count(*) FROM p WHERE p.lang = f.lang), 9) AS accuracy FROM f GROUP BY f.lang""")
@@ -104,7 +104,7 @@ def state_actions(t):
     return judged(t("events")).select("case", dihedral.correlative(s).alias("correlative"), dihedral.act(dihedral.compose(F.array(F.lit("s"), F.lit("s"), F.lit("r"))), s).alias("turned"))
 
 
-@query("ST21 ST22 ST23 ST24", f"""
+@query("ST24", f"""
 WITH {_V}, s AS (SELECT protocol, count(*) FILTER (WHERE state = expected) / count(expected) AS f1, {_MISS} / count(*) AS leak FROM v GROUP BY protocol)
 SELECT protocol, round(f1, 9) AS f1, round(leak, 9) AS leak, CASE WHEN f1 > 0.25 AND leak < 0.6 THEN 'SUCCESS' WHEN f1 > 0.25 THEN 'LEAK' WHEN leak < 0.6 THEN 'WEAK' ELSE 'FAIL' END AS verdict, round(f1 / nullif(leak, 0), 9) AS retention FROM s""")
 def split_verdicts(t):

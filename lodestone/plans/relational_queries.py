@@ -22,7 +22,7 @@ def labelled_or_not(t):
     return d.groupBy("lang").agg(F.count_if(F.col("there").isNull()).alias("unlabelled"), F.sum(F.coalesce("quality", F.lit(-1))).alias("total"))
 
 
-@query("JN5 JN6 FLT7", "SELECT lang, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 0) GROUP BY lang")
+@query("JN5", "SELECT lang, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 0) GROUP BY lang")
 def without_clean_label(t):
     return t("documents").select("doc_id", "lang").join(t("labels").where("toxic = 0"), "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
@@ -46,8 +46,8 @@ def cross_era_pairs(t):
     return splits.cross_pairs(t("orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
-@query("JN11 JN13 JN14", """
-SELECT c_custkey, n_name, coalesce(r_name, 'generic') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON lower(r_name) = lower(r_name) AND n_regionkey = r_regionkey""")
+@query("JN13 JN14", """
+SELECT c_custkey, n_name, coalesce(r_name, 'generic') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""")
 def lookups(t):
     region = t("region").where("r_regionkey < 3")
     out = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -61,7 +61,7 @@ def key_mismatches(t):
     return d.join(l, F.col("a") == F.col("b"), "full").agg(F.count_if(F.col("a").isNull()).alias("only_labels"), F.count_if(F.col("b").isNull()).alias("only_documents"))
 
 
-@query("AG1 AG6 AG27", """
+@query("AG1 AG6", """
 SELECT source, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent, max(count(*)) OVER () / sum(count(*)) OVER () > 0.7 AS dominated FROM documents GROUP BY source""")
 def counts_by_source(t):
     n = t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -108,7 +108,7 @@ def modal_event(t):
     return modal_value(t("events"), ["user_id"], "event_type", "event_id", "event_type")
 
 
-@query("SET1 SET4 SRC19 SRC20", """
+@query("SET1 SET4", """
 SELECT kind, count(*) AS n, count(DISTINCT text) AS texts FROM (SELECT 'd' AS kind, text FROM documents UNION ALL SELECT 'b', text FROM benchmark UNION ALL SELECT 'c', text FROM conversations) GROUP BY kind""")
 def corpus_union(t):
     parts = [t(n).select(F.lit(k).alias("kind"), "text") for k, n in (("d", "documents"), ("b", "benchmark"), ("c", "conversations"))]

@@ -58,7 +58,7 @@ _MODAL = {"obligation": ["therha", "erth"], "permission": ["edan", "onre"], "pro
 _CUES = ["not", "onst"]
 
 
-@query("RUL9 RUL10 RUL11 RUL20", f"""
+@query("RUL9 RUL10 RUL11", f"""
 WITH m AS (SELECT doc_id, text, CASE {' '.join(f"WHEN {_or(ws)} THEN '{c}'" for c, ws in _MODAL.items())} ELSE 'unknown' END AS class FROM documents)
 SELECT doc_id, {_or(_CUES)} AS negated, CASE {' '.join(f"WHEN contains(text, '{w}') THEN '{w}'" for ws in _MODAL.values() for w in ws)} END AS modal,
   CASE class WHEN 'obligation' THEN 'OBLIGATION' WHEN 'permission' THEN 'LIBERTY' WHEN 'prohibition' THEN 'NO_RIGHT' WHEN 'supererogation' THEN 'LIBERTY' ELSE 'OBLIGATION' END AS state,
@@ -80,8 +80,10 @@ def consensus_tiers(t):
 @query("RUL1 RUL4 RUL5 RUL6")
 def bond_signatures(t):
     c = F.col("text")
-    rows = t("documents").select("doc_id", R.roles(c).alias("roles"), R.relations(c).alias("relations"), R.consent(c).alias("consent"))
-    rows = rows.withColumn("bonds", R.bonds(F.col("roles"), F.col("relations"), F.col("consent")))
+    # Each of these is worked out once: expressions above an explode are not inlined.
+    found = F.struct(R.roles(c).alias("roles"), R.relations(c).alias("relations"), R.consent(c).alias("consent"))
+    rows = t("documents").select("doc_id", F.explode(F.array(found)).alias("f")).select("doc_id", "f.*")
+    rows = rows.select("doc_id", "roles", "relations", "consent", F.explode(F.array(R.bonds(F.col("roles"), F.col("relations"), F.col("consent")))).alias("bonds"))
     return rows.select("doc_id", "roles", "relations", "consent", F.size("bonds").alias("n_bonds"), R.signature(F.col("bonds")).alias("signature"))
 
 
@@ -107,7 +109,7 @@ def gate_states(t):
     return rows.select("doc_id", F.size("g").alias("gates"), state["state"].alias("state"), F.round(state["confidence"], 9).alias("confidence"))
 
 
-@query("RUL12 RUL27", r"""
+@query("RUL12", r"""
 SELECT item_id, CASE WHEN p > 0 THEN CASE WHEN contains(substr(text, greatest(1, p - 30), least(length(text), p - 1 + 30) - greatest(0, p - 1 - 30)), 'er') THEN 'prescriptive' ELSE 'descriptive' END ELSE NULL END AS context
 FROM (SELECT item_id, text, instr(text, 'on') AS p FROM benchmark)""")
 def window_contexts(t):
@@ -116,7 +118,7 @@ def window_contexts(t):
     return t("benchmark").select("item_id", F.when(at > 0, context).alias("context"))
 
 
-@query("RUL16 RUL17 RUL19 PRJ22", """
+@query("RUL17 RUL19", """
 WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
 SELECT item_id, list_filter(w, lambda x: ends_with(x, 'er'))[1] AS agent, list_filter(w, lambda x: ends_with(x, 'on'))[1] AS patient,
   CASE WHEN len(list_filter(w, lambda x: x = 'zz')) > 0 THEN 'regex' ELSE CASE WHEN len(list_filter(w, lambda x: ends_with(x, 'er'))) > 0 THEN 'regex+suffix_fallback' ELSE 'regex+suffix' END END AS method

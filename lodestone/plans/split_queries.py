@@ -19,7 +19,7 @@ def temporal_holdout(t):
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SPL2 SPL3 JN5", f"""
+@query("SPL2 JN5", f"""
 WITH p AS (SELECT doc_id, {_PERIOD} AS p FROM documents), e AS (SELECT p AS split FROM p GROUP BY p HAVING count(*) >= 100)
 SELECT split, CASE WHEN p = split THEN 'test' WHEN substr({_KEY}, 1, 8) <= 'e6666665' THEN 'train' ELSE 'valid' END AS role, doc_id AS id FROM p CROSS JOIN e""")
 def leave_era_out(t):
@@ -40,7 +40,7 @@ def mixed_split(t):
     return splits.by_shares(t("documents").select("doc_id"), [("train", 0.8), ("test", 0.2)], "doc_id").select("doc_id", "role")
 
 
-@query("SPL6 SPL10 FLT5 JN7", f"""
+@query("SPL6 FLT5 JN7", f"""
 WITH g AS (SELECT doc_id, [lang, {_PERIOD}] AS tags FROM documents),
 x AS (SELECT 'en_fr' AS split, doc_id AS id, list_has_any(tags, ['en']) AS a, list_has_any(tags, ['fr']) AS b FROM g UNION ALL SELECT 'old_new', doc_id, list_has_any(tags, ['BIBLICAL','TANNAITIC']), list_has_any(tags, ['DEAR_ABBY','en']) FROM g),
 y AS (SELECT split, CASE WHEN a THEN 'train' ELSE 'test' END AS role, id FROM x WHERE a <> b)
@@ -51,7 +51,7 @@ def tag_experiments(t):
     return splits.by_tags(rows, [("en_fr", ["en"], ["fr"]), ("old_new", old, new)], "id", "tags")
 
 
-@query("SPL9 SPL13", f"SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY {_KEY} LIMIT 200)")
+@query("SPL13", f"SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY {_KEY} LIMIT 200)")
 def subsample(t):
     return t("documents").select("doc_id").orderBy(splits.order_key(F.col("doc_id"))).limit(200)
 
@@ -72,7 +72,7 @@ def topped_up(t):
     return splits.topped_up(d.where("source = 'src0'").drop("source"), d.where("source <> 'src0'").drop("source"), "lang", ["doc_id"], 40)
 
 
-@query("SPL14 SPL16", """
+@query("SPL16", """
 SELECT event_id FROM events WHERE substr(md5('42:' || event_id), 1, 8) <= '4ccccccb'""")
 def follow_ups(t):
     return t("events").where(F.substring(splits.order_key(F.col("event_id")), 1, 8) <= f"{int(0.3 * 0xFFFFFFFF):08x}").select("event_id")

@@ -12,7 +12,7 @@ from lodestone.sources import readers
 WORDS = r"len(list_filter(string_split_regex({0}, '[ \t\n\x0b\f\r]+'), lambda x: x <> ''))"
 
 
-@query("PRJ1 PRJ2 PRJ5 PRJ10 PRJ11 SRC10", f"""
+@query("PRJ1 PRJ2 PRJ5 PRJ10 PRJ11", f"""
 SELECT doc_id AS id, lang AS language, ({WORDS.format('text')})::INT AS words,
   ['BIBLICAL','SECOND_TEMPLE','TANNAITIC','AMORAIC','GEONIC','RISHONIM','ACHRONIM','MODERN_HEBREW','DEAR_ABBY'][regexp_extract(source, '(\\d+)$', 1)::INT % 9 + 1] AS time_period,
   [-6,-2,2,4,8,12,17,20,0][regexp_extract(source, '(\\d+)$', 1)::INT % 9 + 1] AS century
@@ -45,7 +45,7 @@ def order_centuries(t):
     return t("orders").select("o_orderkey", year.alias("year"), X.century_of(year).alias("century"))
 
 
-@query("PRJ8 PRJ9 PRJ15", r"""
+@query("PRJ8 PRJ15", r"""
 SELECT doc_id, 'p_' || substr(md5(source || ':' || doc_id || ':' || substr(text, 1, 50)), 1, 12) AS content_id,
   array_to_string(list_filter(string_split_regex(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z \t\n\x0b\f\r]', '', 'g')), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')[1:4], '_') AS slug
 FROM documents""")
@@ -64,7 +64,7 @@ def period_lookup(t):
     return t("part").select("p_partkey", X.first_containing(name, {"ring": "BIBLICAL", "widget": "TANNAITIC", "bolt": "RISHONIM"}, "AMORAIC").alias("period"), F.coalesce(domain, X.first_containing(name, {"red": "fuzzy"}, "general")).alias("domain"))
 
 
-@query("PRJ18 PRJ19 PRJ20 PRJ21", """
+@query("PRJ18 PRJ19 PRJ20", """
 SELECT event_id, CASE WHEN lower(event_type) = 'high' THEN 2.0::DOUBLE WHEN value / 500 >= 0.8 THEN 2.0 ELSE 1.0 END AS weight,
   concat_ws(',', (event_type = 'view')::INT, (event_type = 'click')::INT, (event_type = 'error')::INT) AS hot,
   CASE event_type WHEN 'view' THEN 'CARE' WHEN 'click' THEN 'AUTONOMY' WHEN 'error' THEN 'HARM_PREVENTION' ELSE 'NONE' END AS bond
@@ -92,7 +92,7 @@ def normalised_texts(t):
     return t("documents").select("doc_id", F.explode(languages).alias("language"), "text").select("doc_id", "language", F.md5(X.normalise(F.col("text"), F.col("language"))).alias("text_md5"))
 
 
-@query("FLT1 FLT2 FLT3 FLT4 FLT9 FLT11 FLT12", """
+@query("FLT1 FLT2 FLT3 FLT4", """
 SELECT doc_id, lang FROM documents
 WHERE length(text) BETWEEN 50 AND 2000 AND text IS NOT NULL AND text <> '' AND text <> 'nan' AND NOT starts_with(text, 'No.') AND NOT contains(text, '[') AND lang IN ('en', 'fr', 'de')""")
 def length_band(t):
@@ -100,7 +100,7 @@ def length_band(t):
     return t("documents").where(F.char_length(c).between(50, 2000) & c.isNotNull() & (c != "") & (c != "nan") & ~c.startswith("No.") & ~F.contains(c, F.lit("[")) & F.col("lang").isin("en", "fr", "de")).select("doc_id", "lang")
 
 
-@query("SRC16 EXP5", r"""
+@query("EXP5", r"""
 SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\n'), lambda x: trim(x)), lambda x: x <> '')) AS paragraph FROM documents""")
 def paragraph_rows(t):
     return t("documents").select("doc_id", F.explode(flatten.paragraphs(F.regexp_replace("text", "\n", "\n\n"))).alias("paragraph"))
@@ -145,7 +145,7 @@ def structural_texts(t):
     return t("benchmark").select("item_id", perturb.structural(F.col("text"), families)["text"].alias("changed"))
 
 
-@query("PT4 PT5 PT6")
+@query("PT4")
 def surface_texts(t):
     c = F.col("text")
     changed = perturb.with_detail(c, ["It was a clear day.", "The room was quiet.", "A clock struck nine."], F.col("item_id"))

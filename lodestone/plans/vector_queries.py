@@ -34,7 +34,7 @@ def centroid_distances(t):
     return d.select("a", "b", F.round("cosine_distance", 6).alias("cosine_distance"), F.round("l2", 6).alias("l2"))
 
 
-@query("AG20 ST17", f"""
+@query("AG20", f"""
 WITH {_C}, d AS (SELECT e.vec_id AS id, c.label, 1 - {_cos('e.embedding', 'c.centroid')} AS d FROM embeddings e JOIN c ON c.label <> e.label)
 SELECT id, arg_min(label, d) AS label, round(min(d), 6) AS distance FROM d GROUP BY id""")
 def nearest_other_centroid(t):
