@@ -14,6 +14,7 @@ whatever their length.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -200,41 +201,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     return fitted(labelled_sample(docs, labels, label, rows), lambda texts, ys: SubwordModel.fit(texts, ys, settings))
 
 
+def _scored(spark: SparkSession, model: SubwordModel):
+    """text -> score, as a column function; only texts go to the workers, and only numbers come back."""
+    shared = spark.sparkContext.broadcast(model.scorer())
+
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches):
+            scorer = shared.value
+            for batch in batches:
+                parts = [scorer.scores([x or "" for x in batch.slice(at, 1000).to_pylist()]) for at in range(0, len(batch), 1000)]
+                yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+            scorer.shrink(KEPT)
+
+        yield from ba.trimmed(run)(batches)
+
+    return scores
+
+
 def score(df: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score double. Null and empty texts, and those of white space, have the score of the bias.
 
-    Ids are passed through, null or repeated; other columns are ignored. What is broadcast is one number a bucket (0.5 MB).
+    Texts of any length are read whole; an empty table gives an empty one. Ids are passed through, null or repeated; other
+    columns are ignored. What is broadcast is one number a bucket (0.5 MB).
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(model.scorer())
-
-    def run(batches):
-        scorer = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = scorer.scores([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
-        scorer.shrink(KEPT)
-
-    return rows.mapInArrow(ba.trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return df.select(F.col(id_col).alias("doc_id"), _scored(df.sparkSession, model)(F.col(text_col)).alias("score"))
 
 
 def drop_toxic(df: DataFrame, model: SubwordModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of df, with all columns, whose text scores below threshold."""
-    shared = df.sparkSession.sparkContext.broadcast(model.scorer())
-    at = df.columns.index(text_col)
-
-    def run(batches):
-        scorer = shared.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                clean = scorer.scores([x or "" for x in part.column(at).to_pylist()]) < threshold
-                yield part.filter(pa.array(clean))
-        scorer.shrink(KEPT)
-
-    return df.mapInArrow(ba.trimmed(run), df.schema)
+    """The rows of df, with all columns, whose text scores below threshold; null texts are scored as empty ones and stay null."""
+    return df.where(_scored(df.sparkSession, model)(F.col(text_col)) < threshold)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
