@@ -134,12 +134,15 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, vector: str, id_col: str, table: DataFrame, label: str, exclude: Column | None = None) -> DataFrame:
-    """id, nearest label and its cosine distance; the table holds one row a label (bounded by the number of labels)."""
-    pairs = df.select(F.col(id_col).alias("id"), F.col(vector).alias("__v"), *([] if exclude is None else [exclude.alias("__x")])).crossJoin(F.broadcast(table.select(F.col(label).alias("label"), F.col("centroid").alias("__c"))))
-    if exclude is not None:
-        pairs = pairs.where(F.col("label") != F.col("__x"))
-    d = pairs.select("id", "label", V.cosine_distance(F.col("__v"), F.col("__c")).alias("d"))
-    return d.groupBy("id").agg(F.min_by("label", F.struct("d", "label")).alias("label"), F.min("d").alias("distance"))
+    """id, nearest label and its cosine distance; null where no label is left. The table holds one row a label (bounded by the number of labels).
+
+    All labels travel as one array, so a row is compared where it is read: nothing is multiplied and nothing shuffled.
+    """
+    one = table.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))).alias("__all"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("__v"), (F.lit(None) if exclude is None else exclude).alias("__x")).crossJoin(F.broadcast(one))
+    others = F.col("__all") if exclude is None else F.filter("__all", lambda e: e["label"] != F.col("__x"))
+    best = F.array_min(F.transform(others, lambda e: F.struct(V.cosine_distance(F.col("__v"), e["c"]).alias("d"), e["label"].alias("label"))))
+    return rows.select("id", best.alias("__b")).select("id", F.col("__b.label").alias("label"), F.col("__b.d").alias("distance"))
 
 
 def centroid_distances(table: DataFrame, label: str) -> DataFrame:

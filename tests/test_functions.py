@@ -101,3 +101,19 @@ def test_positional(spark):
     r = one(spark, "天地", R.positional(C))
     assert (r.bond_type, r.agent, r.patient, r.confidence) == (None, None, None, 0.5)
     assert one(spark, None, R.positional(C)).bond_type is None
+
+
+@pytest.mark.parametrize(
+    "text,agent,patient",
+    [
+        ("I should help Mary today", "I", "mary"),
+        ("Parents must help the child", "Parents", None),
+        ("He said I should go", None, None),
+        ("Nobody came; HELP us", None, "us"),
+        ("", None, None),
+        (None, None, None),
+    ],
+)
+def test_role_capture(spark, text, agent, patient):
+    found = one(spark, text, R.role_capture(C))
+    assert (found.agent, found.patient) == (agent, patient)

@@ -166,3 +166,27 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet("/root/testdata/sf0.001", pathGlobFilter="events.parquet")
     trials = windows.run_to_table(windows.first_trials(windows.judged(stream)), "trials", str(tmp_path / "d"))
     assert trials.count() == batch.count()
+
+
+def test_nearest(spark):
+    """Ties go to the smaller label, repeated ids stay, and a row whose only label is its own has none."""
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "label int, centroid array<double>")
+    df = spark.createDataFrame([("x", 1, [2.0, 0.1]), ("x", 1, [2.0, 0.1]), ("y", 3, [3.0, 0.0]), ("z", None, [0.0, 5.0])], "id string, own int, v array<double>")
+    assert sorted((r.id, r.label) for r in statistics.nearest(df, "v", "id", table, "label").collect()) == [("x", 1), ("x", 1), ("y", 1), ("z", 2)]
+    own = statistics.nearest(df, "v", "id", table, "label", F.col("own"))
+    assert sorted((r.id, r.label) for r in own.collect() if r.id != "z") == [("x", 3), ("x", 3), ("y", 1)]
+    alone = statistics.nearest(df.where("id = 'y'"), "v", "id", table.where("label = 3"), "label", F.col("own")).first()
+    assert (alone.label, alone.distance) == (None, None)
+    assert statistics.nearest(df.limit(0), "v", "id", table, "label").count() == 0
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([({"10": "j", "2": "b", "x": "no"},)], "m map<string, string>")
+    assert [(r.number, r.value) for r in readers.numbered(df, "m").collect()] == [(2, "b"), (10, "j")]
+    assert readers.numbered(df.limit(0), "m").count() == 0
+
+
+def test_read_lexicon(spark, tmp_path):
+    entries = [("he", "OATH", 1, "b"), ("en", "CARE", 0, "help"), ("he", "OATH", 0, "a"), ("he", "HARM", 2, "c")]
+    (tmp_path / "lexicon.jsonl").write_text("\n".join(json.dumps({"language": g, "kind": "bond", "class": c, "ordinal": o, "pattern": x}) for g, c, o, x in entries))
+    assert readers.read_lexicon(spark, str(tmp_path)) == {"en": {"CARE": ["help"]}, "he": {"OATH": ["a", "b"], "HARM": ["c"]}}
