@@ -144,6 +144,22 @@ def test_crf_marginals_against_enumeration():
             assert np.isclose(got[first + t], sum(w for y, w in weight.items() if y[t]) / total)
 
 
+def test_document_score_is_the_mean_of_its_lines_by_length():
+    import pyarrow as pa
+
+    from lodestone.llm import byte_arrays as ba
+
+    model = Q.LineCrf.fit(*quality_texts(random.Random(6), 40), rounds=20)
+    texts = ["one line", "", "SHOUT!! SHOUT!!\na b c\n\nmore words here", "x\n" * 50]
+    data, offsets = ba.flat(pa.array(texts, pa.large_string()))
+    got = model.scores(data, offsets)
+    for text, found in zip(texts, got, strict=True):
+        alone = ba.flat(pa.array([text], pa.large_string()))
+        weights = [len(line.encode()) + 1 for line in text.split("\n")]
+        good = model.marginals(Q.lines_of(*alone))
+        assert len(good) == len(weights) and np.isclose(found, np.dot(good, weights) / sum(weights))
+
+
 # 5
 
 
@@ -234,12 +250,27 @@ def test_media(spark, edge, empty):
     assert len(got) == edge.count()
     want = sorted(hashlib.sha256(M.payload_of((x or "").encode())).hexdigest() for _, x in edge_rows())
     assert sorted(r.payload_sha256 for r in got) == want
-    assert all(r.payload_bytes % 64 == 0 and 0 < r.payload_bytes - r.n_bytes <= 64 for r in got)
+    assert all(r.payload_bytes == max(64, -(-r.n_bytes // 64) * 64) for r in got)
     tensors = M.load_media(M.store_media(edge.where("doc_id IN (1, 6, 60)"))).collect()
     assert all(len(r.rgb) == 3 * r.height * r.width for r in tensors)
     assert M.media_digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("size,padded", [(0, 64), (1, 64), (63, 64), (64, 64), (65, 128), (128, 128)])
+def test_payload_ends_at_a_multiple(size, padded):
+    data = b"x" * size
+    assert M.payload_of(data) == data + bytes(padded - size)
+
+
+@pytest.mark.parametrize("text", ["", "a", "some words " * 40])
+def test_feature_of_the_whole_tensor(text):
+    jpeg = M.Jpeg(M.write_payload(M.payload_of(text.encode())))
+    pixels = np.asarray(jpeg.rgb()).reshape(-1, 3).astype(np.float64)
+    size, numbers = M.feature(jpeg).split(";")
+    assert size == f"{jpeg.width}x{jpeg.height}" and len(pixels) == jpeg.width * jpeg.height
+    assert np.allclose([float(x) for x in numbers.split(",")], [*pixels.mean(0), *(pixels**2).mean(0)], atol=1e-4)
+
+
 @pytest.mark.parametrize("blocks", [1, 6, 7, 500, 40_000])
 def test_jpeg_payload_round_trip(blocks):
     payload = os.urandom(64 * blocks)
@@ -579,6 +610,34 @@ def test_toxicity(spark, edge, empty):
     assert np.allclose(X.SubwordModel.fit([], []).scorer().scores(["", "x"]), 0.5)
 
 
+def test_word_scores_are_those_of_averaged_vectors():
+    """The table of words against the definition: n-grams cut by hand, vectors averaged, softmax of two logits."""
+    s = X.Settings(buckets=1 << 12, epochs=3)
+    texts, labels = toxic_texts(random.Random(11), 60)
+    model = X.SubwordModel.fit(texts, labels, s)
+
+    def bucket(gram):
+        symbols = [int(X.ba.mix(np.array([ord(c) + 1], np.uint64))[0]) for c in gram]
+        h = sum(x * pow(X.ba._BASE, i, 1 << 64) for i, x in enumerate(symbols)) % (1 << 64)
+        return int(X.ba.mix(np.array([h], np.uint64))[0]) % s.buckets
+
+    def brute(text):
+        words = text.lower().split()
+        total, weight = np.zeros(s.dim), float(s.padding)
+        for w in set(words):
+            full = f"<{w}>"
+            grams = [full] + [full[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(full) - n + 1)]
+            share = np.sqrt(words.count(w))
+            total += share * np.mean([model.vectors[bucket(g)] for g in grams], 0)
+            weight += share
+        logits = total / weight @ model.weights + model.bias
+        p = np.exp(logits - logits.max())
+        return p[1] / p.sum()
+
+    probes = [*texts[:5], *texts[-5:], "", " \n", "a", "Idiott zażółć 漢字 漢字 idiott"]
+    assert np.allclose(model.scorer().scores(probes), [brute(x) for x in probes], atol=1e-5)
+
+
 def test_held_out_fold_and_sample(spark):
     from pyspark.sql import functions as F
 
