@@ -145,6 +145,21 @@ def nearest(df: DataFrame, vector: str, id_col: str, table: DataFrame, label: st
     return rows.select("id", best.alias("__b")).select("id", F.col("__b.label").alias("label"), F.col("__b.d").alias("distance"))
 
 
+def extreme_labels(table: DataFrame, label: str, components: list[list[float]], most: int = 2) -> DataFrame:
+    """The labels whose centroids project lowest and highest on each component: component (from 1), side, place (from 1), label, projection.
+
+    The table holds one row a label; equal projections are ordered by label, and fewer than `most` labels give as many rows as there are.
+    """
+    axes = F.array(*[F.array(*map(F.lit, c)) for c in components])
+    rows = table.select(F.col(label).alias("label"), F.posexplode(F.transform(axes, lambda c: V.dot(F.col("centroid"), c))).alias("at", "projection"))
+    rows = rows.select((F.col("at") + 1).alias("component"), "label", "projection")
+    sides = []
+    for side, order in (("low", F.col("projection").asc()), ("high", F.col("projection").desc())):
+        place = F.row_number().over(W.partitionBy("component").orderBy(order, "label"))
+        sides.append(rows.select("component", F.lit(side).alias("side"), place.alias("place"), "label", "projection").where(F.col("place") <= most))
+    return sides[0].unionByName(sides[1])
+
+
 def centroid_distances(table: DataFrame, label: str) -> DataFrame:
     """All pairs of labels: a, b, cosine distance, L2 distance."""
     a = table.select(F.col(label).alias("a"), F.col("centroid").alias("__a"))

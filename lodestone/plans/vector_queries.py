@@ -159,6 +159,17 @@ def principal_components(t):
     return out.withColumn("cumulative", F.sum("share").over(W.orderBy("component")))
 
 
+@query("ST27")
+def component_labels(t):
+    """The two lowest and two highest labels on each of the first five principal components."""
+    from pyspark.ml.feature import PCA
+
+    e = t("embeddings")
+    model = PCA(k=5, inputCol="features", outputCol="pc").fit(_vectors(e))
+    # Five components of as many numbers as a vector has.
+    return S.extreme_labels(S.centroids(e, "label", "embedding"), "label", model.pc.toArray().T.tolist())
+
+
 @query("ST6")
 def linear_probe(t):
     from pyspark.ml.classification import LogisticRegression
@@ -180,3 +191,16 @@ def cluster_composition(t):
     out = KMeans(k=10, seed=42, featuresCol="features", predictionCol="cluster").fit(v).transform(v)
     n = out.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("cluster").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("modal_label"), F.max("n").alias("modal_n"))
+
+
+@query("ST15")
+def cluster_numbers(t):
+    """Silhouette (squared Euclidean) of 2 to 14 clusters over all rows, and which number is best (the smaller of equal ones)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    v = _vectors(t("embeddings"))
+    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette", distanceMeasure="squaredEuclidean")
+    found = [(k, float(evaluator.evaluate(KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(v).transform(v)))) for k in range(2, 15)]
+    best = max(found, key=lambda x: (x[1], -x[0]))[0]
+    return v.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, best boolean")

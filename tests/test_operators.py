@@ -110,6 +110,22 @@ def test_statistics(spark):
     assert z == pytest.approx(0.9750021, abs=1e-6)
 
 
+def test_extreme_labels(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [2.0, -3.0]), ("c", [-1.0, 5.0]), ("d", [2.0, 0.0])]
+    table = spark.createDataFrame(rows, "label string, centroid array<double>")
+    axes = [[1.0, 0.0], [0.6, 0.8]]
+    got = {(r.component, r.side, r.place): (r.label, round(r.projection, 9)) for r in statistics.extreme_labels(table, "label", axes).collect()}
+    want = {}
+    for i, axis in enumerate(axes, 1):
+        found = [(round(sum(x * y for x, y in zip(c, axis, strict=True)), 9), n) for n, c in rows]
+        for side, sign in (("low", 1), ("high", -1)):
+            for place, (p, n) in enumerate(sorted(found, key=lambda x: (sign * x[0], x[1]))[:2], 1):
+                want[i, side, place] = (n, p)
+    assert got == want
+    assert statistics.extreme_labels(table.limit(0), "label", axes).count() == 0
+    assert statistics.extreme_labels(table.limit(1), "label", axes).count() == 4
+
+
 def test_perturb(spark):
     df = spark.createDataFrame([("The son must honor the father.",), ("She Helped and helped",), ("zz",)], "t string")
     got = df.select(perturb.structural(F.col("t")).alias("x")).collect()

@@ -40,6 +40,12 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_best_number_of_clusters(spark):
+    found = registry.QUERIES["cluster_numbers"](spark, SF).collect()
+    assert [r.k for r in found] == list(range(2, 15)) and all(-1 <= r.silhouette <= 1 for r in found)
+    assert [r.k for r in found if r.best] == [max(found, key=lambda r: (r.silhouette, -r.k)).k]
+
+
 def test_entry(spark):
     import __spark_entry__
 
