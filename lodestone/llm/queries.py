@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, jaccard_join, line_dedup, media_jpeg, packing, piece_codec, quality_crf, suffix_dedup, toxicity, url_filter
+from lodestone.llm import exact_dedup, jaccard_join, line_dedup, media_jpeg, packing, piece_codec, quality_crf, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sentencepiece": piece_codec.op8_sentencepiece,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op11_quality_rules": quality_rules.OP11_SQL,
 }
