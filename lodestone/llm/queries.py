@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, importance_resampling, jaccard_join, line_dedup, media_jpeg, packing, piece_codec, quality_crf, quality_rules, suffix_dedup, toxicity, url_filter
+from lodestone.llm import centroid_clustering, exact_dedup, importance_resampling, jaccard_join, line_dedup, media_jpeg, packing, piece_codec, quality_crf, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_centroid_clustering": centroid_clustering.op12_centroid_clustering,
     "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op11_quality_rules": quality_rules.OP11_SQL,
+    "op12_centroid_clustering": centroid_clustering.OP12_SQL,
     "op13_importance_resampling": importance_resampling.OP13_SQL,
 }

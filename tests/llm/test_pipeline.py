@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_an_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -58,6 +58,9 @@ COLUMNS = {
     "op8_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op12_centroid_clustering": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op13_importance_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 LIMIT = {"op3_quality_crf": 0.7, "op10_toxicity": 0.3}
 
@@ -70,7 +73,7 @@ def test_registered_queries(spark, name):
     out = QUERIES[name](spark, SF)
     assert out.columns[: len(COLUMNS[name])] == COLUMNS[name]
     rows = out.collect()
-    table = "pages" if name == "op6_url_filter" else "documents"
+    table = {"op6_url_filter": "pages", "op12_centroid_clustering": "embeddings"}.get(name, "documents")
     key = out.columns[0]
     want = sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
     assert sorted({r[0] for r in rows} if name == "op5_packing" else [r[0] for r in rows]) == want
