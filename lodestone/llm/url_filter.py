@@ -17,6 +17,11 @@ from lodestone.llm.line_dedup import LOWER, UPPER
 #: The rules of the contract (verdict, host and path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
+#: Up to so many rules (some 100 bytes each) are broadcast; longer lists are shuffled, and hashed on their side of the join.
+MOST_BROADCAST = 100_000
+#: Parts of a pair of host and path, by page: a home page may have a third of all rows.
+SALTS = 16
+
 
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -67,21 +72,24 @@ def url_filter(
     table = spark.createDataFrame([(r, v, r.index("/")) for v, r in rules], "rule string, rule_verdict string, host_length int")
     table = table.withColumn("rule_digest", F.sha2("rule", 256)).withColumn("rule_prefix", F.substring("rule_digest", 1, 8))
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    rows = rows.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
+    rows = rows.select("page_id", "url", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
     # Rules see the host and the directories of a path only, so pages that share them are judged once.
     seen = rows.where("host <> ''").select("host", F.col("path").alias("p")).distinct()
     expressions = seen.select(
         "host", "p", F.explode(_host_suffixes(F.col("host"), labels)).alias("suffix")
     ).select("host", "p", "suffix", F.explode(_path_prefixes(F.col("p"), slashes, lengths)).alias("prefix"))
     expressions = expressions.select("host", "p", F.sha2(F.concat("suffix", "prefix"), 256).alias("digest"))
+    # Never the pages, however small their estimate: the expressions grow with them.
+    table = F.broadcast(table) if len(rules) <= MOST_BROADCAST else table.hint("shuffle_hash")
     fits = expressions.join(table, F.substring("digest", 1, 8) == F.col("rule_prefix")).where(F.col("digest") == F.col("rule_digest"))
     best = fits.groupBy("host", "p").agg(
         F.max(F.struct(F.char_length("rule").alias("n"), "host_length", "rule", "rule_verdict")).alias("best")
     )
-    best = best.select(F.col("host").alias("bh"), F.col("p").alias("bp"), "best")
+    best = best.select(F.col("host").alias("bh"), F.col("p").alias("bp"), "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # Rows without a host match nothing, and must not meet in one task.
     key = F.when(F.col("host") != "", F.col("host")).otherwise(F.concat(F.lit("?"), F.pmod(F.xxhash64("page_id"), F.lit(4096)).cast("string")))
-    out = rows.join(best, (key == F.col("bh")) & (F.col("path") == F.col("bp")), "left")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    out = rows.join(best, (key == F.col("bh")) & (F.col("path") == F.col("bp")) & (part == F.col("salt")), "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
