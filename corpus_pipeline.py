@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join, line_dedup, packing, suffix_dedup, toxicity
-from lodestone.session import materialize, scratch
+from lodestone.session import materialize, remove_table, scratch
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -64,12 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what a stage wrote for itself, and the table before it, go when its own table is written."""
+    """All stages; what a stage wrote for itself goes when its own table is written, and so does the table before it. The last table that was kept, and those of packing, are the caller's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with scratch(spark) as keep:
-        for name, stage in STAGES[:-1]:
-            with scratch(spark) as hold:
-                docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-                hold(docs)
-        keep(docs)
+    before = None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            now = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(now)
+        if before is not None:
+            remove_table(spark, before)
+        docs = before = now
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,19 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Folders that materialize() wrote and nothing has removed.
-_written: list[str] = []
+#: Folders that materialize() has written inside the innermost scratch(); each thread and each task of an event loop has its own.
+_inside: ContextVar[list[str] | None] = ContextVar("_inside", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables materialized inside go at the end, but for those given to the function that this returns."""
-    mark, kept = len(_written), set()
-    yield lambda df: kept.update(_folders(df))
-    for path in _written[mark:]:
-        if path.rsplit("/", 1)[1] not in kept:
-            _delete(spark, path)
-            _written.remove(path)
+    """Tables materialized inside go at the end, also of a block that fails, but for those given to the function that this returns: these belong to the scratch() around it, or to the caller."""
+    written: list[str] = []
+    kept: set[str] = set()
+    outer = _inside.get()
+    token = _inside.set(written)
+    try:
+        yield lambda df: kept.update(_folders(df))
+    finally:
+        _inside.reset(token)
+        for path in written:
+            if path.rsplit("/", 1)[1] not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def _folders(df: DataFrame) -> set[str]:
@@ -70,7 +78,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     takes less room than checkpoint()'s serialized rows.
     """
     path = table_path(df.sparkSession, name)
-    _written.append(path)
+    written = _inside.get()
+    if written is not None:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

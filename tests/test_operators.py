@@ -206,3 +206,33 @@ def test_read_lexicon(spark, tmp_path):
     entries = [("he", "OATH", 1, "b"), ("en", "CARE", 0, "help"), ("he", "OATH", 0, "a"), ("he", "HARM", 2, "c")]
     (tmp_path / "lexicon.jsonl").write_text("\n".join(json.dumps({"language": g, "kind": "bond", "class": c, "ordinal": o, "pattern": x}) for g, c, o, x in entries))
     assert readers.read_lexicon(spark, str(tmp_path)) == {"en": {"CARE": ["help"]}, "he": {"OATH": ["a", "b"], "HARM": ["c"]}}
+
+
+def test_scratch_of_failing_blocks_and_threads(spark):
+    """A block that fails leaves nothing; what is kept goes to the block around; threads don't see each other's tables."""
+    import os
+    import threading
+
+    from lodestone.session import materialize, scratch
+
+    folder = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    with scratch(spark) as keep_outer:
+        try:
+            with scratch(spark):
+                gone = folder(materialize(spark.range(3), "gone"))
+                raise ValueError("stage fails")
+        except ValueError:
+            assert not os.path.exists(gone)
+        with scratch(spark) as keep:
+            inner = materialize(spark.range(3), "inner")
+            keep(inner)
+        assert inner.count() == 3
+        at = folder(inner)
+        other: list = []
+        thread = threading.Thread(target=lambda: other.append(materialize(spark.range(5), "other")))
+        thread.start()
+        thread.join()
+        kept = materialize(spark.range(4), "kept")
+        keep_outer(kept)
+    assert not os.path.exists(at)
+    assert kept.count() == 4 and other[0].count() == 5
