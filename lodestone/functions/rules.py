@@ -51,6 +51,11 @@ def _count(text: Column, words: Column, patterns: list[str]) -> Column:
     return total
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def any_match(text: Column, patterns: list[str]) -> Column:
     return _with_words(text, lambda t, ws: _any(t, ws, patterns))
 
@@ -124,13 +129,14 @@ def bonds(roles_: Column, relations_: Column, consent_: Column, most: int = 3, r
 def signature(bonds_: Column) -> Column:
     """Canonical form: roles renamed R0, R1, ... as they first appear among bonds sorted by relation, agent and patient; "empty" without bonds."""
     ordered = F.array_sort(F.transform(bonds_, lambda b: F.struct(b["relation"].alias("relation"), b["agent"].alias("agent"), b["patient"].alias("patient"), b["consent"].alias("consent"))))
-    names = F.array_distinct(F.flatten(F.transform(ordered, lambda b: F.array(b["agent"], b["patient"]))))
 
-    def role(name: Column) -> Column:
-        return F.concat(F.lit("R"), (F.array_position(names, name) - 1).cast("string"))
+    def renamed(of: Column, names: Column) -> Column:
+        role = lambda name: F.concat(F.lit("R"), (F.array_position(names, name) - 1).cast("string"))
+        parts = F.transform(of, lambda b: F.struct(role(b["agent"]).alias("a"), role(b["patient"]).alias("p"), b["relation"].alias("r"), b["consent"].alias("c")))
+        return F.array_join(F.transform(F.array_sort(parts), lambda x: F.concat(x["a"], F.lit("-"), x["p"], F.lit(":"), x["r"], F.lit("/"), x["c"])), "|")
 
-    parts = F.transform(ordered, lambda b: F.struct(role(b["agent"]).alias("a"), role(b["patient"]).alias("p"), b["relation"].alias("r"), b["consent"].alias("c")))
-    text = F.array_join(F.transform(F.array_sort(parts), lambda x: F.concat(x["a"], F.lit("-"), x["p"], F.lit(":"), x["r"], F.lit("/"), x["c"])), "|")
+    first_seen = lambda of: F.array_distinct(F.flatten(F.transform(of, lambda b: F.array(b["agent"], b["patient"]))))
+    text = let(ordered, lambda of: let(first_seen(of), lambda names: renamed(of, names)))
     return F.when(F.size(bonds_) > 0, text).otherwise("empty")
 
 

@@ -77,17 +77,7 @@ def consensus_tiers(t):
     return t("documents").select("doc_id", c["tier"].alias("tier"), c["has_dispute"].alias("has_dispute"))
 
 
-@query("RUL1 RUL4 RUL5 RUL6")
-def bond_signatures(t):
-    c = F.col("text")
-    # Each of these is worked out once: expressions above an explode are not inlined.
-    found = F.struct(R.roles(c).alias("roles"), R.relations(c).alias("relations"), R.consent(c).alias("consent"))
-    rows = t("documents").select("doc_id", F.explode(F.array(found)).alias("f")).select("doc_id", "f.*")
-    rows = rows.select("doc_id", "roles", "relations", "consent", F.explode(F.array(R.bonds(F.col("roles"), F.col("relations"), F.col("consent")))).alias("bonds"))
-    return rows.select("doc_id", "roles", "relations", "consent", F.size("bonds").alias("n_bonds"), R.signature(F.col("bonds")).alias("signature"))
-
-
-@query("RUL1 RUL4", f"""
+@query("RUL1", f"""
 WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 r AS (SELECT doc_id, w, list_sort(list_filter([CASE WHEN list_has_any(w, ['the','this']) THEN 'SELF' END, CASE WHEN list_has_any(w, ['of']) THEN 'OTHER' END, CASE WHEN list_has_any(w, ['and']) THEN 'FAMILY' END], lambda x: x IS NOT NULL)) AS roles FROM w)
 SELECT doc_id, array_to_string(CASE WHEN len(roles) > 0 THEN roles ELSE ['OTHER', 'SELF'] END, ',') AS roles FROM r""")
