@@ -45,7 +45,7 @@ def read_lexicons(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([r for text in batch["value"] for r in _loaded(text)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").text(path, wholetext=True)
     return files.mapInPandas(run, SCHEMA)
 
 

@@ -33,7 +33,7 @@ def json_lines(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl
 
 def json_documents(spark: SparkSession, path: str, item: str, key: str = "letters") -> DataFrame:
     """Files that hold a list of items, or an object with such a list under a key."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     as_list = F.from_json("value", f"array<{item}>")
     as_object = F.from_json("value", f"{key} array<{item}>")[key]
     return text.select(F.explode(F.when(F.ltrim(F.col("value")).startswith("["), as_list).otherwise(as_object)).alias("item")).select("item.*")
@@ -59,7 +59,7 @@ def delimited(spark: SparkSession, path: str, names: list[str], sep: str = "|")
 
 def tree(spark: SparkSession, path: str, glob: str = "*.json", prefer: str = "merged.json", category: str | None = None) -> DataFrame:
     """Whole files below a folder: path, category (first part), source (last folder), value. Of a folder, the preferred file if it is there."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     full = F.col("_metadata.file_path")
     parts = F.split(F.regexp_replace(full, f"^.*?{path.rstrip('/').split('/')[-1]}/", ""), "/")
     df = df.select(full.alias("path"), F.get(parts, F.lit(0)).alias("category"), F.element_at(F.concat(F.array(F.lit("")), parts), -2).alias("source"), F.col("_metadata.file_name").alias("file"), "value")
@@ -72,7 +72,7 @@ def tree(spark: SparkSession, path: str, glob: str = "*.json", prefer: str = "me
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files: path, ordinal (from 1, in the file), value. Files are read whole, so they should be small."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("ordinal", "value")).withColumn("ordinal", F.col("ordinal") + 1)
 
 
