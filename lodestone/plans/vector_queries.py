@@ -108,33 +108,6 @@ def state_distances(t):
     return d.select("a", "b", F.round("cosine_distance", 6).alias("cosine_distance"), F.round("l2", 6).alias("l2"))
 
 
-def _edges(t):
-    d = S.centroid_distances(S.centroids(t("embeddings"), "label", "embedding"), "label")
-    cut = d.agg(F.percentile("cosine_distance", F.lit(0.3)).alias("cut"))
-    return d.crossJoin(F.broadcast(cut)).where(F.col("cosine_distance") <= F.col("cut")).select("a", "b", "cosine_distance")
-
-
-_EDGES = f"""{_C}, d AS (SELECT a.label AS a, b.label AS b, 1 - {_cos('a.centroid', 'b.centroid')} AS d FROM c a JOIN c b ON a.label < b.label),
-g AS (SELECT a, b, d FROM d WHERE d <= (SELECT quantile_cont(d, 0.3) FROM d))"""
-
-
-@query("", f"WITH {_EDGES} SELECT a, b, round(d, 6) AS distance FROM g")
-def threshold_graph(t):
-    return _edges(t).select("a", "b", F.round("cosine_distance", 6).alias("distance"))
-
-
-@query("", f"""
-WITH {_EDGES}, s AS (SELECT a AS label FROM g UNION ALL SELECT b FROM g)
-SELECT c.label, count(s.label) AS degree, round(count(s.label)::DOUBLE / ((SELECT count(*) FROM c) - 1), 6) AS centrality FROM c LEFT JOIN s ON c.label = s.label GROUP BY c.label""")
-def degree_centrality(t):
-    """Of each label: its edges in the threshold graph, and their share of all that it could have."""
-    ends = _edges(t).select(F.explode(F.array("a", "b")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("degree"))
-    labels = t("embeddings").select("label").distinct()
-    n = labels.agg(F.count(F.lit(1)).alias("n"))
-    out = labels.join(ends, "label", "left").crossJoin(F.broadcast(n)).select("label", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "n")
-    return out.select("label", "degree", F.round(F.col("degree") / F.nullif(F.col("n") - 1, F.lit(0)), 6).alias("centrality"))
-
-
 @query("ST7")
 def bootstrap_interval(t):
     return S.bootstrap(t("events"), "value", "event_id", 200)
