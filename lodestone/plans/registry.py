@@ -14,12 +14,25 @@ COVERS: dict[str, str] = {}
 FLAGSHIP = "rule_distribution"
 
 
+class Tables:
+    """Reads a table by its name; path(name) is where it lies, for readers of streams."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(covers: str, sql: str | None = None):
-    """Registers a function of (tables) under its name; tables(name) reads a table."""
+    """Registers a function of Tables under its name."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+            return f(Tables(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         COVERS[f.__name__] = covers
@@ -30,5 +43,5 @@ def query(covers: str, sql: str | None = None):
     return register
 
 
-for _name in ("text_queries", "rule_queries", "relational_queries", "split_queries", "judgement_queries", "vector_queries", "source_queries", "further_queries", "lexicon_queries", "graph_queries"):
+for _name in ("text_queries", "rule_queries", "relational_queries", "split_queries", "judgement_queries", "vector_queries", "source_queries", "further_queries", "lexicon_queries", "graph_queries", "stream_queries"):
     importlib.import_module(f"lodestone.plans.{_name}")
