@@ -55,3 +55,69 @@ def with_detail(text: Column, details: list[str], key: Column) -> Column:
 def synonyms(text: Column, table: dict[str, str]) -> Column:
     """The first word of the table that the text holds, replaced; null without one."""
     return F.coalesce(*[F.when(text.rlike(rf"(?i)\b{a}\b"), F.regexp_replace(text, rf"(?i)\b{a}\b", b)) for a, b in table.items()])
+
+
+def chance(key: Column, *salt: Column | str) -> Column:
+    """A number from 0 to below 1 for a row, by the MD5 of its key and a salt, which every engine can work out."""
+    text = F.concat_ws(":", key.cast("string"), *[F.lit(s) if isinstance(s, str) else s.cast("string") for s in salt])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def chosen(options: Column, draw: Column) -> Column:
+    """The element of an array that a number from 0 to below 1 points at."""
+    return F.get(options, F.floor(draw * F.size(options)).cast("int"))
+
+
+def some_synonyms(text: Column, key: Column, table: dict[str, list[str]], share: float = 0.3) -> Column:
+    """Of the words that the table has (without ".,!?" around them, in lower case), each with a chance of `share` becomes one of its synonyms, with a capital where it had one; words are joined by single spaces."""
+    lookup = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in table.items() for x in pair])
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def swap(w: Column, i: Column) -> Column:
+        bare = F.btrim(F.lower(w), F.lit(".,!?"))
+        options = F.try_element_at(lookup, bare)
+        new = chosen(options, chance(key, "synonym", i))
+        first = F.substring(w, 1, 1)
+        new = F.when((F.upper(first) == first) & (F.lower(first) != first), F.concat(F.upper(F.substring(new, 1, 1)), F.lower(F.substr(new, F.lit(2))))).otherwise(new)
+        return F.when(options.isNotNull() & (chance(key, "swap", i) < share), F.concat(new, F.substr(w, F.char_length(bare) + 1))).otherwise(w)
+
+    return F.array_join(F.transform(words, swap), " ")
+
+
+def another_name(text: Column, key: Column, names: list[str]) -> Column:
+    """The first of the names that the text holds becomes another one of them, everywhere."""
+    out = text
+    for i in range(len(names) - 1, -1, -1):
+        others = F.array(*[F.lit(n) for n in names if n != names[i]])
+        out = F.when(F.contains(text, F.lit(names[i])), F.replace(text, F.lit(names[i]), chosen(others, chance(key, "name")))).otherwise(out)
+    return out
+
+
+def some_detail(text: Column, key: Column, details: list[str], share: float = 0.7, longer_than: int = 20) -> Column:
+    """With a chance of `share`, a detail that doesn't matter: half of them at the end, the others behind one of the first three commas and full stops; short texts stay."""
+    detail = chosen(F.array(*map(F.lit, details)), chance(key, "detail"))
+    places = F.slice(F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c.isin(",", "."), i + 1)), lambda p: p.isNotNull()), 1, 3)
+    at = chosen(places, chance(key, "place"))
+    end = F.concat(F.rtrim(text), F.lit(" "), F.trim(detail))
+    inside = F.concat(F.substr(text, F.lit(1), at), F.lit(" "), detail, F.substr(text, at + 1))
+    new = F.when((chance(key, "end") < 0.5) | (F.size(places) == 0), end).otherwise(inside)
+    return F.when((chance(key, "insert") < share) & (F.char_length(text) > longer_than), new).otherwise(text)
+
+
+def random_surface(df: DataFrame, id_col: str, text_col: str, table: dict[str, list[str]], names: list[str], details: list[str]) -> DataFrame:
+    """id, ops, text: one or two of the operations synonym, name and detail, drawn without replacement by the hash of the id and applied one after the other.
+
+    The result depends on ids and texts alone. Null texts stay null; an id that is null draws as the empty text.
+    """
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    ops = {"synonym": lambda x: some_synonyms(x, key, table), "name": lambda x: another_name(x, key, names), "detail": lambda x: some_detail(x, key, details)}
+    order = F.transform(F.array_sort(F.array(*[F.struct(chance(key, f"op {n}").alias("u"), F.lit(n).alias("op")) for n in ops])), lambda s: s["op"])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select("id", "text", F.slice(order, F.lit(1), F.when(chance(key, "count") < 0.5, 1).otherwise(2)).alias("ops"))
+    for k in range(2):
+        step = F.col("text")
+        for n, f in ops.items():
+            step = F.when(F.get("ops", F.lit(k)) == n, f(F.col("text"))).otherwise(step)
+        # Worked out once: expressions above an explode are not inlined.
+        rows = rows.select("id", "ops", F.explode(F.array(step)).alias("text"))
+    return rows

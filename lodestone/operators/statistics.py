@@ -6,18 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import special as D
 from lodestone.functions import vectors as V
 
 
-def normal_cdf(z: Column) -> Column:
-    """The standard normal distribution function (error below 1.5e-7; Abramowitz and Stegun 7.1.26)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
-
-
 def two_samples(df: DataFrame, value: str, first: Column) -> DataFrame:
     """One row: sizes, means and population variances of the values where `first` holds and where it doesn't."""
     a, b = F.when(first, F.col(value)), F.when(~first, F.col(value))
@@ -25,11 +17,12 @@ def two_samples(df: DataFrame, value: str, first: Column) -> DataFrame:
 
 
 def effect_size(samples: DataFrame) -> DataFrame:
-    """Cohen's d, pooled from population variances with weights n - 1; t with sample variances pooled; the ratio of the means."""
+    """Cohen's d, pooled from population variances with weights n - 1; t with sample variances pooled, and its two-sided p; the ratio of the means."""
     n1, n2, m1, m2, v1, v2 = (F.col(c) for c in ("n1", "n2", "m1", "m2", "v1", "v2"))
     pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
     s2 = (n1 * v1 + n2 * v2) / (n1 + n2 - 2)
-    return samples.select("*", ((m1 - m2) / F.nullif(pooled, F.lit(0.0))).alias("cohens_d"), ((m1 - m2) / F.sqrt(s2 * (1 / n1 + 1 / n2))).alias("t"), (m1 / F.nullif(m2, F.lit(0.0))).alias("ratio"))
+    out = samples.select("*", ((m1 - m2) / F.nullif(pooled, F.lit(0.0))).alias("cohens_d"), ((m1 - m2) / F.nullif(F.sqrt(s2 * (1 / n1 + 1 / n2)), F.lit(0.0))).alias("t"), (m1 / F.nullif(m2, F.lit(0.0))).alias("ratio"))
+    return out.withColumn("p", D.t_two_sided(F.col("t"), n1 + n2 - 2))
 
 
 def running_total(df: DataFrame, order: str, value: Column, name: str, buckets: int = 256) -> DataFrame:
@@ -61,21 +54,21 @@ def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    return out.select("n1", "n2", u.alias("u"), (1 - normal_cdf((u - n1 * n2 / 2 - 0.5) / sd)).alias("p_greater"))
+    return out.select("n1", "n2", u.alias("u"), D.normal_greater((u - n1 * n2 / 2 - 0.5) / F.nullif(sd, F.lit(0.0))).alias("p_greater"))
 
 
 def one_proportion(k: Column, n: Column, chance: float) -> tuple[Column, Column, Column]:
     """z, one-sided p, and Cohen's h against a chance level."""
     p = k / n
     z = (p - chance) / F.sqrt(F.lit(chance * (1 - chance)) / n)
-    return z, 1 - normal_cdf(z), 2 * F.asin(F.sqrt(p)) - 2 * F.asin(F.sqrt(F.lit(chance)))
+    return z, D.normal_greater(z), 2 * F.asin(F.sqrt(p)) - 2 * F.asin(F.sqrt(F.lit(chance)))
 
 
 def two_proportions(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Column, Column]:
     """z and two-sided p of a gap."""
     pooled = (k1 + k2) / (n1 + n2)
     z = (k1 / n1 - k2 / n2) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
-    return z, 2 * (1 - normal_cdf(F.abs(z)))
+    return z, 2 * D.normal_greater(F.abs(z))
 
 
 def bootstrap(df: DataFrame, value: str, id_col: str, resamples: int = 1000, level: float = 0.95) -> DataFrame:
@@ -165,3 +158,34 @@ def centroid_distances(table: DataFrame, label: str) -> DataFrame:
     a = table.select(F.col(label).alias("a"), F.col("centroid").alias("__a"))
     b = table.select(F.col(label).alias("b"), F.col("centroid").alias("__b"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", V.cosine_distance(F.col("__a"), F.col("__b")).alias("cosine_distance"), V.distance(F.col("__a"), F.col("__b")).alias("l2"))
+
+
+def variance_shares(df: DataFrame, first: str, second: str, vector: str, dimensions: int) -> DataFrame:
+    """factor, degrees, squares, eta_squared of vectors by two crossed factors: each factor, their interaction, within and total.
+
+    One pass sums each component by cell (a row a pair of values); all else comes from these sums. Squares of a factor are those between its means; interaction is what the cells add to both, which
+    may be below zero where the cells are of unequal size. Rows with a null vector, or one of another length, are left out; null values of a factor are a value.
+    """
+    x = lambda i: F.get(vector, F.lit(i)).cast("double")
+    sums = F.array(*[F.sum(x(i)) for i in range(dimensions)])
+    square = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    cells = df.where(F.size(vector) == dimensions).groupBy(F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), F.sum(square).alias("q"))
+    long = cells.select("a", "b", "n", "q", F.posexplode("sums").alias("i", "s"))
+
+    def between(keys: list[str]) -> DataFrame:
+        """The sum over groups of the squared norms of their sums, each over its number of rows; the number of groups; the sum of squares of all rows."""
+        by = long.groupBy(*keys, "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("q").alias("q"))
+        return by.agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("m"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("k"), F.sum(F.when(F.col("i") == 0, F.col("q"))).alias("q"), F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("n"))
+
+    names = {"first": ["a"], "second": ["b"], "cells": ["a", "b"], "all": []}
+    # One row each.
+    row = None
+    for name, keys in names.items():
+        one = between(keys).select(*[F.col(c).alias(f"{name}_{c}") for c in ("m", "k", "q", "n")])
+        row = one if row is None else row.join(F.broadcast(one), F.lit(True))
+    m = {n: F.col(f"{n}_m") - F.col("all_m") for n in names}
+    k = {n: F.col(f"{n}_k") - 1 for n in names}
+    total = F.col("all_q") - F.col("all_m")
+    lines = [("first", k["first"], m["first"]), ("second", k["second"], m["second"]), ("interaction", k["cells"] - k["first"] - k["second"], m["cells"] - m["first"] - m["second"]), ("within", F.col("all_n") - F.col("cells_k"), total - m["cells"]), ("total", F.col("all_n") - 1, total)]
+    rows = F.array(*[F.struct(F.lit(n).alias("factor"), d.cast("long").alias("degrees"), s.alias("squares"), (s / F.nullif(total, F.lit(0.0))).alias("eta_squared")) for n, d, s in lines])
+    return row.select(F.explode(rows).alias("r")).select("r.*").where(F.col("squares").isNotNull())

@@ -11,6 +11,7 @@ from lodestone.functions import vectors as V
 from lodestone.operators import judgement, splits
 from lodestone.operators import statistics as S
 from lodestone.plans.registry import query
+from lodestone.plans.vector_queries import normal_upper_sql
 from lodestone.sources import readers
 from lodestone.streaming.windows import judged
 
@@ -268,12 +269,14 @@ def effect_verdicts(t):
     return e.select("id", S.verdict(F.col("r"), F.col("p"), F.col("d"), F.col("n")).alias("verdict"))
 
 
-@query("ST13", """
-WITH c AS (SELECT lang, count(*) FILTER (WHERE quality = 1)::DOUBLE AS k1, count(*) FILTER (WHERE toxic = 1)::DOUBLE AS k2, count(*)::DOUBLE AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang)
-SELECT lang, round((k1 / n - k2 / n) / sqrt((k1 + k2) / (n + n) * (1 - (k1 + k2) / (n + n)) * (1 / n + 1 / n)), 6) AS z FROM c""")
+@query("ST13", f"""
+WITH c AS (SELECT lang, count(*) FILTER (WHERE quality = 1)::DOUBLE AS k1, count(*) FILTER (WHERE toxic = 1)::DOUBLE AS k2, count(*)::DOUBLE AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang),
+g AS (SELECT lang, (k1 / n - k2 / n) / sqrt((k1 + k2) / (n + n) * (1 - (k1 + k2) / (n + n)) * (1 / n + 1 / n)) AS z FROM c)
+SELECT lang, round(z, 6) AS z, round(2 * {normal_upper_sql("abs(z)")}, 6) AS p FROM g""")
 def proportion_gaps(t):
     c = t("documents").join(t("labels"), "doc_id").groupBy("lang").agg(*[x.cast("double").alias(n) for n, x in (("k1", F.count_if(F.col("quality") == 1)), ("k2", F.count_if(F.col("toxic") == 1)), ("n", F.count(F.lit(1))))])
-    return c.select("lang", F.round(S.two_proportions(F.col("k1"), F.col("n"), F.col("k2"), F.col("n"))[0], 6).alias("z"))
+    z, p = S.two_proportions(F.col("k1"), F.col("n"), F.col("k2"), F.col("n"))
+    return c.select("lang", F.round(z, 6).alias("z"), F.round(p, 6).alias("p"))
 
 
 _C = """l AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), c AS (SELECT label, list(a ORDER BY d) AS v FROM (SELECT label, d, avg(x) AS a FROM l GROUP BY label, d) GROUP BY label)"""

@@ -65,30 +65,52 @@ def consistency(t):
     return rows.groupBy("label").agg(F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c"), 6).alias("deviation"))
 
 
-@query("ST8 ST9 ST11", """
+#: Integrals by Simpson's rule, from 0 to the absolute value: what p is held against.
+_SIMPSON = "(list_sum(list_transform(range(0, {n} + 1), lambda i: (CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)::DOUBLE * {f})) * ({to}) / {n} / 3)"
+
+
+def normal_upper_sql(z: str) -> str:
+    """P(Z >= z) in SQL."""
+    to = f"least(abs({z}), 12)::DOUBLE"
+    area = _SIMPSON.format(n=2000, to=to, f=f"exp(-(({to}) * i / 2000) * (({to}) * i / 2000) / 2) / sqrt(2 * pi())")
+    return f"(0.5::DOUBLE - sign({z}) * {area})"
+
+
+def t_tails_sql(t: str, df: str) -> str:
+    """P(|T| >= |t|) in SQL."""
+    to = f"least(abs({t}), 40)::DOUBLE"
+    area = _SIMPSON.format(n=4000, to=to, f=f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0) - ln(({df}) * pi()) / 2 - (({df}) + 1) / 2.0 * ln(1 + (({to}) * i / 4000) * (({to}) * i / 4000) / ({df})))")
+    return f"(1::DOUBLE - 2 * {area})"
+
+
+@query("ST8 ST9 ST11", f"""
 WITH s AS (SELECT count(CASE WHEN event_type = 'view' THEN value END) AS n1, avg(CASE WHEN event_type = 'view' THEN value END) AS m1, var_pop(CASE WHEN event_type = 'view' THEN value END) AS v1,
   count(CASE WHEN event_type <> 'view' THEN value END) AS n2, avg(CASE WHEN event_type <> 'view' THEN value END) AS m2, var_pop(CASE WHEN event_type <> 'view' THEN value END) AS v2 FROM events)
-SELECT n1, n2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS cohens_d, round((m1 - m2) / sqrt((n1 * v1 + n2 * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) AS t, round(m1 / m2, 6) AS ratio FROM s""")
+SELECT n1, n2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS cohens_d, round((m1 - m2) / sqrt((n1 * v1 + n2 * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) AS t, round(m1 / m2, 6) AS ratio,
+  round({t_tails_sql("(m1 - m2) / sqrt((n1 * v1 + n2 * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2))", "n1 + n2 - 2")}, 6) AS p FROM s""")
 def effect_size(t):
     e = S.effect_size(S.two_samples(t("events"), "value", F.col("event_type") == "view"))
-    return e.select("n1", "n2", *[F.round(c, 6).alias(c) for c in ("cohens_d", "t", "ratio")])
+    return e.select("n1", "n2", *[F.round(c, 6).alias(c) for c in ("cohens_d", "t", "ratio", "p")])
 
 
-@query("ST10", """
-WITH r AS (SELECT event_type = 'view' AS a, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS k FROM events WHERE event_type IN ('view', 'error'))
-SELECT count(*) FILTER (WHERE a) AS n1, count(*) FILTER (WHERE NOT a) AS n2, round(sum(k) FILTER (WHERE a) - count(*) FILTER (WHERE a) * (count(*) FILTER (WHERE a) + 1) / 2.0, 3) AS u FROM r""")
+@query("ST10", f"""
+WITH r AS (SELECT event_type = 'view' AS a, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS k FROM events WHERE event_type IN ('view', 'error')),
+u AS (SELECT count(*) FILTER (WHERE a) AS n1, count(*) FILTER (WHERE NOT a) AS n2, sum(k) FILTER (WHERE a) - count(*) FILTER (WHERE a) * (count(*) FILTER (WHERE a) + 1) / 2.0 AS u FROM r),
+c AS (SELECT sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT count(*) AS c FROM r GROUP BY k)),
+z AS (SELECT n1, n2, u, (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u, c)
+SELECT n1, n2, round(u, 3) AS u, round({normal_upper_sql("z")}, 6) AS p FROM z""")
 def rank_test(t):
     out = S.mann_whitney(t("events").where("event_type IN ('view', 'error')"), "value", F.col("event_type") == "view")
-    return out.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), F.round("u", 3).alias("u"))
+    return out.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), F.round("u", 3).alias("u"), F.round("p_greater", 6).alias("p"))
 
 
-@query("ST12 ST13", """
+@query("ST12", f"""
 WITH s AS (SELECT lang, count(*) AS n, sum(toxic) AS k FROM documents JOIN labels USING (doc_id) GROUP BY lang)
-SELECT lang, round((k / n - 0.1) / sqrt(0.09 / n), 6) AS z, round(2 * asin(sqrt(k / n)) - 2 * asin(sqrt(0.1)), 6) AS h FROM s""")
+SELECT lang, round((k / n - 0.1) / sqrt(0.09 / n), 6) AS z, round(2 * asin(sqrt(k / n)) - 2 * asin(sqrt(0.1)), 6) AS h, round({normal_upper_sql("(k / n - 0.1) / sqrt(0.09 / n)")}, 6) AS p FROM s""")
 def proportion_test(t):
     s = t("documents").join(t("labels"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
-    z, _, h = S.one_proportion(F.col("k"), F.col("n"), 0.1)
-    return s.select("lang", F.round(z, 6).alias("z"), F.round(h, 6).alias("h"))
+    z, p, h = S.one_proportion(F.col("k"), F.col("n"), 0.1)
+    return s.select("lang", F.round(z, 6).alias("z"), F.round(h, 6).alias("h"), F.round(p, 6).alias("p"))
 
 
 @query("ST14", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_returnflag")
