@@ -48,27 +48,32 @@ def flatten_pairs(df: DataFrame, first: str, second: str, id_col: str) -> DataFr
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, path string, first string, second string")
 
 
-def collect_texts(df: DataFrame, json_col: str, id_col: str, keys: tuple[str, ...] = ("he", "text", "content"), depth: int = 5, longer_than: int = 20) -> DataFrame:
+#: Keys of objects that texts are looked for under, in order.
+KEYS = ("he", "text", "content")
+
+
+def nested_texts(value, depth: int = 5, longer_than: int = 20, keys: tuple[str, ...] = KEYS) -> Iterator[str]:
+    if isinstance(value, str):
+        if len(value) > longer_than:
+            yield value
+    elif depth > 0 and isinstance(value, list):
+        for x in value:
+            yield from nested_texts(x, depth - 1, longer_than, keys)
+    elif depth > 0 and isinstance(value, dict):
+        for k in keys:
+            if k in value:
+                yield from nested_texts(value[k], depth - 1, longer_than, keys)
+
+
+def collect_texts(df: DataFrame, json_col: str, id_col: str, keys: tuple[str, ...] = KEYS, depth: int = 5, longer_than: int = 20) -> DataFrame:
     """Texts anywhere in a JSON document, to a depth: id, ordinal, text. Of objects, the given keys are looked into, in order."""
     rows = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("json"))
 
-    def texts(value, left: int) -> Iterator[str]:
-        if isinstance(value, str):
-            if len(value) > longer_than:
-                yield value
-        elif left > 0 and isinstance(value, list):
-            for x in value:
-                yield from texts(x, left - 1)
-        elif left > 0 and isinstance(value, dict):
-            for k in keys:
-                if k in value:
-                    yield from texts(value[k], left - 1)
-
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            out = [(r.id, i, x) for r in batch.itertuples(index=False) for i, x in enumerate(texts(json.loads(r.json) if r.json else None, depth), 1)]
+            out = [(r.id, i, x) for r in batch.itertuples(index=False) for i, x in enumerate(nested_texts(json.loads(r.json) if r.json else None, depth, longer_than, keys), 1)]
             yield pd.DataFrame(out, columns=["id", "ordinal", "text"])
 
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ordinal bigint, text string")

@@ -75,12 +75,6 @@ def tones(t):
     return t("documents").select("doc_id", splits.weighted_choice(splits.order_key(F.col("doc_id")), [("warm", 0.5), ("neutral", 0.3), ("cold", 0.2)]).alias("tone"))
 
 
-@query("SRC6 SRC19", "SELECT count(*) AS n, count(o_orderkey) AS keys FROM (SELECT o_orderkey FROM orders LIMIT 1200)")
-def capped_scan(t):
-    """A reader's row cap, less what an earlier source gave (300)."""
-    return t("orders").select("o_orderkey").limit(1500 - 300).agg(F.count(F.lit(1)).alias("n"), F.count("o_orderkey").alias("keys"))
-
-
 @query("PRJ9", "SELECT doc_id, 'doc_' || (row_number() OVER (ORDER BY doc_id) - 1) AS running FROM documents")
 def running_ids(t):
     """Counters over an explicit order: ranks from ranges of the order, so no task numbers the whole table."""

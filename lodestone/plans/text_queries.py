@@ -112,13 +112,6 @@ def chunk_rows(t):
     return t("documents").select("doc_id", F.size(flatten.chunks(c)).alias("chunks"), F.size(flatten.packed_paragraphs(F.regexp_replace(c, "\n", "\n\n"))).alias("packed"))
 
 
-@query("EXP1 EXP2 EXP3 EXP4")
-def nested_rows(t):
-    nested = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
-    a, b = F.to_json(F.transform("x", lambda v: v["role"])), F.to_json(F.transform("x", lambda v: v["text"]))
-    return flatten.flatten_pairs(nested.select("conv_id", a.alias("a"), b.alias("b")), "a", "b", "conv_id")
-
-
 @query("EXP10 EXP11 SET5 FLT5", """
 WITH tagged AS (
   SELECT doc_id, unnest(list_sort(list_distinct(list_concat(CASE lang WHEN 'en' THEN ['western','modern'] WHEN 'fr' THEN ['western'] ELSE ['other'] END,

@@ -103,6 +103,13 @@ def stripped_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", " ")
 
 
+def chapters(df: DataFrame, answer: str, period: str, longer_than: int = 10) -> DataFrame:
+    """Landed answers of a chapter service (JSON texts with an array "fulltext"): by period, how many couldn't be read, and how many of the texts in the others are longer than a few characters."""
+    found = F.from_json(answer, "fulltext array<string>")["fulltext"]
+    texts = F.size(F.filter(found, lambda x: F.char_length(x) > longer_than))
+    return df.groupBy(period).agg(F.count_if(found.isNull()).alias("failures"), F.coalesce(F.sum(F.when(found.isNotNull(), texts)), F.lit(0)).cast("long").alias("texts"))
+
+
 def numbered(df: DataFrame, map_col: str) -> DataFrame:
     """Entries of a map with numbers as keys, in their order: number, value."""
     return df.select(F.explode(map_col).alias("k", "value")).select(F.col("k").try_cast("int").alias("number"), "value").where(F.col("number").isNotNull()).orderBy("number")
@@ -120,8 +127,12 @@ def read_lexicon(spark: SparkSession, path: str) -> dict[str, dict[str, list[str
     return out
 
 
-def read_yaml(spark: SparkSession, path: str, schema: str, key: str = "letters", required: tuple[str, ...] = ()) -> DataFrame:
-    """Items of YAML files (a list, or one under a key); items that lack a required field are skipped, the others load."""
+def read_yaml(spark: SparkSession, path: str, schema: str, key: str = "letters", required: tuple[str, ...] = (), errors: bool = False, glob: str = "*") -> DataFrame:
+    """Items of YAML files (a list, or one under a key), a task a group of files: the columns of the schema.
+
+    An item that isn't a mapping or lacks a required field, and a file that can't be parsed, are left out; with errors, they are rows of nulls with a reason in the columns _file and _error, and the others
+    have nulls there. Fields that the schema doesn't name are left out; those that don't fit their type are null.
+    """
 
     def run(batches) -> Iterator:
         import pandas as pd
@@ -132,14 +143,23 @@ def read_yaml(spark: SparkSession, path: str, schema: str, key: str = "letters",
             raise RuntimeError("reading YAML takes PyYAML, which is not installed") from e
         for batch in batches:
             out = []
-            for text in batch["value"]:
-                loaded = yaml.safe_load(text) or []
-                items = loaded.get(key, []) if isinstance(loaded, dict) else loaded
-                out += [json.dumps(x, default=str) for x in items if isinstance(x, dict) and all(x.get(r) is not None for r in required)]
-            yield pd.DataFrame({"item": out})
-
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return text.mapInPandas(run, "item string").select(F.from_json("item", schema).alias("x")).select("x.*")
+            for file, text in zip(batch["file"], batch["value"], strict=True):
+                try:
+                    found = yaml.safe_load(text) or []
+                except yaml.YAMLError:
+                    out.append((file, None, "not YAML"))
+                    continue
+                items = found.get(key, []) if isinstance(found, dict) else found
+                for i, x in enumerate(items if isinstance(items, list) else [items], 1):
+                    lacks = [r for r in required if x.get(r) is None] if isinstance(x, dict) else []
+                    reason = f"item {i} is no mapping" if not isinstance(x, dict) else f"item {i} lacks {', '.join(lacks)}" if lacks else None
+                    out.append((file, None if reason else json.dumps(x, default=str), reason))
+            yield pd.DataFrame(out, columns=["file", "item", "error"])
+
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(run, "file string, item string, error string")
+    rows = rows.select(F.from_json("item", schema).alias("x"), F.when(F.col("error").isNotNull(), F.col("file")).alias("_file"), F.col("error").alias("_error"))
+    return rows.select("x.*", "_file", "_error") if errors else rows.where("_error IS NULL").select("x.*")
 
 
 def snapshot(spark: SparkSession, path: str, build, columns: list[str]) -> DataFrame:
