@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicons as L
+from lodestone.functions import text as T
 
 
 def pattern(p: str) -> str:
@@ -238,10 +239,12 @@ def gate_state(gates_: Column, weight: float = L.ENGLISH_WEIGHT) -> Column:
 
 
 def role_capture(text: Column) -> Column:
-    """struct<agent, patient>: who should or must, at the start of a sentence; whom is helped."""
-    agent = F.when(text.rlike(r"^I should"), "I").otherwise(F.nullif(F.regexp_extract(text, r"^(\w+) must", 1), F.lit("")))
-    whom = F.lower(F.regexp_extract(text, r"(?i)help (\w+)", 1))
-    return F.struct(agent.alias("agent"), F.when((whom != "") & ~whom.isin("the", "a", "an", "to", "with"), whom).alias("patient"))
+    """struct<agent, patient>: who should, must or ought at the start of a text (I: speaker, you: addressee, or a name in lower case); whom is helped, protected, harmed or hurt, unless that is an article or a possessive."""
+    said = r"\s+(should|must|ought)"
+    name = F.nullif(F.lower(F.regexp_extract(text, rf"^([A-Z][a-z]+){said}", 1)), F.lit(""))
+    agent = F.when(text.rlike(rf"(?i)^I{said}"), "speaker").when(text.rlike(rf"(?i)^You{said}"), "addressee").otherwise(name)
+    whom = F.lower(F.regexp_extract(text, r"(?iU)(help|protect|harm|hurt)\s+(\w+)", 2))
+    return F.struct(agent.alias("agent"), F.when((whom != "") & ~whom.isin("the", "a", "an", "my", "your"), whom).alias("patient"))
 
 
 def _neighbours(chars: Column, skip: str, stop: str, nominals: str, forward: bool) -> Column:
@@ -289,11 +292,18 @@ def positional(text: Column, c: dict = L.CHINESE) -> Column:
 
 
 def morphological(text: Column, modals: dict[str, str], cues: list[str], marks: str, tokens: bool) -> Column:
-    """struct<modal, state, context, negated, confidence> by substrings, after vowel marks go: the first declared modal; a cue as a substring or (tokens) a whole word. No class is set."""
-    plain = F.regexp_replace(text, marks, "")
-    word = F.coalesce(*[F.when(F.contains(plain, F.lit(m)), F.lit(m)) for m in modals])
-    state = F.coalesce(*[F.when(word == m, F.lit(s)) for m, s in modals.items()])
-    return F.struct(
-        word.alias("modal"), state.alias("state"), F.when(word.isNotNull(), "prescriptive").otherwise("descriptive").alias("context"),
-        negated(plain, cues, tokens).alias("negated"), F.when(word.isNotNull(), 0.7).otherwise(0.5).alias("confidence"),
-    )
+    """struct<modal, state, context, negated, confidence> by substrings, in NFKC and without vowel marks: the first declared modal; a cue as a substring or (tokens) a whole word. No class is set.
+
+    Without a modal the state is OBLIGATION and the context unknown.
+    """
+    plain = F.regexp_replace(T.unicode_normalise(text, "NFKC"), marks, "")
+
+    def found(x: Column) -> Column:
+        word = F.coalesce(*[F.when(F.contains(x, F.lit(m)), F.lit(m)) for m in modals])
+        state = F.coalesce(*[F.when(word == m, F.lit(s)) for m, s in modals.items()], F.lit("OBLIGATION"))
+        return F.struct(
+            word.alias("modal"), state.alias("state"), F.when(word.isNotNull(), "prescriptive").otherwise("unknown").alias("context"),
+            negated(x, cues, tokens).alias("negated"), F.when(word.isNotNull(), 0.7).otherwise(0.5).alias("confidence"),
+        )
+
+    return let(plain, found)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.rules import let
 
-MATCH = "struct<kind: string, class: string, pattern: string, n: int>"
+MATCH = "struct<kind: string, class: string, pattern: string, n: int, at: int>"
 #: More choices than this make a pattern one of the other forms.
 MOST_CHOICES = 200
 _SPECIAL = set(r"\.[]()*+?{}|^$")
@@ -175,22 +175,27 @@ class Patterns:
                 spans.setdefault(n, []).append((begin, k, end))
         return spans
 
-    def matches(self, text: str) -> dict[int, int]:
+    def found(self, text: str) -> dict[int, tuple[int, int]]:
+        """Pattern -> the number of its matches, and where the first one begins (from 0)."""
         out = {}
         for n, spans in ({} if self.empty else self._spans(text)).items():
             if len(spans) == 1:
-                out[n] = 1
+                out[n] = 1, spans[0][0]
                 continue
+            spans.sort()
             count, free = 0, 0
-            for begin, _, end in sorted(spans):
+            for begin, _, end in spans:
                 if begin >= free:
                     count, free = count + 1, end
-            out[n] = count
+            out[n] = count, spans[0][0]
         for n, p, literal in self.other:
-            if literal in text and (count := sum(1 for _ in p.finditer(text))):
-                out[n] = count
+            if literal in text and (begins := [m.start() for m in p.finditer(text)]):
+                out[n] = len(begins), begins[0]
         return out
 
+    def matches(self, text: str) -> dict[int, int]:
+        return {n: count for n, (count, _) in self.found(text).items()}
+
 
 def _matched(patterns: list[tuple[str, str, str, str]], language_at: int | None, text_at: int):
     built: dict[str, tuple[Patterns, list]] = {}
@@ -202,7 +207,7 @@ def _matched(patterns: list[tuple[str, str, str, str]], language_at: int | None,
         return built[language]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("class", pa.string()), ("pattern", pa.string()), ("n", pa.int32())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("class", pa.string()), ("pattern", pa.string()), ("n", pa.int32()), ("at", pa.int32())]))
         languages = {r[0] for r in patterns}
         for batch in batches:
             out = []
@@ -212,8 +217,8 @@ def _matched(patterns: list[tuple[str, str, str, str]], language_at: int | None,
                     out.append([])
                     continue
                 automaton, own = of(name)
-                found = automaton.matches(text)
-                out.append([{"kind": own[i][0], "class": own[i][1], "pattern": own[i][2], "n": found[i]} for i in sorted(found)])
+                found = automaton.found(text)
+                out.append([{"kind": own[i][0], "class": own[i][1], "pattern": own[i][2], "n": found[i][0], "at": found[i][1]} for i in sorted(found)])
             columns = [c for i, c in enumerate(batch.columns) if i != text_at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], [*[n for i, n in enumerate(batch.schema.names) if i != text_at], "matches"])
 
@@ -221,7 +226,7 @@ def _matched(patterns: list[tuple[str, str, str, str]], language_at: int | None,
 
 
 def match_lexicon(df: DataFrame, patterns: list[tuple[str, str, str, str]], keep: list[str], text: Column, language: str | None = None) -> DataFrame:
-    """keep, and matches: array<struct<kind, class, pattern, n>> of all patterns that match a text, in order of precedence, with their numbers of matches.
+    """keep, and matches: array<struct<kind, class, pattern, n, at>> of all patterns that match a text, in order of precedence, with their numbers of matches and where the first one begins (from 0).
 
     patterns: (language, kind, class, pattern), as lodestone.sources.lexicons gives them. language: the column of keep that chooses the patterns; a null one or one without
     patterns has no matches. Without a column all patterns hold. Texts are matched as they are: lower-case or normalise them first. A null text matches nothing.

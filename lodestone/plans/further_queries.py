@@ -1,4 +1,4 @@
-"""Directions of transfer, lookups, defaults and verdicts. Where the tables hold nothing that an operator would act on, its input is a list of values, the same in both engines."""
+"""Directions of transfer, lookups, defaults and verdicts. """
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ _V = """v AS (SELECT user_id AS session, event_type AS protocol, ['O','C','L','N
 
 
 def _values(t, rows: list[tuple], schema: str):
-    return readers.inline(t("region").sparkSession, rows, schema)
+    return readers.inline(t.spark, rows, schema)
 
 
 def _sql_values(rows: list[tuple]) -> str:
@@ -131,83 +131,6 @@ def merged_when_absent(t):
     return old.unionByName(new)
 
 
-_LETTERS = [(1, "Alice"), (1, "BOB"), (2, "carol"), (2, "Dave"), (3, "Zoë")]
-_PARTIES = [(0, "alice", "O"), (1, "Bob", "C"), (2, "bob", "L"), (3, "CAROL", "N"), (4, "zoë", "O")]
-
-
-@query("JN11", f"""
-WITH a(letter, name) AS ({_sql_values(_LETTERS)}), b(ordinal, party, state) AS ({_sql_values(_PARTIES)})
-SELECT letter, name, state FROM (SELECT letter, name, state, row_number() OVER (PARTITION BY letter, name ORDER BY ordinal) AS k FROM a LEFT JOIN b ON lower(name) = lower(party)) WHERE k = 1""")
-def party_lookup(t):
-    """Names without regard to case; of several parties with one name, the first declared."""
-    letters, parties = _values(t, _LETTERS, "letter int, name string"), _values(t, _PARTIES, "ordinal int, party string, state string")
-    first = parties.groupBy(F.lower("party").alias("key")).agg(F.min_by("state", "ordinal").alias("state"))
-    return letters.join(first, F.lower("name") == F.col("key"), "left").select("letter", "name", "state")
-
-
-_TEXTS = [(1, "ar", "يجب عليك"), (2, "ar", "لا يجوز ذلك"), (3, "ar", "حَرام"), (4, "ar", "كتاب"), (5, "ar", None), (6, "he", "אסור לך"), (7, "he", "לא חייב"), (8, "he", "הלאה מותר"), (9, "he", "אי אפשר"), (10, "he", "ספר")]
-
-
-def _morphological_sql(modals: dict[str, str], cues: list[str], marks: str, tokens: bool, lang: str) -> str:
-    pick = "CASE " + " ".join(f"WHEN contains(x, '{m}') THEN '{{}}'".replace("{}", m) for m in modals) + " END"
-    state = "CASE modal " + " ".join(f"WHEN '{m}' THEN '{s}'" for m, s in modals.items()) + " END"
-    hit = f"list_has_any(string_split_regex(x, '\\s+'), {cues})" if tokens else "(" + " OR ".join(f"contains(x, '{c}')" for c in cues) + ")"
-    return f"SELECT id, modal, {state} AS state, CASE WHEN modal IS NULL THEN 'descriptive' ELSE 'prescriptive' END AS context, negated, CASE WHEN modal IS NULL THEN 0.5::DOUBLE ELSE 0.7 END AS confidence FROM (SELECT id, {pick} AS modal, {hit} AS negated FROM (SELECT id, regexp_replace(text, '{marks}', '', 'g') AS x FROM v WHERE lang = '{lang}'))"
-
-
-@query("RUL16", f"""WITH v(id, lang, text) AS ({_sql_values(_TEXTS)})
-{_morphological_sql(L.ARABIC_MODALS, L.ARABIC_NEGATIONS, '[' + chr(0x64b) + '-' + chr(0x65f) + ']', False, 'ar')} UNION ALL {_morphological_sql(L.HEBREW_MODALS, L.HEBREW_NEGATIONS, '[' + chr(0x591) + '-' + chr(0x5c7) + ']', True, 'he')}""")
-def morphological_states(t):
-    v, c = _values(t, _TEXTS, "id int, lang string, text string"), F.col("text")
-    found = F.when(F.col("lang") == "ar", R.morphological(c, L.ARABIC_MODALS, L.ARABIC_NEGATIONS, L.ARABIC_MARKS, False)).otherwise(R.morphological(c, L.HEBREW_MODALS, L.HEBREW_NEGATIONS, L.HEBREW_MARKS, True))
-    return v.select("id", found.alias("f")).select("id", "f.*")
-
-
-_RAW = [(1, '{"bond": "CARE", "state": "RIGHT", "confidence": "0.9"}'), (2, "not json"), (3, '{"bond": "HARM", "state": "CLAIM", "confidence": "high"}'), (4, None), (5, "{}")]
-
-
-@query("RUL20", f"""
-WITH v(id, raw) AS ({_sql_values(_RAW)}), p AS (SELECT id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM v),
-q AS (SELECT id, j->>'$.bond' AS bond, j->>'$.state' AS state, try_cast(j->>'$.confidence' AS DOUBLE) AS confidence FROM p)
-SELECT id, CASE WHEN confidence IS NULL THEN 'NEUTRAL' ELSE bond END AS bond, CASE WHEN confidence IS NULL THEN 'LIBERTY' ELSE state END AS state, coalesce(confidence, 0.1) AS confidence FROM q""")
-def row_defaults(t):
-    """A row that cannot be read has the default; no error reaches the query."""
-    v = _values(t, _RAW, "id int, raw string").select("id", F.from_json("raw", "bond string, state string, confidence string").alias("j"))
-    confidence = F.col("j.confidence").try_cast("double")
-    bad = confidence.isNull()
-    return v.select("id", F.when(bad, "NEUTRAL").otherwise(F.col("j.bond")).alias("bond"), F.when(bad, "LIBERTY").otherwise(F.col("j.state")).alias("state"), F.coalesce(confidence, F.lit(0.1)).alias("confidence"))
-
-
-_SAID = [(1, "you must keep a promise"), (2, "a promise was kept"), (3, "nothing here"), (4, "never harm them, you must not"), (5, "care is a duty they should do"), (6, None)]
-
-
-@query("RUL27", f"""
-WITH v(id, text) AS ({_sql_values(_SAID)}), f AS (SELECT id, CASE WHEN regexp_matches(text, '\\bharm\\b') THEN 'HARM' WHEN regexp_matches(text, '\\bpromise\\b') THEN 'PROMISE' WHEN regexp_matches(text, '\\bcare\\b') THEN 'CARE' END AS bond, regexp_matches(text, '\\b(must|should)\\b') AS p FROM v)
-SELECT id, coalesce(bond, 'NONE') AS bond, CASE WHEN bond IS NULL THEN 'unknown' WHEN p THEN 'prescriptive' ELSE 'descriptive' END AS context, CASE WHEN bond IS NOT NULL AND p THEN 'obligation' END AS marker,
-  CASE WHEN bond IS NULL THEN 'low' WHEN p THEN 'high' ELSE 'medium' END AS confidence FROM f""")
-def worded_confidence(t):
-    c = F.col("text")
-    v = _values(t, _SAID, "id int, text string")
-    bond = R.first_class(c, {"HARM": [r"\bharm\b"], "PROMISE": [r"\bpromise\b"], "CARE": [r"\bcare\b"]})
-    v = v.select("id", bond.alias("bond"), R.any_match(c, [r"\b(must|should)\b"]).alias("p"))
-    there = F.col("bond").isNotNull()
-    return v.select(
-        "id", F.coalesce("bond", F.lit("NONE")).alias("bond"), F.when(~there, "unknown").when(F.col("p"), "prescriptive").otherwise("descriptive").alias("context"),
-        F.when(there & F.col("p"), "obligation").alias("marker"), F.when(~there, "low").when(F.col("p"), "high").otherwise("medium").alias("confidence"),
-    )
-
-
-_TRIALS = [('s1', '{"verdicts": [{"party_name": "A", "state": "O", "expected": "O"}, {"party_name": "B", "state": "C", "expected": null}]}'), ('s2', '{"verdicts": []}'), ('s3', '{"verdicts": [{"party_name": "C", "state": "L", "expected": "N"}]}')]
-
-
-@query("EXP8 SRC3", f"""
-WITH v(session, raw) AS ({_sql_values(_TRIALS)}), e AS (SELECT session, unnest((raw::JSON->'$.verdicts')::JSON[]) AS j FROM v)
-SELECT session, j->>'$.party_name' AS party, j->>'$.state' AS state, j->>'$.expected' AS expected FROM e""")
-def exploded_verdicts(t):
-    rows = _values(t, _TRIALS, "session string, raw string").select("session", F.explode(F.from_json("raw", f"verdicts array<{readers.VERDICT}>")["verdicts"]).alias("v"))
-    return rows.select("session", F.col("v.party_name").alias("party"), "v.state", "v.expected")
-
-
 @query("AG14", f"""
 WITH {_V}, c AS (SELECT session, protocol, state, count(*) AS v FROM v GROUP BY ALL), s AS (SELECT session, protocol, max(v) / sum(v) AS a FROM c GROUP BY ALL HAVING sum(v) >= 2)
 SELECT count(*) FILTER (WHERE a >= 0.85) AS high, round(coalesce(avg(a) FILTER (WHERE a >= 0.85), 0), 9) AS mean_agreement, round(coalesce(avg(a) FILTER (WHERE a > 1), 0), 9) AS mean_of_none FROM s""")
@@ -217,18 +140,6 @@ def mean_agreement(t):
     return a.agg(F.count_if(high).alias("high"), F.round(F.coalesce(F.avg(F.when(high, F.col("agreement"))), F.lit(0.0)), 9).alias("mean_agreement"), F.round(F.coalesce(F.avg(F.when(F.col("agreement") > 1, F.col("agreement"))), F.lit(0.0)), 9).alias("mean_of_none"))
 
 
-_DIMENSIONS = [("HARM", 0.3), ("RIGHTS", 0.2), ("FAIRNESS", 0.15), ("SOCIETAL", 0.2), ("PROCEDURAL", 0.15)]
-
-
-@query("AG15", f"""
-WITH d(dimension, w) AS ({_sql_values(_DIMENSIONS)}), n(dimension, name) AS ({_sql_values(list(L.WEIGHT_NAMES.items()))}),
-r AS (SELECT name, coalesce(w, 0.1)::DOUBLE AS w FROM n LEFT JOIN d USING (dimension)), a AS (SELECT * FROM r UNION ALL SELECT 'virtue_care', w * 0.5 FROM r WHERE name = 'societal_environmental')
-SELECT name, round(w / (SELECT sum(w) FROM a), 9) AS weight FROM a""")
-def exported_weights(t):
-    d = _values(t, _DIMENSIONS, "dimension string, w double")
-    return judgement.remapped_weights(d, "dimension", "w").withColumn("weight", F.round("weight", 9))
-
-
 @query("AG23", """
 SELECT quality AS label, count(*) AS n, round(avg((length(text) % 3 > 0)::INT = quality), 9) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY quality""".replace("round(avg((length(text) % 3 > 0)::INT = quality), 9)", "round(avg(((length(text) % 3 > 0)::INT = quality)::INT::DOUBLE), 9)"))
 def class_accuracy(t):
@@ -244,23 +155,11 @@ def chance_level(t):
 
 @query("AG27", f"""
 WITH {_V}, c AS (SELECT protocol, coalesce(expected, 'NONE') AS k, count(*) AS n FROM v GROUP BY ALL)
-SELECT protocol, max(n) / sum(n) > 0.7 AS dominated, coalesce(sum(n) FILTER (WHERE k = 'NONE'), 0) / sum(n) > 0.15 AS mostly_none FROM c GROUP BY protocol""")
+SELECT protocol, max(n) / sum(n) > 0.21 AS dominated, coalesce(sum(n) FILTER (WHERE k = 'NONE'), 0) / sum(n) > 0.2 AS mostly_none FROM c GROUP BY protocol""")
 def dominance(t):
     c = judged(t("events")).groupBy("protocol", F.coalesce("expected", F.lit("NONE")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     none = F.coalesce(F.sum(F.when(F.col("k") == "NONE", F.col("n"))), F.lit(0))
-    return c.groupBy("protocol").agg((F.max("n") / F.sum("n") > 0.7).alias("dominated"), (none / F.sum("n") > 0.15).alias("mostly_none"))
-
-
-_EFFECTS = [(1, 3.5, 0.001, 1.0, 40), (2, 2.2, 0.02, 0.6, 40), (3, 2.6, 0.02, 0.9, 20), (4, 1.4, 0.08, 0.1, 20), (5, 2.1, 0.05, 0.9, 5), (6, 1.1, 0.5, 0.1, 5), (7, 1.25, 0.09, 0.0, 5)]
-
-
-@query("ST11", f"""
-WITH e(id, r, p, d, n) AS ({_sql_values(_EFFECTS)}), l AS (SELECT *, CASE WHEN n >= 30 THEN 3.0 WHEN n >= 15 THEN 2.5 ELSE 2.0 END AS a, CASE WHEN n >= 30 THEN 2.0 WHEN n >= 15 THEN 1.8 ELSE 1.5 END AS b,
-  CASE WHEN n >= 30 THEN 1.5 WHEN n >= 15 THEN 1.3 ELSE 1.2 END AS c, CASE WHEN n >= 30 THEN 0.01 WHEN n >= 15 THEN 0.05 ELSE 0.1 END AS q FROM e)
-SELECT id, CASE WHEN r >= a AND p < q AND d > 0.8 THEN 'STRONG_SUPPORT' WHEN r >= b AND p < 0.05 AND d > 0.5 THEN 'MODERATE_SUPPORT' WHEN r >= c AND p < 0.1 THEN 'WEAK_SUPPORT' ELSE 'NOT_SUPPORTED' END AS verdict FROM l""")
-def effect_verdicts(t):
-    e = _values(t, _EFFECTS, "id int, r double, p double, d double, n int")
-    return e.select("id", S.verdict(F.col("r"), F.col("p"), F.col("d"), F.col("n")).alias("verdict"))
+    return c.groupBy("protocol").agg((F.max("n") / F.sum("n") > 0.21).alias("dominated"), (none / F.sum("n") > 0.2).alias("mostly_none"))
 
 
 @query("ST13", f"""
@@ -305,40 +204,6 @@ def summary_scores(t):
     return s.select("protocol", F.round(tis, 9).alias("tis"), F.round(mss, 9).alias("mss"), F.round(tis * mss, 9).alias("product"))
 
 
-_SPLITS = [("hebrew_to_others", 1, 1), ("semitic_to_non_semitic", 0, 1), ("ancient_to_modern", 1, 0), ("mixed", 1, None), ("abby", 0, None), ("dev", 0, 0)]
-_VERDICT = "CASE WHEN i IS NULL THEN CASE WHEN t = 1 THEN 'PARTIAL' ELSE 'FAIL' END WHEN t = 1 AND i = 1 THEN 'SUCCESS' WHEN t = 1 THEN 'LEAK' WHEN i = 1 THEN 'WEAK' ELSE 'FAIL' END"
-
-
-@query("ST22", f"""
-WITH s(split, t, i) AS ({_sql_values(_SPLITS)}), v AS (SELECT split, {_VERDICT} AS verdict FROM s)
-SELECT split, verdict, (SELECT CASE WHEN count(*) FILTER (WHERE verdict = 'SUCCESS') >= 2 THEN 'STRONGLY_SUPPORTED' WHEN count(*) FILTER (WHERE verdict = 'SUCCESS') = 1 THEN 'SUPPORTED'
-  WHEN count(*) FILTER (WHERE verdict = 'LEAK') > 0 THEN 'CHALLENGED' WHEN count(*) FILTER (WHERE verdict = 'PARTIAL') >= 2 THEN 'PROVISIONAL' ELSE 'NOT_SUPPORTED' END FROM v) AS overall FROM v""")
-def verdict_ladder(t):
-    s = _values(t, _SPLITS, "split string, t int, i int")
-    v = s.select("split", S.split_verdict(F.col("t") == 1, F.col("i") == 1).alias("verdict"))
-    return v.crossJoin(F.broadcast(S.overall_verdict(v, "verdict")))
-
-
-@query("ST23", f"""
-WITH s(split, t, i) AS ({_sql_values(_SPLITS)})
-SELECT 'cross_linguistic' AS claim, CASE WHEN bool_or(t = 1) THEN 'supported' ELSE 'falsified' END AS status FROM s WHERE split IN ('hebrew_to_others', 'semitic_to_non_semitic')
-UNION ALL SELECT 'language_invariance', CASE WHEN count(i) = 0 THEN 'untested' WHEN bool_or(i = 1) THEN 'supported' ELSE 'falsified' END FROM s
-UNION ALL SELECT 'universal_invariance', CASE WHEN count(i) = 0 THEN 'untested' WHEN bool_and(i = 1) THEN 'supported' ELSE 'falsified' END FROM s
-UNION ALL SELECT 'temporal_transfer', CASE WHEN count(*) = 0 THEN 'untested' WHEN bool_or(t = 1) THEN 'supported' ELSE 'falsified' END FROM s WHERE split = 'ancient_to_modern'""")
-def claims(t):
-    s = _values(t, _SPLITS, "split string, t int, i int")
-    transfer, invariant = F.col("t") == 1, F.col("i") == 1
-
-    def status(tested, held):
-        return F.when(~tested, "untested").when(held, "supported").otherwise("falsified")
-
-    cross = s.where(F.col("split").isin("hebrew_to_others", "semitic_to_non_semitic")).agg(F.lit("cross_linguistic").alias("claim"), F.when(F.bool_or(transfer), "supported").otherwise("falsified").alias("status"))
-    some = s.agg(F.lit("language_invariance").alias("claim"), status(F.count("i") > 0, F.bool_or(invariant)).alias("status"))
-    every = s.agg(F.lit("universal_invariance").alias("claim"), status(F.count("i") > 0, F.bool_and(invariant)).alias("status"))
-    time = s.where("split = 'ancient_to_modern'").agg(F.lit("temporal_transfer").alias("claim"), status(F.count(F.lit(1)) > 0, F.bool_or(transfer)).alias("status"))
-    return cross.unionByName(some).unionByName(every).unionByName(time)
-
-
 @query("ST26", f"""
 WITH {_C}, p AS (SELECT {_cos('a.v', 'b.v')} AS s FROM c a JOIN c b ON a.label < b.label) SELECT round(avg(s), 6) AS mean_cosine, CASE WHEN avg(s) > 0.7 THEN 'SIMILAR' ELSE 'DIFFERENT' END AS verdict FROM p""")
 def cross_group_cosine(t):

@@ -85,16 +85,17 @@ def macro_f1(t):
     return judgement.macro_f1(rows, "t", "p", ["lang"]).withColumns({c: F.round(c, 9) for c in ("macro_f1", "accuracy")})
 
 
-def _group_sql() -> str:
-    e = "['e','r','r2','r3','s','sr','sr2','sr3']"
-    return f"""
-WITH x AS (SELECT i AS ia, j AS ib, i // 4 AS ma, i % 4 AS ka, j // 4 AS mb, j % 4 AS kb FROM range(8) a(i), range(8) b(j))
-SELECT {e}[ia + 1] AS a, {e}[ib + 1] AS b, {e}[((ma + mb) % 2) * 4 + ((CASE WHEN mb = 1 THEN kb - ka ELSE ka + kb END) + 8) % 4 + 1] AS product FROM x"""
+_ELEMENTS = "['e','r','r2','r3','s','sr','sr2','sr3']"
 
 
-@query("ST20", _group_sql())
+@query("ST20", f"""
+WITH x AS (SELECT (props->>'$.k')::INT % 8 AS ia, event_id % 8 AS ib FROM events), y AS (SELECT ia, ib, ia // 4 AS ma, ia % 4 AS ka, ib // 4 AS mb, ib % 4 AS kb FROM x)
+SELECT {_ELEMENTS}[ia + 1] AS a, {_ELEMENTS}[ib + 1] AS b, {_ELEMENTS}[((ma + mb) % 2) * 4 + ((CASE WHEN mb = 1 THEN kb - ka ELSE ka + kb END) + 8) % 4 + 1] AS product, count(*) AS n FROM y GROUP BY ALL""")
 def dihedral_products(t):
-    return dihedral.group_table(t("region").sparkSession)
+    """Products of two elements that each event gives, and how often."""
+    of = lambda c: F.get(F.array(*map(F.lit, dihedral.ELEMENTS)), F.pmod(c, F.lit(8)).cast("int"))
+    rows = t("events").select(of(F.get_json_object("props", "$.k").cast("int")).alias("a"), of(F.col("event_id")).alias("b"))
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b", dihedral.multiply(F.col("a"), F.col("b")).alias("product"), "n")
 
 
 @query("ST20", f"""

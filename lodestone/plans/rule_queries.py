@@ -99,32 +99,25 @@ def gate_states(t):
     return rows.select("doc_id", F.size("g").alias("gates"), state["state"].alias("state"), F.round(state["confidence"], 9).alias("confidence"))
 
 
-@query("RUL12", r"""
-SELECT item_id, CASE WHEN p > 0 THEN CASE WHEN contains(substr(text, greatest(1, p - 30), least(length(text), p - 1 + 30) - greatest(0, p - 1 - 30)), 'er') THEN 'prescriptive' ELSE 'descriptive' END ELSE NULL END AS context
-FROM (SELECT item_id, text, instr(text, 'on') AS p FROM benchmark)""")
-def window_contexts(t):
-    at = F.instr("text", "on")
-    context = R.window_context(F.col("text"), at - 1, {"prohibition": ["er"]})["context"]
-    return t("benchmark").select("item_id", F.when(at > 0, context).alias("context"))
-
-
 @query("RUL17 RUL19", """
 WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
 SELECT item_id, list_filter(w, lambda x: ends_with(x, 'er'))[1] AS agent, list_filter(w, lambda x: ends_with(x, 'on'))[1] AS patient,
-  CASE WHEN len(list_filter(w, lambda x: x = 'zz')) > 0 THEN 'regex' ELSE CASE WHEN len(list_filter(w, lambda x: ends_with(x, 'er'))) > 0 THEN 'regex+suffix_fallback' ELSE 'regex+suffix' END END AS method
+  CASE WHEN len(list_filter(w, lambda x: x = 'the')) > 0 THEN 'regex' ELSE CASE WHEN len(list_filter(w, lambda x: ends_with(x, 'er'))) > 0 THEN 'regex+suffix_fallback' ELSE 'regex+suffix' END END AS method
 FROM w""")
 def suffix_roles(t):
     roles = R.suffix_roles(F.col("text"), "er", "on")
-    first = F.when(F.array_contains(F.split("text", " "), "zz"), "CARE")
+    first = F.when(F.array_contains(F.split("text", " "), "the"), "CARE")
     second = F.when(roles["agent"].isNotNull(), F.lit("DUTY"))
     return t("benchmark").select("item_id", roles["agent"].alias("agent"), roles["patient"].alias("patient"), R.with_fallback([("regex", first), ("suffix", second)])["method"].alias("method"))
 
 
-@query("RUL24 ST24", f"""
-SELECT item_id, len(list_filter({_TOKENS}, lambda x: x IN ('the', 'this')))::INT AS masks FROM benchmark""")
+@query("RUL24 ST24", r"""
+WITH m AS (SELECT item_id, text, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE WHEN lower(x) IN ('the', 'this') THEN '[MASK]' ELSE x END), '') AS masked FROM benchmark)
+SELECT item_id, md5(masked) AS text_md5, round((len(string_split(text, ' ')) - len(string_split(masked, '[MASK]')) + 1) / len(string_split(text, ' ')), 9) AS retention FROM m""")
 def masked_texts(t):
     text = R.masked(F.col("text"), {"HARM": L.SAMPLE_LEXICON["HARM"]})
-    return t("benchmark").select("item_id", F.regexp_count(text, F.lit(r"\[MASK\]")).alias("masks"))
+    words = F.size(F.split("text", " "))
+    return t("benchmark").select("item_id", F.md5(text).alias("text_md5"), F.round((words - F.regexp_count(text, F.lit(r"\[MASK\]"))) / words, 9).alias("retention"))
 
 
 @query("PRJ13 RUL3")

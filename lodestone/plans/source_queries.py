@@ -181,13 +181,6 @@ def partitioned_round_trip(t):
     return df.sparkSession.read.parquet(path).where("o_orderstatus = 'F'").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("RUL15", """
-SELECT item_id, CASE WHEN regexp_matches(text, '[殺害傷救護衛愛命治孝悌義正公報還償仁]') THEN 'some' END AS bond, (0.5 + 0.2 * regexp_matches(text, '[殺害傷救護衛愛命治孝悌義正公報還償仁]')::INT)::DOUBLE AS confidence FROM benchmark""")
-def positional_bonds(t):
-    b = R.positional(F.col("text"))
-    return t("benchmark").select("item_id", F.when(b["bond_type"].isNotNull(), "some").alias("bond"), b["confidence"].alias("confidence"))
-
-
 if importlib.util.find_spec("yaml"):
 
     @query("SRC11", """

@@ -101,9 +101,10 @@ def length_band(t):
 
 
 @query("EXP5", r"""
-SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\n'), lambda x: trim(x)), lambda x: x <> '')) AS paragraph FROM documents""")
+SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '')) AS paragraph FROM documents""")
 def paragraph_rows(t):
-    return t("documents").select("doc_id", F.explode(flatten.paragraphs(F.regexp_replace("text", "\n", "\n\n"))).alias("paragraph"))
+    """A line that ends a sentence gets a blank line behind it; other lines stay in their paragraph."""
+    return t("documents").select("doc_id", F.explode(flatten.paragraphs(F.replace("text", F.lit(".\n"), F.lit(".\n \n")))).alias("paragraph"))
 
 
 @query("EXP6 EXP7")

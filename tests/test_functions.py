@@ -106,8 +106,12 @@ def test_positional(spark):
 @pytest.mark.parametrize(
     "text,agent,patient",
     [
-        ("I should help Mary today", "I", "mary"),
-        ("Parents must help the child", "Parents", None),
+        ("I should help Mary today", "speaker", "mary"),
+        ("i Ought to go", "speaker", None),
+        ("You must not hurt them", "addressee", "them"),
+        ("Parents must help the child", "parents", None),
+        ("parents must protect my child", None, None),
+        ("Anna ought to harm no one", "anna", "no"),
         ("He said I should go", None, None),
         ("Nobody came; HELP us", None, "us"),
         ("", None, None),
@@ -117,3 +121,16 @@ def test_positional(spark):
 def test_role_capture(spark, text, agent, patient):
     found = one(spark, text, R.role_capture(C))
     assert (found.agent, found.patient) == (agent, patient)
+
+
+def test_morphological(spark):
+    from lodestone.functions import lexicons as L
+
+    of = lambda text, *rest: one(spark, text, R.morphological(C, *rest))[:]
+    arabic, hebrew = (L.ARABIC_MODALS, L.ARABIC_NEGATIONS, L.ARABIC_MARKS, False), (L.HEBREW_MODALS, L.HEBREW_NEGATIONS, L.HEBREW_MARKS, True)
+    assert of("\u062d\u064e\u0631\u0627\u0645", *arabic) == ("حرام", "NO_RIGHT", "prescriptive", False, 0.7)
+    # Presentation forms are folded by NFKC.
+    assert of("\ufef3\ufea0\ufe90", *arabic) == ("يجب", "OBLIGATION", "prescriptive", False, 0.7)
+    assert of("سلام", *arabic) == (None, "OBLIGATION", "unknown", True, 0.5)  # a cue as a part of a word
+    assert of("הלאה מותר", *hebrew) == ("מותר", "LIBERTY", "prescriptive", False, 0.7)
+    assert of("לא", *hebrew) == (None, "OBLIGATION", "unknown", True, 0.5)

@@ -45,10 +45,10 @@ def test_match_lexicon(spark):
     df = spark.createDataFrame(rows, "id int, matches string, text string").repartition(3)
     got = {r.id: r for r in A.match_lexicon(df.withColumnRenamed("matches", "language"), patterns, ["id", "language"], F.col("text"), "language").select(
         "id", "matches", A.classes(F.col("matches"), "bond", "NONE").alias("all"), A.first(F.col("matches"), "state").alias("state"), A.first_patterns(F.col("matches"), "bond").alias("firsts"), A.ranked(F.col("matches"), "bond", ["HARM", "CARE"]).alias("ranked")).collect()}
-    assert [tuple(m) for m in got[1].matches] == [("bond", "CARE", r"\bhelp", 1), ("bond", "CARE", r"\bkind", 1), ("bond", "HARM", r"\bkill", 1), ("state", "DUTY", r"\bmust\b", 2)]
+    assert [tuple(m) for m in got[1].matches] == [("bond", "CARE", r"\bhelp", 1, 28), ("bond", "CARE", r"\bkind", 1, 0), ("bond", "HARM", r"\bkill", 1, 17), ("state", "DUTY", r"\bmust\b", 2, 12)]
     assert got[1]["all"] == ["CARE", "HARM"] and got[1].state == "DUTY" and got[1].ranked == ["CARE", "HARM"]
     assert [tuple(x) for x in got[1].firsts] == [("CARE", r"\bhelp"), ("HARM", r"\bkill")]
-    assert [tuple(m) for m in got[2].matches] == [("bond", "OTHER", "o", 3)]
+    assert [tuple(m) for m in got[2].matches] == [("bond", "OTHER", "o", 3, 1)]
     assert all(got[i].matches == [] and got[i]["all"] == ["NONE"] and got[i].state is None for i in (3, 4, 5, 6))
 
 
