@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicons as L
-
-from lodestone.functions.dihedral import correlative
+from lodestone.functions.dihedral import STATES, correlative
 
 
 def is_correct(state: Column, expected: Column) -> Column:
@@ -36,16 +35,18 @@ def accuracy(df: DataFrame, keys: list[str], case: str) -> DataFrame:
 
 
 def correlative_pairs(df: DataFrame, case: str, position: str) -> DataFrame:
-    """Pairs of verdicts of a case, earlier first: case, c1, c2. Verdicts of a case are few; they pair inside one row."""
-    lists = df.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(position, "state"))).alias("v"))
-    a = lists.select(case, "v", F.posexplode("v").alias("i", "x"))
-    return a.select(case, F.col("x.state").alias("c1"), F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("y")).select(case, "c1", F.col("y.state").alias("c2"))
+    """Pairs of verdicts of a case, the earlier one being O, C, L or N: case, c1, c2, n. Pairs are counted, not made: a verdict pairs with as many as its state before it in the case."""
+    before = W.partitionBy(case).orderBy(position, "state").rowsBetween(W.unboundedPreceding, -1)
+    earlier = F.array(*[F.struct(F.lit(x).alias("c1"), F.coalesce(F.sum((F.col("state") == x).cast("long")).over(before), F.lit(0)).alias("n")) for x in STATES])
+    rows = df.select(case, F.col("state").alias("c2"), earlier.alias("__e")).select(case, "c2", F.explode("__e").alias("e")).where("e.n > 0")
+    return rows.groupBy(case, F.col("e.c1").alias("c1"), "c2").agg(F.sum("e.n").alias("n"))
 
 
 def correlative_symmetry(pairs: DataFrame) -> DataFrame:
-    """One row: pairs and violations by axis (O with C, L with N), their rates of symmetry (1 without pairs), and the share of violations."""
+    """One row over pairs (c1, c2, n): pairs and violations by axis (O with C, L with N), their rates of symmetry (1 without pairs), and the share of violations."""
     broken = ~F.col("c2").eqNullSafe(correlative(F.col("c1")))
-    out = pairs.agg(*[f(F.col("c1").isin(*axis) & more).alias(f"{name}_{what}") for name, axis in (("o_c", ("O", "C")), ("l_n", ("L", "N"))) for what, f, more in (("pairs", F.count_if, F.lit(True)), ("violations", F.count_if, broken))])
+    number = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    out = pairs.agg(*[number(F.col("c1").isin(*axis) & more).alias(f"{name}_{what}") for name, axis in (("o_c", ("O", "C")), ("l_n", ("L", "N"))) for what, more in (("pairs", F.lit(True)), ("violations", broken))])
     for name in ("o_c", "l_n"):
         out = out.withColumn(f"{name}_rate", F.when(F.col(f"{name}_pairs") > 0, 1 - F.col(f"{name}_violations") / F.col(f"{name}_pairs")).otherwise(1.0))
     total, bad = F.col("o_c_pairs") + F.col("l_n_pairs"), F.col("o_c_violations") + F.col("l_n_violations")

@@ -42,19 +42,14 @@ def renamed(text: Column, pools: dict[str, list[str]]) -> Column:
     options = []
     for names in pools.values():
         for name, other in zip(names, names[1:] + names[:1], strict=True):
-            out = F.regexp_replace(text, rf"\b{name}\b", other)
+            out = F.regexp_replace(text, rf"(?U)\b{name}\b", other)
             options.append(F.when(out != text, out))
     return F.coalesce(*options)
 
 
-def with_detail(text: Column, details: list[str], key: Column) -> Column:
-    """A sentence that doesn't matter in front, chosen by a hash of the key."""
-    return F.concat(F.get(F.array(*map(F.lit, details)), F.pmod(F.crc32(key.cast("string")), F.lit(len(details))).cast("int")), F.lit(" "), text)
-
-
 def synonyms(text: Column, table: dict[str, str]) -> Column:
     """The first word of the table that the text holds, replaced; null without one."""
-    return F.coalesce(*[F.when(text.rlike(rf"(?i)\b{a}\b"), F.regexp_replace(text, rf"(?i)\b{a}\b", b)) for a, b in table.items()])
+    return F.coalesce(*[F.when(text.rlike(rf"(?iU)\b{a}\b"), F.regexp_replace(text, rf"(?iU)\b{a}\b", b)) for a, b in table.items()])
 
 
 def chance(key: Column, *salt: Column | str) -> Column:
@@ -121,3 +116,8 @@ def random_surface(df: DataFrame, id_col: str, text_col: str, table: dict[str, l
         # Worked out once: expressions above an explode are not inlined.
         rows = rows.select("id", "ops", F.explode(F.array(step)).alias("text"))
     return rows
+
+
+def with_detail(text: Column, details: list[str], key: Column) -> Column:
+    """A sentence that doesn't matter in front, chosen by a hash of the key."""
+    return F.concat(chosen(F.array(*map(F.lit, details)), chance(key, "front")), F.lit(" "), text)

@@ -16,41 +16,44 @@ def order_key(id_col: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
-def global_rank(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
-    """Rank from 1 by a key of hexadecimal digits, exact: rank in a bucket of the key's first digits, plus the sizes of the buckets before."""
-    bucketed = df.withColumn("__b", F.substring(key, 1, 3))
-    sizes = bucketed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    # 4096 buckets at most.
-    before = sizes.select(F.col("__b").alias("__c"), (F.sum("__n").over(W.orderBy("__b")) - F.col("__n")).alias("__before"))
-    ranked = bucketed.withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy(key)))
-    return ranked.join(F.broadcast(before), F.col("__b") == F.col("__c")).withColumn(name, F.col("__r") + F.col("__before")).drop("__b", "__c", "__r", "__before")
+#: Values of a column, at most, that each row may be multiplied by.
+MOST_SPLITS = 10_000
+
+
+def global_rank(df: DataFrame, key: str, name: str = "rank", groups: list[str] | None = None, size: str | None = None, digits: int = 3) -> DataFrame:
+    """Rank from 1 by a key of hexadecimal digits, exact, in the whole table or in each of the groups: rank in a bucket of the key's first digits, plus the sizes of the buckets before.
+
+    size: the column that gets the number of rows of the group. A task sorts a bucket, 16**digits to a group, so a group may be the whole table; with more rows than some 100,000 a bucket, take another digit.
+    """
+    groups = groups or []
+    bucketed = df.withColumn("__b", F.substring(key, 1, digits))
+    sizes = bucketed.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = (F.sum("__n").over(W.partitionBy(*groups).orderBy("__b")) - F.col("__n")).alias("__before")
+    table = sizes.select(*[F.col(c).alias(f"__g_{c}") for c in groups], F.col("__b").alias("__c"), before, F.sum("__n").over(W.partitionBy(*groups)).alias("__size"))
+    ranked = bucketed.withColumn("__r", F.row_number().over(W.partitionBy(*groups, "__b").orderBy(key)))
+    condition = F.col("__b") == F.col("__c")
+    for c in groups:
+        condition &= F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    # Without groups, 16**digits rows at most.
+    out = ranked.join(table if groups or digits > 4 else F.broadcast(table), condition).withColumn(name, F.col("__r") + F.col("__before"))
+    out = out.withColumn(size, F.col("__size")) if size else out
+    return out.drop("__b", "__c", "__r", "__before", "__size", *[f"__g_{c}" for c in groups])
 
 
 def by_shares(df: DataFrame, shares: list[tuple[str, float]], id_col: str, seed: int = 42, strata: list[str] | None = None, role: str = "role") -> DataFrame:
     """Roles by rank: the first floor(share x n) rows of the order, the next ones, ...; the last role takes the rest.
 
-    strata: ranks and sizes inside each group of these columns; the groups should be far smaller than the table.
+    strata: ranks and sizes inside each group of these columns; a group may be as large as the table.
     """
-    keyed = df.withColumn("__k", order_key(F.col(id_col), seed))
-    if strata:
-        ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(*strata).orderBy("__k")))
-        sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__size"))
-        condition = None
-        for c in strata:
-            sizes = sizes.withColumnRenamed(c, f"__s_{c}")
-            on = F.col(c).eqNullSafe(F.col(f"__s_{c}"))
-            condition = on if condition is None else condition & on
-        ranked = ranked.join(sizes, condition).drop(*[f"__s_{c}" for c in strata])
-    else:
-        ranked = global_rank(keyed, "__k", "__rank").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__size"))))
+    ranked = global_rank(df.withColumn("__k", order_key(F.col(id_col), seed)), "__k", "__rank", strata, "__rows")
     out, end = F.lit(shares[-1][0]), F.lit(0)
     bounds = []
     for name, share in shares[:-1]:
-        end = end + F.floor(F.col("__size") * share)
+        end = end + F.floor(F.col("__rows") * share)
         bounds.append((name, end))
     for name, end in reversed(bounds):
         out = F.when(F.col("__rank") <= end, name).otherwise(out)
-    return ranked.withColumn(role, out).drop("__k", "__rank", "__size")
+    return ranked.withColumn(role, out).drop("__k", "__rank", "__rows")
 
 
 def by_values(df: DataFrame, column: str, groups: dict[str, list[str]], role: str = "role") -> DataFrame:
@@ -68,15 +71,28 @@ def leave_one_out(df: DataFrame, column: str, id_col: str, least: int = 100, sha
     threshold = f"{int(share * 0xFFFFFFFF):08x}"
     keyed = df.select(F.col(id_col).alias("id"), F.col(column).alias("__v"), F.substring(order_key(F.col(id_col), seed), 1, 8).alias("__h"))
     role = F.when(F.col("__v") == F.col("split"), "test").when(F.col("__h") <= threshold, "train").otherwise("valid")
-    # As many splits as values of the column; the table is read once and each row goes to each split.
+    n = held.count()
+    if n > MOST_SPLITS:
+        raise ValueError(f"{column} has {n} values with {least} rows, and each row goes to each: {MOST_SPLITS} at most")
+    # As many rows as counted; the table is read once and each row goes to each split.
     return keyed.crossJoin(F.broadcast(held)).select("split", role.alias("role"), "id")
 
 
-def by_tags(df: DataFrame, experiments: list[tuple[str, list[str], list[str]]], id_col: str, tags_col: str, least: int = 50) -> DataFrame:
-    """Experiments of (name, train tags, test tags): rows with any of the tags; rows of both sides are left out; sides below `least` rows drop the experiment."""
-    items = F.explode(F.array(*[F.struct(F.lit(n).alias("split"), F.array(*map(F.lit, a)).alias("a"), F.array(*map(F.lit, b)).alias("b")) for n, a, b in experiments]))
+#: As the test side of an experiment: all rows without a tag of the train side.
+ALL_OTHER = "all-other"
+
+
+def by_tags(df: DataFrame, experiments: list[tuple[str, list[str], list[str]]], id_col: str, tags_col: str, least: int = 50, compounds: dict[str, list[str]] | None = None) -> DataFrame:
+    """Experiments of (name, train tags, test tags): rows with any of the tags; rows of both sides are left out; sides below `least` rows drop the experiment. Long form: split, role, id.
+
+    Test tags may be [ALL_OTHER]. compounds: names that stand for several tags, one level deep.
+    """
+    whole = lambda tags: [x for t in tags for x in (compounds or {}).get(t, [t])]
+    text = lambda tags: F.array(*map(F.lit, tags)).cast("array<string>")
+    items = F.explode(F.array(*[F.struct(F.lit(n).alias("split"), text(whole(a)).alias("a"), text([] if b == [ALL_OTHER] else whole(b)).alias("b"), F.lit(b == [ALL_OTHER]).alias("other")) for n, a, b in experiments]))
     rows = df.select(F.col(id_col).alias("id"), F.col(tags_col).alias("tags")).withColumn("e", items)
-    train, test = F.arrays_overlap("tags", "e.a"), F.arrays_overlap("tags", "e.b")
+    train = F.arrays_overlap("tags", "e.a")
+    test = F.when(F.col("e.other"), ~train).otherwise(F.arrays_overlap("tags", "e.b"))
     rows = rows.where(train != test).select(F.col("e.split").alias("split"), F.when(train, "train").otherwise("test").alias("role"), "id")
     sizes = rows.groupBy("split").agg(F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b")).where((F.col("a") >= least) & (F.col("b") >= least))
     return rows.join(sizes.select("split"), "split", "left_semi")
@@ -98,6 +114,18 @@ def cross_pairs(df: DataFrame, signature: str, ordinal: str, id_col: str) -> Dat
     return a.join(b, (F.col("signature") == F.col("sb")) & (F.col("oa") < F.col("ob"))).select("signature", "id_old", "id_new")
 
 
+def cross_links(df: DataFrame, signature: str, ordinal: str, id_col: str) -> DataFrame:
+    """What cross_pairs links, without its pairs: id, signature, n_older and n_newer (rows of the same signature with a smaller and a larger ordinal).
+
+    Rows are counted by signature and ordinal first, so a signature costs as much as it has ordinals, however many rows it has. Rows without a signature or an ordinal link with nothing.
+    """
+    known = df.where(F.col(signature).isNotNull() & F.col(ordinal).isNotNull())
+    counts = known.groupBy(F.col(signature).alias("__s"), F.col(ordinal).alias("__o")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy("__s").orderBy("__o"))
+    counts = counts.select("__s", "__o", (upto - F.col("__n")).alias("n_older"), (F.sum("__n").over(W.partitionBy("__s")) - upto).alias("n_newer"))
+    return known.select(F.col(id_col).alias("id"), F.col(signature).alias("signature"), F.col(ordinal).alias("__r")).join(counts, (F.col("signature") == F.col("__s")) & (F.col("__r") == F.col("__o"))).select("id", "signature", "n_older", "n_newer")
+
+
 def capped(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
     """The first rows of each group, by an explicit order."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("__n") <= most).drop("__n")
@@ -107,14 +135,17 @@ def topped_up(main: DataFrame, extra: DataFrame, group: str, order: list[str], l
     """main, and rows of extra, in order, for groups that have fewer than `least` rows."""
     have = main.groupBy(group).agg(F.count(F.lit(1)).alias("__have")).withColumnRenamed(group, "__g")
     ranked = extra.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    # A constant limit, so that each task passes on no more than that of a group.
+    ranked = ranked.where(F.col("__n") <= least)
     needed = ranked.join(have, F.col(group) == F.col("__g"), "left").where(F.col("__n") <= least - F.coalesce("__have", F.lit(0)))
     return main.unionByName(needed.select(*main.columns))
 
 
 def shuffled_labels(df: DataFrame, label: str, group: str, id_col: str, seed: int = 42) -> DataFrame:
-    """Labels dealt anew inside each group: the i-th row by id gets the label of the i-th row by hash."""
-    a = df.withColumn("__i", F.row_number().over(W.partitionBy(group).orderBy(id_col)))
-    b = df.select(F.col(group).alias("__g"), F.col(label).alias("shuffled"), F.row_number().over(W.partitionBy(group).orderBy(order_key(F.col(id_col), seed))).alias("__j"))
+    """Labels dealt anew inside each group: the i-th row by one hash of the id gets the label of the i-th row by another. Ranks are exact, and a group may be as large as the table."""
+    a = global_rank(df.withColumn("__k", order_key(F.col(id_col), seed + 1)), "__k", "__i", [group]).drop("__k")
+    b = global_rank(df.select(group, F.col(label).alias("shuffled"), order_key(F.col(id_col), seed).alias("__k")), "__k", "__j", [group])
+    b = b.select(F.col(group).alias("__g"), "shuffled", "__j")
     return a.join(b, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__i") == F.col("__j"))).drop("__i", "__j", "__g")
 
 

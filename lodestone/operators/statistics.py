@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,21 +76,37 @@ def two_proportions(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Col
     return z, 2 * D.normal_greater(F.abs(z))
 
 
-def bootstrap(df: DataFrame, value: str, id_col: str, resamples: int = 1000, level: float = 0.95) -> DataFrame:
+def _resampled(resamples: int, seed: int):
+    """For each task and resample: the sum of weights, and of weighted values. A weight is Poisson with mean 1, by a hash of the row's key and the resample."""
+    cumulative = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    step = np.uint64(0x9E3779B97F4A7C15)
+    draws = (np.arange(1, resamples + 1, dtype=np.uint64) + np.uint64(seed)) * step
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        weights, sums = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            for begin in range(0, len(keys), 2048):
+                h = keys[begin : begin + 2048, None] ^ draws[None]
+                for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+                k = np.searchsorted(cumulative, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53), "right")
+                weights += k.sum(0)
+                sums += values[begin : begin + 2048] @ k
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(weights), pa.array(sums)], ["b", "k", "s"])
+
+    return run
+
+
+def bootstrap(df: DataFrame, value: str, id_col: str, resamples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Mean and percentile interval of the mean.
 
     A resample draws each row as often as a Poisson variable of mean 1 says (by a hash of row and resample), so rows need no
-    numbers and nothing is collected. The interval is that of bootstrap means; fewer than two rows give the mean three times.
+    numbers and nothing is collected: each task adds up all resamples of its rows, and gives a row each. The interval is that of bootstrap means; fewer than two rows give the mean three times.
     """
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col("b")), F.lit(1 << 30)) / float(1 << 30)
-    # Poisson(1) by inversion, to 6.
-    cumulative, times, p = 0.0, F.lit(0), 0.36787944117144233
-    for k in range(6):
-        cumulative += p
-        times = times + (draw >= cumulative).cast("int")
-        p /= k + 1
-    rows = df.where(F.col(value).isNotNull()).select(id_col, value).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    means = rows.withColumn("k", times).groupBy("b").agg((F.sum(F.col("k") * F.col(value)) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(id_col, value).alias("key"), F.col(value).cast("double").alias("value"))
+    sums = rows.mapInArrow(_resampled(resamples, seed), "b bigint, k double, s double")
+    means = sums.groupBy("b").agg((F.sum("s") / F.nullif(F.sum("k"), F.lit(0.0))).alias("m"))
     low, high = (1 - level) / 2, (1 + level) / 2
     interval = means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
     mean = df.agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
@@ -153,8 +174,15 @@ def extreme_labels(table: DataFrame, label: str, components: list[list[float]],
     return sides[0].unionByName(sides[1])
 
 
+#: Labels whose pairs are measured, at most.
+MOST_LABELS = 10_000
+
+
 def centroid_distances(table: DataFrame, label: str) -> DataFrame:
-    """All pairs of labels: a, b, cosine distance, L2 distance."""
+    """All pairs of labels: a, b, cosine distance, L2 distance. Tables of more than MOST_LABELS labels are an error: their pairs would not stay few."""
+    n = table.count()
+    if n > MOST_LABELS:
+        raise ValueError(f"{n} labels: {MOST_LABELS} at most")
     a = table.select(F.col(label).alias("a"), F.col("centroid").alias("__a"))
     b = table.select(F.col(label).alias("b"), F.col("centroid").alias("__b"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", V.cosine_distance(F.col("__a"), F.col("__b")).alias("cosine_distance"), V.distance(F.col("__a"), F.col("__b")).alias("l2"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import splits
 from lodestone.plans.registry import query
-from lodestone.sources import sinks
+from lodestone.session import table_path
+from lodestone.sources import readers, sinks
 
 
 @query("JN1 JN3", "SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality")
@@ -46,6 +47,13 @@ def cross_era_pairs(t):
     return splits.cross_pairs(t("orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
+@query("JN8 SPL4", """
+SELECT o_orderkey AS id, o_custkey AS signature, count(*) OVER w - count(*) OVER p AS n_older, count(*) OVER (PARTITION BY o_custkey) - count(*) OVER w AS n_newer FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate), p AS (PARTITION BY o_custkey, o_orderdate)""")
+def cross_era_links(t):
+    """How many older and newer orders each order pairs with; the pairs themselves are not made."""
+    return splits.cross_links(t("orders"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
 @query("JN13 JN14", """
 SELECT c_custkey, n_name, coalesce(r_name, 'generic') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""")
 def lookups(t):
@@ -127,9 +135,16 @@ def domain_modules(t):
     return module_summary(rows, "lang", "state", "source").select(F.col("lang").alias("domain"), "n", F.round("share_o", 9).alias("share_o"), F.array_join("sources", ",").alias("sources"))
 
 
-@query("SNK8")
+@query("SNK8", """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM c)
+SELECT (SELECT sum(n) FROM c)::BIGINT AS total, place::INT AS place, source, n FROM t WHERE place <= 5""")
 def source_report(t):
-    return sinks.report(t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "n")
+    """The report of the largest sources as a JSON document, written, and taken apart again."""
+    report = sinks.report(t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "n")
+    path = table_path(report.sparkSession, "report")
+    report.write.text(path)
+    back = readers.json_lines(report.sparkSession, path, "total bigint, top array<struct<key:string,n:bigint>>", "*.txt")
+    return back.select("total", F.posexplode("top").alias("place", "x")).select("total", (F.col("place") + 1).alias("place"), F.col("x.key").alias("source"), F.col("x.n").alias("n"))
 
 
 @query("AG18 ST25", """

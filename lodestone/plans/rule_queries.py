@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicons as L
@@ -120,7 +122,28 @@ def masked_texts(t):
     return t("benchmark").select("item_id", F.md5(text).alias("text_md5"), F.round((words - F.regexp_count(text, F.lit(r"\[MASK\]"))) / words, 9).alias("retention"))
 
 
-@query("PRJ13 RUL3")
+#: Words of the tables that words of the topics and states take the place of.
+_LETTER_WORDS = [(" the ", " mother "), (" of ", " must "), (" and ", " wife "), (" in ", " entitled "), (" to ", " job ")]
+
+
+def _letters_sql() -> str:
+    text = "text"
+    for old, new in _LETTER_WORDS:
+        text = f"replace({text}, '{old}', '{new}')"
+    words = lambda ps: "[" + ", ".join(f"'{w.lower()}'" for p in ps for w in re.findall(r"[A-Za-z]+(?: [A-Za-z]+)*", p.replace("\\b", ""))) + "]"
+    topics = " ".join(f"WHEN list_has_any(w, {words(ps)}) THEN '{c}'" for c, ps in L.TOPICS.items())
+    single = {c: [w for p in ps for w in re.findall(r"[A-Za-z]+(?: [A-Za-z]+)*", p.replace("\\b", ""))] for c, ps in L.STATES.items()}
+    counts = ", ".join(f"{{'m': -({' + '.join(f'len(regexp_extract_all(d, {chr(39)}[^a-z]{w.lower().replace(chr(32), chr(32) * 2)}[^a-z]{chr(39)}))' for w in ws)}), 'o': {i}, 'c': '{c}'}}" for i, (c, ws) in enumerate(single.items()))
+    return f"""
+WITH x AS (SELECT conv_id, turn, lower({text}) AS x FROM conversations), y AS (SELECT conv_id, turn, {_TOKENS.replace("lower(text)", "x")} AS w, '  ' || regexp_replace(x, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') || '  ' AS d FROM x)
+SELECT conv_id, turn, CASE {topics} ELSE 'general' END AS topic, list_sort(list_filter([{counts}], lambda x: x.m < 0))[1].c AS state FROM y"""
+
+
+@query("PRJ13 PRJ14 RUL3", _letters_sql())
 def letter_topics(t):
     c = F.col("text")
-    return t("conversations").select("conv_id", "turn", R.first_class(F.lower(c), L.TOPICS, "general").alias("topic"), R.top_class(c, L.STATES).alias("state"))
+    for old, new in _LETTER_WORDS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    rows = t("conversations").select("conv_id", "turn", F.explode(F.array(c)).alias("text"))
+    c = F.col("text")
+    return rows.select("conv_id", "turn", R.first_class(F.lower(c), L.TOPICS, "general").alias("topic"), R.top_class(c, L.STATES).alias("state"))

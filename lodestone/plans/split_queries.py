@@ -42,13 +42,13 @@ def mixed_split(t):
 
 @query("SPL6 FLT5 JN7", f"""
 WITH g AS (SELECT doc_id, [lang, {_PERIOD}] AS tags FROM documents),
-x AS (SELECT 'en_fr' AS split, doc_id AS id, list_has_any(tags, ['en']) AS a, list_has_any(tags, ['fr']) AS b FROM g UNION ALL SELECT 'old_new', doc_id, list_has_any(tags, ['BIBLICAL','TANNAITIC']), list_has_any(tags, ['DEAR_ABBY','en']) FROM g),
+x AS (SELECT 'en_fr' AS split, doc_id AS id, list_has_any(tags, ['en']) AS a, list_has_any(tags, ['fr']) AS b FROM g UNION ALL SELECT 'old_new', doc_id, list_has_any(tags, ['BIBLICAL','TANNAITIC']), list_has_any(tags, ['DEAR_ABBY','en']) FROM g UNION ALL SELECT 'romance_rest', doc_id, list_has_any(tags, ['fr','es']), NOT list_has_any(tags, ['fr','es']) FROM g),
 y AS (SELECT split, CASE WHEN a THEN 'train' ELSE 'test' END AS role, id FROM x WHERE a <> b)
 SELECT * FROM y WHERE split IN (SELECT split FROM y GROUP BY split HAVING count(*) FILTER (WHERE role = 'train') >= 50 AND count(*) FILTER (WHERE role = 'test') >= 50)""")
 def tag_experiments(t):
     rows = readers.passages(t("documents")).select("id", F.array("language", "time_period").alias("tags"))
     old, new = splits.parse_pairs("BIBLICAL, TANNAITIC -> DEAR_ABBY, en")
-    return splits.by_tags(rows, [("en_fr", ["en"], ["fr"]), ("old_new", old, new)], "id", "tags")
+    return splits.by_tags(rows, [("en_fr", ["en"], ["fr"]), ("old_new", old, new), ("romance_rest", ["romance"], [splits.ALL_OTHER])], "id", "tags", compounds={"romance": ["fr", "es"]})
 
 
 @query("SPL13", f"SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY {_KEY} LIMIT 200)")
@@ -57,7 +57,7 @@ def subsample(t):
 
 
 @query("SPL12", f"""
-WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents), b AS (SELECT lang, source AS shuffled, row_number() OVER (PARTITION BY lang ORDER BY {_KEY}) AS i FROM documents)
+WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('43:' || doc_id)) AS i FROM documents), b AS (SELECT lang, source AS shuffled, row_number() OVER (PARTITION BY lang ORDER BY {_KEY}) AS i FROM documents)
 SELECT a.doc_id, b.shuffled FROM a JOIN b ON a.lang = b.lang AND a.i = b.i""")
 def shuffled_labels(t):
     return splits.shuffled_labels(t("documents").select("doc_id", "lang", "source"), "source", "lang", "doc_id").select("doc_id", "shuffled")

@@ -86,10 +86,30 @@ def folded_texts(t):
     return t("documents").select("doc_id", F.md5(X.normalise(F.col("text"), F.lit("pali"))).alias("folded"))
 
 
-@query("NRM1 NRM2 NRM3 NRM5")
+#: Letters for a to z in each script, with marks and variants that its normalisation drops or folds.
+_VARIANTS = {
+    "hebrew": "\u05d0\u05d1\u05d2\u05d3\u05d4\u05d5\u05d6\u05d7\u05d8\u05d9\u05da\u05db\u05dc\u05dd\u05de\u05df\u05e0\u05e1\u05b7\u05e3\u05e4\u05e5\u05e6\u05e7\u05bc\u05ea",
+    "arabic": "\u0623\u0628\u0629\u062a\u0649\u062b\u0625\u062c\u0622\u062d\u064e\u0640\u062e\u062f\u0630\u0631\u0632\u0633\u0634\u064f\u0635\u0636\u0637\u0638\u0639\u063a",
+    "sanskrit": "\u0915\u0916\u0917\u0902\u0918\u0919\u0901\u091a\u0951\u091b\u091c\u091d\u091e\u091f\u0920\u0952\u0921\u0922\u0923\u0924\u0925\u0926\u0927\u0928\u092a\u092b",
+}
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _folded_sql(name: str) -> str:
+    x = f"translate(lower(text), '{_ABC}', '{_VARIANTS[name]}')"
+    if name == "sanskrit":
+        return f"regexp_replace({x}, '[\u0900-\u0902\u0951-\u0954]', '', 'g')"
+    drop, old, new = {"hebrew": ("\u0591-\u05c7", "\u05da\u05dd\u05df\u05e3\u05e5", "\u05db\u05de\u05e0\u05e4\u05e6"), "arabic": ("\u064b-\u065f\u0640", "\u0623\u0625\u0622\u0671\u0629\u0649", "\u0627\u0627\u0627\u0627\u0647\u064a")}[name]
+    return f"translate(regexp_replace({x}, '[{drop}]', '', 'g'), '{old}', '{new}')"
+
+
+@query("NRM1 NRM2 NRM3 NRM5", " UNION ALL ".join(f"SELECT doc_id, '{n}' AS language, md5({_folded_sql(n)}) AS text_md5 FROM documents" for n in _VARIANTS) + " UNION ALL SELECT doc_id, 'english', md5(lower(text)) FROM documents")
 def normalised_texts(t):
-    languages = F.array(*map(F.lit, ["hebrew", "arabic", "sanskrit", "classical_chinese", "english"]))
-    return t("documents").select("doc_id", F.explode(languages).alias("language"), "text").select("doc_id", "language", F.md5(X.normalise(F.col("text"), F.col("language"))).alias("text_md5"))
+    """Texts in letters of three scripts, with marks and variants; and in lower case."""
+    rows = t("documents").select("doc_id", F.explode(F.array(*map(F.lit, [*_VARIANTS, "english"]))).alias("language"), "text")
+    script = F.coalesce(*[F.when(F.col("language") == n, F.translate(F.lower("text"), _ABC, x)) for n, x in _VARIANTS.items()], F.col("text"))
+    rows = rows.select("doc_id", "language", F.explode(F.array(script)).alias("text"))
+    return rows.select("doc_id", "language", F.md5(X.normalise(F.col("text"), F.col("language"))).alias("text_md5"))
 
 
 @query("FLT1 FLT2 FLT3 FLT4", """
@@ -107,7 +127,14 @@ def paragraph_rows(t):
     return t("documents").select("doc_id", F.explode(flatten.paragraphs(F.replace("text", F.lit(".\n"), F.lit(".\n \n")))).alias("paragraph"))
 
 
-@query("EXP6 EXP7")
+@query("EXP6 EXP7", r"""
+WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: length(x)) AS w,
+  list_transform(list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: trim(x)), lambda x: x <> ''), lambda x: length(x)) AS p FROM documents),
+f AS (SELECT doc_id, list_reduce(list_prepend({'n': 0, 'o': 0}, list_transform(w, lambda x: {'n': 0, 'o': x})), lambda a, x: CASE WHEN (CASE WHEN a.o = 0 THEN x.o ELSE a.o + 1 + x.o END) >= 400
+    THEN {'n': a.n + 1, 'o': 0} ELSE {'n': a.n, 'o': CASE WHEN a.o = 0 THEN x.o ELSE a.o + 1 + x.o END} END) AS c,
+  list_reduce(list_prepend({'n': 0, 'o': 0}, list_transform(p, lambda x: {'n': 0, 'o': x})), lambda a, x: CASE WHEN a.o + x.o < 1500 THEN {'n': a.n, 'o': CASE WHEN a.o = 0 THEN x.o ELSE a.o + 2 + x.o END}
+    ELSE {'n': CASE WHEN a.o = 0 THEN a.n ELSE a.n + 1 END, 'o': x.o} END) AS q FROM w)
+SELECT doc_id, c.n + CASE WHEN c.o > 50 THEN 1 ELSE 0 END AS chunks, q.n + CASE WHEN q.o > 0 THEN 1 ELSE 0 END AS packed FROM f""")
 def chunk_rows(t):
     c = F.col("text")
     return t("documents").select("doc_id", F.size(flatten.chunks(c)).alias("chunks"), F.size(flatten.packed_paragraphs(F.regexp_replace(c, "\n", "\n\n"))).alias("packed"))
@@ -139,8 +166,21 @@ def structural_texts(t):
     return t("benchmark").select("item_id", perturb.structural(F.col("text"), families)["text"].alias("changed"))
 
 
-@query("PT4")
+_DETAILS = ["It was a clear day.", "The room was quiet.", "A clock struck nine."]
+_WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')"
+
+
+def _swapped_sql(old: str, new: str, same_case: bool) -> str:
+    word = "x" if same_case else "lower(x)"
+    return f"array_to_string(list_transform({_WORDS}, lambda x: CASE WHEN {word} = '{old}' THEN '{new}' ELSE x END), '')"
+
+
+@query("PT4", f"""
+WITH w AS (SELECT item_id, text, {_WORDS} AS w FROM (SELECT item_id, text FROM benchmark)), l AS (SELECT *, list_transform(w, lambda x: lower(x)) AS lw FROM w)
+SELECT item_id, CASE WHEN list_contains(lw, 'the') THEN {_swapped_sql('the', 'this', False)} WHEN list_contains(lw, 'of') THEN {_swapped_sql('of', 'from', False)} END AS synonym,
+  ['{"', '".join(_DETAILS)}'][(floor(('0x' || md5(item_id || ':front')[1:8])::BIGINT / 4294967296::DOUBLE * 3) + 1)::INT] || ' ' || text AS detail,
+  CASE WHEN list_contains(w, 'The') THEN {_swapped_sql('The', 'Thes', True)} WHEN list_contains(w, 'Thes') THEN {_swapped_sql('Thes', 'Then', True)} WHEN list_contains(w, 'Then') THEN {_swapped_sql('Then', 'The', True)} END AS renamed FROM l""")
 def surface_texts(t):
     c = F.col("text")
-    changed = perturb.with_detail(c, ["It was a clear day.", "The room was quiet.", "A clock struck nine."], F.col("item_id"))
-    return t("benchmark").select("item_id", perturb.synonyms(c, {"the": "this", "of": "from"}).alias("synonym"), changed.alias("detail"), perturb.renamed(c, {"names": ["Alice", "Bella", "Clara"]}).alias("renamed"))
+    changed = perturb.with_detail(c, _DETAILS, F.col("item_id"))
+    return t("benchmark").select("item_id", perturb.synonyms(c, {"the": "this", "of": "from"}).alias("synonym"), changed.alias("detail"), perturb.renamed(c, {"names": ["The", "Thes", "Then"]}).alias("renamed"))
