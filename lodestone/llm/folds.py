@@ -18,8 +18,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """text, y, place: at most `rows` labelled rows outside the held-out fold, the first in order of a hash of the id.
+#: Bytes of a text that is fitted on: the sample is one task's, so its size has a bound too.
+MOST_BYTES = 1 << 17
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """text, y, place: at most `rows` labelled rows outside the held-out fold, the first in order of a hash of the id; those with a longer text than most_bytes are not in the sample (they are scored like all others).
 
     The bound holds for what is broadcast (ids and labels) and for the sample. Rows without a label or an id
     are left out; ids with contradicting labels count as their smallest one.
@@ -28,7 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     chosen = chosen.groupBy("i").agg(F.min("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("i"))
     place = F.struct(F.xxhash64("i").alias("a"), F.col("i").cast("string").alias("b"), F.xxhash64("text").alias("c"))
-    return found.select("text", F.col("y").cast("int").alias("y"), place.alias("place")).orderBy("place").limit(rows)
+    return found.where(F.octet_length("text") <= most_bytes).select("text", F.col("y").cast("int").alias("y"), place.alias("place")).orderBy("place").limit(rows)
 
 
 def fitted(sample: DataFrame, fit):

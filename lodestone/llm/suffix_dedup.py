@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,8 +161,28 @@ def repeated(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
 # Stages
 
 
-def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumn("__rid", F.xxhash64(F.col(id_col), F.col(text_col)))
+#: Names that two different rows share, at most; at 10**10 rows some three are to be expected.
+MOST_CLASHES = 10_000
+
+
+def _names(id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), id_col, text_col)]
+
+
+def _clashes(df: DataFrame, id_col: str, text_col: str) -> list[int]:
+    """64-bit names of rows that differ in their other 64 bits: as good as none, so they fit into an expression."""
+    first, second = _names(id_col, text_col)
+    both = df.select(first.alias("n"), second.alias("m")).groupBy("n").agg(F.min("m").alias("low"), F.max("m").alias("high")).where("low <> high")
+    found = both.select("n").limit(MOST_CLASHES + 1).collect()
+    if len(found) > MOST_CLASHES:
+        raise ValueError(f"more than {MOST_CLASHES} names of rows clash")
+    return [r.n for r in found]
+
+
+def _named(df: DataFrame, id_col: str, text_col: str, clashes: list[int]) -> DataFrame:
+    """df with __rid, a name for each row by 64 bits of its id and text, or by 64 others where rows that differ share the first ones. Rows that are equal in both share a name."""
+    first, second = _names(id_col, text_col)
+    return df.withColumn("__rid", F.when(first.isin(clashes), second).otherwise(first) if clashes else first)
 
 
 def _runs(width: int):
@@ -383,9 +403,10 @@ def _dealt_windows(width: int):
     return run
 
 
-def repeat_spans(df: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", name: str = "suffix", hot: int = HOT) -> DataFrame:
-    """Spans of repeated bytes: rid (hash of id and text), b, e; they may overlap."""
-    base = _named(df.select(id_col, text_col), id_col, text_col).select("__rid", text_col)
+def repeat_spans(df: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", name: str = "suffix", hot: int = HOT, clashes: list[int] | None = None) -> DataFrame:
+    """Spans of repeated bytes: rid (hash of id and text), b, e; they may overlap. clashes: names that stand for several rows, found anew by default."""
+    clashes = _clashes(df, id_col, text_col) if clashes is None else clashes
+    base = _named(df.select(id_col, text_col), id_col, text_col, clashes).select("__rid", text_col)
     runs = base.mapInArrow(ba.trimmed(_runs(width)), "deal bigint, pk bigint, rkey bigint, rid bigint, begin int, shape int")
     judged = materialize(runs.repartition("deal").sortWithinPartitions("deal", "pk", "rkey").mapInArrow(ba.trimmed(partial(_judge, most=HELD)), _JUDGED), f"{name}-judged")
     length = F.when(F.col("shape") < 0, -F.col("shape")).otherwise(F.floor(F.col("shape") / _PACK))
@@ -419,8 +440,9 @@ def _united(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 def _applied(df: DataFrame, width: int, id_col: str, text_col: str, name: str, hot: int, added: list[tuple[str, pa.DataType, T.DataType]], row, only: list[str] | None = None) -> DataFrame:
     """df with its text replaced by what row(bytes, spans) returns; null texts count as empty."""
-    spans = repeat_spans(df, width, id_col, text_col, name, hot).groupBy(F.col("rid").alias("__r")).agg(F.collect_list(F.struct("b", "e")).alias("__spans"))
-    base = _named(df if only is None else df.select(*only, text_col), id_col, text_col)
+    clashes = _clashes(df, id_col, text_col)
+    spans = repeat_spans(df, width, id_col, text_col, name, hot, clashes).groupBy(F.col("rid").alias("__r")).agg(F.collect_list(F.struct("b", "e")).alias("__spans"))
+    base = _named(df if only is None else df.select(*only, text_col), id_col, text_col, clashes)
     joined = _packed(base, text_col).join(spans, F.col("__rid") == F.col("__r"), "left").drop("__r", "__rid")
     kept = [f for f in joined.schema.fields if f.name not in ("__z", "__spans")]
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import media_jpeg as M
 from lodestone.llm import packing as P
@@ -652,3 +653,27 @@ def test_held_out_fold_and_sample(spark):
     assert sorted(fitted(labelled_sample(docs, labels, "toxic", 50), lambda t, y: t)) == sorted(texts)
     assert fitted(labelled_sample(docs, labels.limit(0), "toxic", 50), lambda t, y: t) == []
     assert len(texts) == 50 and not {int(t[1:]) for t in texts} & out and all(y == int(t[1:]) % 2 for t, y in zip(texts, ys, strict=True))
+
+
+def test_names_that_clash_are_told_apart(spark, monkeypatch):
+    """Rows whose first names are all equal keep their own spans."""
+    from lodestone.llm import suffix_dedup
+
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"one {passage} tail"), (2, f"another beginning {passage}"), (3, "nothing of it " * 3), (4, "x" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_digests(df).collect()}
+    other = suffix_dedup._names
+    monkeypatch.setattr(suffix_dedup, "_names", lambda i, x: [F.lit(7).cast("long"), other(i, x)[1]])
+    assert suffix_dedup._clashes(df, "doc_id", "text") == [7]
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_digests(df).collect()} == want
+    assert want[1][1] > 0 and want[3][1] == 0
+
+
+def test_long_texts_are_not_fitted_on(spark):
+    from lodestone.llm.folds import labelled_sample
+
+    docs = spark.createDataFrame([(i, "é" * (10 * i)) for i in range(1, 30)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    sizes = [len(r.text.encode()) for r in labelled_sample(docs, labels, "toxic", 100, most_bytes=200).collect()]
+    assert sizes and max(sizes) <= 200
