@@ -143,15 +143,20 @@ def _vectors(df):
 
 @query("ST5")
 def principal_components(t):
+    """Share of the variance by component, and how many components have more than 90 %, 95 % and 99 % of it."""
     from pyspark.ml.feature import PCA
 
     v = _vectors(t("embeddings"))
-    model = PCA(k=32, inputCol="features", outputCol="pc").fit(v)
+    model = PCA(k=64, inputCol="features", outputCol="pc").fit(v)
     share = [(i + 1, float(x)) for i, x in enumerate(model.explainedVariance.toArray())]
     out = v.sparkSession.createDataFrame(share, "component int, share double")
     from pyspark.sql import Window as W
 
-    return out.withColumn("cumulative", F.sum("share").over(W.orderBy("component")))
+    # As many rows as components.
+    out = out.withColumn("cumulative", F.sum("share").over(W.orderBy("component")))
+    first = lambda test: F.min(F.when(test, F.col("component"))).over(W.partitionBy())
+    c = F.col("cumulative")
+    return out.withColumns({"above_90": first(c > 0.9), "from_95": first(c >= 0.95), "from_99": first(c >= 0.99)})
 
 
 @query("ST27")
@@ -194,8 +199,10 @@ def cluster_numbers(t):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    v = _vectors(t("embeddings"))
+    # Read and converted once; what an executor loses is read again.
+    v = _vectors(t("embeddings")).persist()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette", distanceMeasure="squaredEuclidean")
     found = [(k, float(evaluator.evaluate(KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(v).transform(v)))) for k in range(2, 15)]
+    v.unpersist()
     best = max(found, key=lambda x: (x[1], -x[0]))[0]
     return v.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, best boolean")
