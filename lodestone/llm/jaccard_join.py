@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestone.llm import byte_arrays as ba
 from lodestone.llm.components import components
@@ -435,11 +436,13 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     Words are runs of other than ASCII white space, A-Z lower-cased; a set holds the distinct shingles of `width` words, or all words
     as one shingle where there are fewer. Two documents link when 100 x intersection >= percent x union. Null and empty texts,
     and those of white space, have an empty set and no link. Rows that share an id are one node, null ids none (their component_id is null
-    unless their set equals another's). Ids are cast to long; other columns are ignored; an empty table gives no rows.
+    unless their set equals another's). Ids are of any type that has an order, and smallest by that; other columns are ignored; an empty table gives no rows.
 
     Equal sets are one node from the start, however many there are. Signatures count with map-side combining, and
     Spark splits what is skewed in the joins.
     """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        return _by_place(df, width, percent, id_col, text_col, name)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(set_table(docs, width, percent), f"{name}-sets")
     # Regions, of sets named by k1: a collision only makes a region larger.
@@ -472,11 +475,23 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _by_place(df: DataFrame, width: int, percent: int, id_col: str, text_col: str, name: str) -> DataFrame:
+    """jaccard_join() of ids that are no whole numbers: each gets a number in their order, range-partitioned and written, and is told by it afterwards."""
+    ids = df.select(F.col(id_col).alias("__id")).where(F.col(id_col).isNotNull()).distinct()
+    places = materialize(ids.repartitionByRange("__id").sortWithinPartitions("__id").select("__id", F.monotonically_increasing_id().alias("__n")), f"{name}-ids")
+    numbered = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(places, F.col("i") == F.col("__id"), "left").select(F.col("__n").alias("doc_id"), "text")
+    found = jaccard_join(numbered, width, percent, name=name)
+    of = lambda c: places.select(F.col("__n").alias(f"__{c}"), F.col("__id").alias(c))
+    out = found.select(F.col("doc_id").alias("d"), "n_shingles", F.col("component_id").alias("c"))
+    out = out.join(of("doc_id"), F.col("d") == F.col("__doc_id"), "left").join(of("component_id"), F.col("c") == F.col("__component_id"), "left")
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", name: str = "near") -> DataFrame:
     """The rows of df, with all columns, whose id is the smallest of its component; rows that share that id all stay, and so do rows without an id."""
     found = jaccard_join(df, width, percent, id_col, text_col, name)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

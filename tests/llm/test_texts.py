@@ -677,3 +677,25 @@ def test_long_texts_are_not_fitted_on(spark):
     labels = docs.select("doc_id", F.lit(1).alias("toxic"))
     sizes = [len(r.text.encode()) for r in labelled_sample(docs, labels, "toxic", 100, most_bytes=200).collect()]
     assert sizes and max(sizes) <= 200
+
+
+def test_near_duplicates_by_ids_of_any_type(spark):
+    """String ids in their own order, null and repeated ones: the same components as by their places."""
+    from lodestone.llm import jaccard_join as J
+
+    rng = random.Random(21)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(6)]
+    rows = []
+    for k in range(40):
+        text = base[k % 6] if k % 3 else base[k % 6].replace("w1", f"x{k}", 1)
+        rows.append((rng.randrange(10_000), text))
+    rows += [(10_001, None), (10_002, ""), (rows[0][0], base[1]), (None, base[2])]
+    order = sorted({i for i, _ in rows if i is not None}, key=str)
+    longs = spark.createDataFrame([(None if i is None else order.index(i), x) for i, x in rows], "doc_id long, text string")
+    texts = spark.createDataFrame([(None if i is None else str(i), x) for i, x in rows], "doc_id string, text string").repartition(5)
+    name = lambda i: None if i is None else str(order[i])
+    want = sorted(((name(r.doc_id), r.n_shingles, name(r.component_id)) for r in J.jaccard_join(longs).collect()), key=str)
+    assert sorted((tuple(r) for r in J.jaccard_join(texts).collect()), key=str) == want
+    assert any(a != c for a, _, c in want if a is not None)
+    kept = sorted((str(r.doc_id) for r in J.drop_near_duplicates(texts).collect()))
+    assert kept == sorted(str(name(r.doc_id)) for r in J.drop_near_duplicates(longs).collect()) and len(kept) < len(rows)
