@@ -43,5 +43,5 @@ def query(covers: str, sql: str | None = None):
     return register
 
 
-for _name in ("text_queries", "rule_queries", "relational_queries", "split_queries", "judgement_queries", "vector_queries", "source_queries", "further_queries", "lexicon_queries", "graph_queries", "stream_queries", "inference_queries", "derived_queries"):
+for _name in ("text_queries", "rule_queries", "relational_queries", "split_queries", "judgement_queries", "vector_queries", "source_queries", "further_queries", "lexicon_queries", "graph_queries", "stream_queries", "inference_queries", "derived_queries", "response_queries"):
     importlib.import_module(f"lodestone.plans.{_name}")
