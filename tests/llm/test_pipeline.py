@@ -86,3 +86,102 @@ def test_registered_queries(spark, name):
         assert all(r.payload_bytes % 64 == 0 and r.payload_bytes >= max(r.n_bytes, 64) for r in rows)
     if name == "op1_suffix_dedup":
         assert any(0 < r.n_removed < r.n_bytes for r in rows) and any(not r.n_removed for r in rows)
+
+
+def corpus_rows():
+    """Documents with nulls, repeated rows and ids, empty and long texts, copies, near copies, shared lines and passages; a few of them are toxic."""
+    import random
+
+    from .conftest import edge_rows, sentence
+
+    rng = random.Random(17)
+    rows = [(i, x[:20_000] if x else x) for i, x in edge_rows()]
+    rows += [(200 + i, sentence(rng, rng.randrange(30, 90))) for i in range(60)]
+    rows += [(300 + i, f"{sentence(rng, 12)} idiot clown {sentence(rng, 5)} stupid idiot loser") for i in range(20)]
+    return rows
+
+
+def write_tables(spark, folder, rows):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, n_lines string, rid bigint, region string, component_id bigint"
+    table = [(i, x, "en", f"src{(i or 0) % 3}", None if x is None else len(x), 0.5, "clash", 7, "r", None) for i, x in rows]
+    spark.createDataFrame(table, schema).repartition(4).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, int(i >= 300)) for i, _ in rows if i is not None and i >= 200]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def brute_near(rows, width=5, percent=80):
+    """The rows that stay: all whose id is the smallest of its component, and those without an id."""
+    import re
+
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, x in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate(low))
+        sets.append({tuple(ws[j : j + width]) for j in range(len(ws) - width + 1)} if len(ws) >= width else {tuple(ws)} if ws else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            same = rows[a][0] is not None and rows[a][0] == rows[b][0] and sets[a] and sets[b]
+            if same or (sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])):
+                root[find(b)] = find(a)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None and sets[k]:
+            least[find(k)] = min(least.get(find(k), i), i)
+    gone = {i for k, (i, _) in enumerate(rows) if i is not None and sets[k] and least[find(k)] != i}
+    return [r for r in rows if r[0] not in gone]
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage at its own parameters on what its predecessor kept; columns of any name stay, and no clean document goes."""
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        pytest.skip("without the pipeline")
+    import corpus_pipeline
+    from lodestone.session import materialize
+
+    from .test_native import brute_lines
+    from .test_texts import brute_repeats
+
+    folder = str(tmp_path / "in")
+    write_tables(spark, folder, corpus_rows())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, of = docs.columns, lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    before = of(docs)
+    clean = materialize(stages["toxicity"](spark, docs, folder), "test-toxicity")
+    after = of(clean)
+    assert clean.columns == columns and set(after) <= set(before)
+    assert not {i for i, _ in after if i is not None and i >= 300} and {i for i, _ in before if i is not None and 200 <= i < 300} <= {i for i, _ in after}
+    lines = materialize(stages["line_dedup"](spark, clean, folder), "test-lines")
+    null = {i for i, x in after if x is None}
+    want = sorted(((i, None if x == "" and i in null and (i, None) in after else x) for i, _, _, x in brute_lines(after, "first", 10)), key=str)
+    empty = lambda rows: sorted(((i, x or "") for i, x in rows), key=str)
+    assert lines.columns == columns and empty(of(lines)) == empty(want)
+    near = materialize(stages["jaccard_join"](spark, lines, folder), "test-near")
+    assert near.columns == columns and of(near) == sorted(brute_near(of(lines)), key=str)
+    cut = materialize(stages["suffix_dedup"](spark, near, folder), "test-cut")
+    kept = of(near)
+    texts = sorted(((i, w[4].decode(errors="ignore")) for (i, _), w in zip(kept, brute_repeats([(x or "").encode() for _, x in kept], 200), strict=True)), key=str)
+    assert cut.columns == columns and empty(of(cut)) == empty(texts)
+    assert all(r.n_chars is None if r.text is None else r.n_chars == len(r.text) for r in cut.collect())
+    pieces = stages["packing"](spark, cut, folder).collect()
+    assert sum(r.length for r in pieces if r.start == 0) <= sum(r.length for r in pieces)
+    assert len([r for r in pieces if r.start == 0]) == cut.count()
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        pytest.skip("without the pipeline")
+    import corpus_pipeline
+
+    folder = str(tmp_path / "in")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    rows.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
