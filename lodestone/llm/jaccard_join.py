@@ -34,6 +34,8 @@ from lodestone.session import materialize, remove_table
 LADDER, SPARE = 1.5, 125
 #: Rounds in which sets that meet others too rarely go.
 PEELS = 2
+#: Sets in which heavy signatures are looked for, and one in how many rows makes one heavy.
+SAMPLE, HEAVY = 20_000, 1000
 #: Sets that a task remembers having sent.
 SEEN = 500_000
 #: Shingles of a region that one task joins at most (single documents aside); larger regions are divided.
@@ -330,6 +332,27 @@ def _joined(width: int, percent: int):
     return run
 
 
+def _heavy(sets: DataFrame, name: str) -> DataFrame:
+    """sig: signatures that more than one in HEAVY of the rows of a sample of sets have; fewer than HEAVY. Which ones are found changes where rows go, not what comes out."""
+    share = min(1.0, SAMPLE / max(sets.count(), 1))
+    found = sets.sample(share, seed=1).select("k1", F.explode("levels").alias("level")).select(F.explode("level.sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    found = materialize(found.where("m > 1"), f"{name}-counts")
+    total = found.agg(F.sum("m").alias("total"))
+    heavy = materialize(found.join(F.broadcast(total), F.lit(True)).where(F.col("m") * HEAVY > F.col("total")).select(F.col("sig").alias("heavy")), f"{name}-heavy")
+    remove_table(sets.sparkSession, found)
+    return heavy
+
+
+def _several(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Rows (sig, k1, need) whose signature several sets have, each set once. A heavy signature is never one task: its rows are dealt by signature and set."""
+    light = rows.join(F.broadcast(heavy), F.col("sig") == F.col("heavy"), "left_anti").repartition("sig").sortWithinPartitions("sig", "k1")
+    hot = rows.join(F.broadcast(heavy), F.col("sig") == F.col("heavy"), "left_semi").dropDuplicates(["sig", "k1"])
+    shared = hot.groupBy("sig").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x < y").select(F.col("sig").alias("s"))
+    # No more rows than heavy signatures.
+    hot = hot.join(F.broadcast(shared), F.col("sig") == F.col("s"), "left_semi")
+    return light.mapInArrow(ba.trimmed(_met), "sig bigint, k1 bigint, need bigint").union(hot.select("sig", "k1", "need"))
+
+
 def _peeled(met: DataFrame, name: str) -> DataFrame:
     """met without the sets that meet others in fewer signatures than a link takes at a level, and without signatures that one set alone has then."""
     enough = met.groupBy("k1", "need").agg(F.count(F.lit(1)).alias("m")).where("m >= (need & 4294967295)").select(F.col("k1").alias("k"), F.col("need").alias("w"))
@@ -438,7 +461,7 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     and those of white space, have an empty set and no link. Rows that share an id are one node, null ids none (their component_id is null
     unless their set equals another's). Ids are of any type that has an order, and smallest by that; other columns are ignored; an empty table gives no rows.
 
-    Equal sets are one node from the start, however many there are. Signatures count with map-side combining, and
+    Equal sets are one node from the start, however many there are. Signatures that a large share of all sets have are dealt by set, and
     Spark splits what is skewed in the joins.
     """
     if not isinstance(df.schema[id_col].dataType, IntegralType):
@@ -447,8 +470,9 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     sets = materialize(set_table(docs, width, percent), f"{name}-sets")
     # Regions, of sets named by k1: a collision only makes a region larger.
     rows = sets.select("k1", F.explode("levels").alias("level")).select("k1", "level.need", F.explode("level.sigs").alias("sig")).select("sig", "k1", "need")
-    dealt = rows.repartition("sig").sortWithinPartitions("sig", "k1")
-    met = materialize(dealt.mapInArrow(ba.trimmed(_met), "sig bigint, k1 bigint, need bigint"), f"{name}-met")
+    heavy = _heavy(sets, name)
+    met = materialize(_several(rows, heavy), f"{name}-met")
+    remove_table(df.sparkSession, heavy)
     for _ in range(PEELS):
         met = _peeled(met, f"{name}-met")
     hubs = met.groupBy("sig").agg(F.min("k1").alias("hub")).select(F.col("sig").alias("s"), "hub")

@@ -468,13 +468,15 @@ def test_character_map_takes_the_longest_prefix():
 # 9
 
 
-@pytest.mark.parametrize("width,percent,region", [(3, 90, 1 << 21), (5, 80, 1 << 21), (5, 80, 500), (2, 60, 300)])
-def test_jaccard_join(spark, edge, monkeypatch, width, percent, region):
+@pytest.mark.parametrize("width,percent,region,heavy", [(3, 90, 1 << 21, 1000), (5, 80, 1 << 21, 1), (5, 80, 500, 1 << 40), (2, 60, 300, 20)])
+def test_jaccard_join(spark, edge, monkeypatch, width, percent, region, heavy):
+    """heavy: no signature is a heavy one with 1, and every one that several sets of the sample have with a large number."""
     import re
 
     from lodestone.llm import jaccard_join as J
 
     monkeypatch.setattr(J, "REGION", region)
+    monkeypatch.setattr(J, "HEAVY", heavy)
     rows = edge_rows()
     sets, low = {}, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for k, (i, x) in enumerate(rows):
