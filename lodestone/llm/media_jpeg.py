@@ -503,8 +503,8 @@ def _mapped(df: DataFrame, id_col: str, value_col: str, fields: list[tuple[str,
 def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, media binary: the text in UTF-8 as a progressive JPEG.
 
-    Null and empty texts are a payload of 64 zero bytes. Ids are passed through, null or repeated; other columns are ignored.
-    A payload beyond 6.4 GB raises.
+    Null and empty texts are a payload of 64 zero bytes. Ids are passed through, null or repeated; other columns are ignored. An empty table gives no rows;
+    a long text takes some ten times its size while it is written, one at a time. A payload beyond 6.4 GB raises.
     """
     return _mapped(df, id_col, text_col, [("media", pa.binary(), "binary")], lambda x: (write_payload(payload_of((x or "").encode())),))
 

@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 def score(df: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score double (0 to 1). Null and empty texts are one empty line.
 
-    Ids are passed through, null or repeated; other columns are ignored. What is broadcast is some 70 weights.
+    Ids are passed through, null or repeated; other columns are ignored. Texts of any length are read whole, a few at a time; an empty table gives no rows. What is broadcast is some 70 weights.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
