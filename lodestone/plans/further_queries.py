@@ -77,7 +77,7 @@ def tones(t):
 
 @query("PRJ9", "SELECT doc_id, 'doc_' || (row_number() OVER (ORDER BY doc_id) - 1) AS running FROM documents")
 def running_ids(t):
-    """Counters over an explicit order: ranks from ranges of the order, so no task numbers the whole table."""
+    """Counters over an explicit order: ranks from ranges of the order, so no task numbers the whole table. Ids are unique here; equal ones would get equal counters."""
     counted = S.running_total(t("documents").select("doc_id"), "doc_id", F.lit(1), "n")
     return counted.select("doc_id", F.concat(F.lit("doc_"), F.col("n").cast("bigint").cast("string")).alias("running"))
 
