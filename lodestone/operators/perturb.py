@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicons as L
+from lodestone.functions import vectors as V
 
 
 def replace_first(text: Column, phrase: str, new: str) -> Column:
@@ -121,3 +122,21 @@ def random_surface(df: DataFrame, id_col: str, text_col: str, table: dict[str, l
 def with_detail(text: Column, details: list[str], key: Column) -> Column:
     """A sentence that doesn't matter in front, chosen by a hash of the key."""
     return F.concat(chosen(F.array(*map(F.lit, details)), chance(key, "front")), F.lit(" "), text)
+
+
+def battery(df: DataFrame, id_col: str, text_col: str, structural_pairs: dict[str, list[tuple[str, str]]], names: dict[str, str], details: list[str], vector) -> DataFrame:
+    """id, structural, kind, distance: how far each perturbation moves each text that it changes.
+
+    structural_pairs: by kind, phrases and what takes their place (all occurrences; each phrase that a text holds is a perturbation of its own). Surface ones are a change of all
+    names, and each detail at the end. vector: a Column of numbers for a Column of texts; distances are those of the cosine. Texts that a perturbation leaves as they are have no row for it.
+    """
+    kinds = [(True, k, F.replace(F.col("text"), F.lit(a), F.lit(b))) for k, pairs in structural_pairs.items() for a, b in pairs]
+    renamed_text = F.col("text")
+    for a, b in names.items():
+        renamed_text = F.replace(renamed_text, F.lit(a), F.lit(b))
+    kinds += [(False, "name_change", renamed_text)] + [(False, "detail", F.concat("text", F.lit(f" {d}"))) for d in details]
+    items = F.array(*[F.struct(F.lit(s).alias("structural"), F.lit(k).alias("kind"), x.alias("variant")) for s, k, x in kinds])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.explode(items).alias("p")).where(F.col("p.variant") != F.col("text"))
+    # Vectors are worked out once: expressions above an explode are not inlined.
+    rows = rows.select("id", "p.structural", "p.kind", F.explode(F.array(F.struct(vector(F.col("text")).alias("x"), vector(F.col("p.variant")).alias("y")))).alias("v"))
+    return rows.select("id", "structural", "kind", V.cosine_distance(F.col("v.x"), F.col("v.y")).alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dihedral as H
 from lodestone.functions import special as D
+from lodestone.functions import vectors as V
 from lodestone.operators import perturb as P
 from lodestone.operators import statistics as S
 from lodestone.plans.registry import query
@@ -129,3 +130,43 @@ SELECT id, array_to_string(ops, ',') AS ops, md5(text) AS text_md5 FROM b"""
 def random_perturbations(t):
     out = P.random_surface(t("documents"), "doc_id", "text", _SYNONYMS, _NAMES, _DETAILS)
     return out.select("id", F.array_join("ops", ",").alias("ops"), F.md5("text").alias("text_md5"))
+
+
+_PAIRS = {"obligation_to_permission": [(" the ", " a "), (" of ", " from ")], "harm_to_care": [(" and ", " or ")], "role_swap": [(" to ", " at ")]}
+_SWAPPED_NAMES = {"The": "That", "And": "Or"}
+_TAILS = ["It was Tuesday.", "in the city."]
+
+
+def _battery_sql() -> str:
+    structural = [(k, f"replace(text, '{a}', '{b}')") for k, pairs in _PAIRS.items() for a, b in pairs]
+    renamed = "text"
+    for a, b in _SWAPPED_NAMES.items():
+        renamed = f"replace({renamed}, '{a}', '{b}')"
+    rows = [f"SELECT doc_id AS id, true AS structural, '{k}' AS kind, text, {x} AS variant FROM documents" for k, x in structural]
+    rows += [f"SELECT doc_id, false, '{k}', text, {x} FROM documents" for k, x in [("name_change", renamed), *[("detail", f"text || ' {d}'") for d in _TAILS]]]
+    vector = lambda c: f"list_transform(string_split('0,1,2,3,4,5,6,7,8,9,a,b,c,d,e,f', ','), lambda d: len(list_filter({c}, lambda x: x = d))::DOUBLE)"
+    digits = lambda c: f"list_transform(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''), lambda w: md5(w)[1])"
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+    return f"""b AS ({" UNION ALL ".join(rows)}), g AS MATERIALIZED (SELECT id, structural, kind, {digits("text")} AS x, {digits("variant")} AS y FROM b WHERE variant <> text),
+v AS MATERIALIZED (SELECT id, structural, kind, {vector("x")} AS x, {vector("y")} AS y FROM g), d AS (SELECT id, structural, kind, 1 - {dot("x", "y")} / (sqrt({dot("x", "x")}) * sqrt({dot("y", "y")}) + 1e-9) AS distance FROM v)"""
+
+
+def _battery(t):
+    return P.battery(t("documents"), "doc_id", "text", _PAIRS, _SWAPPED_NAMES, _TAILS, V.hashed_words)
+
+
+@query("PT6 ST1 AG18", f"WITH {_battery_sql()} SELECT structural, kind, count(*) AS n, round(avg(distance), 8) AS mean_distance, round(stddev_pop(distance), 8) AS deviation FROM d GROUP BY ALL")
+def pair_battery(t):
+    """How far structural and surface perturbations move the texts that they change, by kind."""
+    by = _battery(t).groupBy("structural", "kind")
+    return by.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 8).alias("mean_distance"), F.round(F.stddev_pop("distance"), 8).alias("deviation"))
+
+
+@query("PT6 ST8 ST9 ST11", f"""
+WITH {_battery_sql()}, s AS (SELECT count(*) FILTER (WHERE structural) AS n1, avg(distance) FILTER (WHERE structural) AS m1, var_pop(distance) FILTER (WHERE structural) AS v1,
+  count(*) FILTER (WHERE NOT structural) AS n2, avg(distance) FILTER (WHERE NOT structural) AS m2, var_pop(distance) FILTER (WHERE NOT structural) AS v2 FROM d)
+SELECT n1, n2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS cohens_d, round(m1 / m2, 6) AS ratio FROM s""")
+def battery_effect(t):
+    """Structural perturbations against surface ones."""
+    e = S.effect_size(S.two_samples(_battery(t), "distance", F.col("structural")))
+    return e.select("n1", "n2", F.round("cohens_d", 6).alias("cohens_d"), F.round("ratio", 6).alias("ratio"))
