@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,17 +17,33 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
 
-def _normalised(form: str):
-    @F.pandas_udf("string")
-    def normalise(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+#: Bytes of texts that a Python worker holds as strings at once; a longer text goes alone.
+PORTION = 1 << 20
 
-    return normalise
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(offset, length) of slices of an array of texts with at most PORTION bytes each, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, done = 0, 0
+    while at < len(texts):
+        end = max(at + 1, min(at + 1000, int(np.searchsorted(ends, done + PORTION, "right"))))
+        yield at, end - at
+        at, done = end, int(ends[end - 1])
 
-def unicode_normalise(text: Column, form: str = "NFC") -> Column:
+
+def _normalised(texts: pa.Array, forms: pa.Array) -> pa.Array:
+    out = []
+    for at, size in portions(texts):
+        pairs = zip(texts.slice(at, size).to_pylist(), forms.slice(at, size).to_pylist(), strict=True)
+        out.append(pa.array([None if x is None else unicodedata.normalize(f, x) for x, f in pairs], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
+def unicode_normalise(text: Column, form: Column | str = "NFC") -> Column:
     """Unicode normalisation; texts that are all ASCII are left to the JVM."""
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(_normalised(form)(text))
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    # Python functions run for every row, whatever the branch: what is left to the JVM goes as null.
+    return F.when(ascii_only, text).otherwise(F.arrow_udf(_normalised, "string")(F.when(~ascii_only, text), F.lit(form) if isinstance(form, str) else form))
 
 
 def clean_text(text: Column, normalise: bool = True) -> Column:
@@ -109,16 +128,18 @@ _PALI = ("\u1e43\u1e45\u00f1\u1e6d\u1e0d\u1e47\u1e37\u0101\u012b\u016b", "mnntdn
 
 def normalise(text: Column, language: Column) -> Column:
     """Text made comparable by its language; others: NFKC of lower case."""
+    cased = language.isin("hebrew", "aramaic", "arabic", "classical_chinese", "sanskrit", "pali")
+    # One call of Python for all languages, so that a text goes there and back once.
+    plain = unicode_normalise(F.when(cased, text).otherwise(F.lower(text)), F.when(language.isin("sanskrit", "pali"), "NFC").otherwise("NFKC"))
 
-    def folded(drop: str, old: str = "", new: str = "", form: str = "NFKC") -> Column:
-        out = F.regexp_replace(unicode_normalise(text, form), f"[{drop}]", "")
+    def folded(drop: str, old: str = "", new: str = "") -> Column:
+        out = F.regexp_replace(plain, f"[{drop}]", "")
         return F.translate(out, old, new) if old else out
 
     return (
         F.when(language.isin("hebrew", "aramaic"), folded(*_HEBREW))
         .when(language == "arabic", folded(*_ARABIC))
-        .when(language == "classical_chinese", unicode_normalise(text, "NFKC"))
-        .when(language == "sanskrit", folded(_SANSKRIT, form="NFC"))
-        .when(language == "pali", F.translate(F.lower(unicode_normalise(text, "NFC")), *_PALI))
-        .otherwise(unicode_normalise(F.lower(text), "NFKC"))
+        .when(language == "sanskrit", folded(_SANSKRIT))
+        .when(language == "pali", F.translate(F.lower(plain), *_PALI))
+        .otherwise(plain)
     )

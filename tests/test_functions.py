@@ -1,5 +1,7 @@
 import itertools
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,34 @@ def test_morphological(spark):
     assert of("سلام", *arabic) == (None, "OBLIGATION", "unknown", True, 0.5)  # a cue as a part of a word
     assert of("הלאה מותר", *hebrew) == ("מותר", "LIBERTY", "prescriptive", False, 0.7)
     assert of("לא", *hebrew) == (None, "OBLIGATION", "unknown", True, 0.5)
+
+
+def test_portions():
+    texts = pa.array(["a" * 10, None, "é" * X.PORTION, "", "b" * (X.PORTION - 10), "c" * 11, *["d"] * 2500])
+    parts = list(X.portions(texts))
+    assert [at for at, _ in parts] == [0, *itertools.accumulate(n for _, n in parts)][:-1] and sum(n for _, n in parts) == len(texts)
+    for at, n in parts:
+        assert n == 1 or sum(len(x.encode()) for x in texts.slice(at, n).to_pylist() if x) <= X.PORTION
+    assert list(X.portions(pa.array([], pa.string()))) == [] and list(X.portions(pa.array([None], pa.string()))) == [(0, 1)]
+
+
+def test_normalisation_is_one_call_of_python(spark):
+    """Of whatever language; and each text is what Python makes of it."""
+    names = ["hebrew", "arabic", "classical_chinese", "sanskrit", "pali", "english", None]
+    texts = ["", None, "Plain ASCII", "E\u0301\ufb01", "\ufb2a\u05da", "\u0623\u0640\u0649", "\uff21", "\u0958\u0951", "\u1e42A"]
+    rows = spark.createDataFrame([(n, t) for n in names for t in texts], "language string, text string").repartition(2)
+    out = rows.withColumn("x", X.normalise(F.col("text"), F.col("language")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan
+    n = unicodedata.normalize
+    drop = {"hebrew": [*range(0x591, 0x5C8)], "arabic": [*range(0x64B, 0x660), 0x640], "sanskrit": [*range(0x951, 0x955), *range(0x900, 0x903)]}
+    fold = {"hebrew": X._HEBREW[1:], "arabic": X._ARABIC[1:], "sanskrit": ("", "")}
+
+    def want(name, t):
+        if t is None:
+            return None
+        if name in drop:
+            return n("NFC" if name == "sanskrit" else "NFKC", t).translate(dict.fromkeys(drop[name])).translate(str.maketrans(*fold[name]))
+        return n("NFC", t).lower().translate(str.maketrans(*X._PALI)) if name == "pali" else n("NFKC", t if name == "classical_chinese" else t.lower())
+
+    assert all(r.x == want(r.language, r.text) for r in out.collect())
