@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,15 @@ def test_match_lexicon(spark):
     assert all(got[i].matches == [] and got[i]["all"] == ["NONE"] and got[i].state is None for i in (3, 4, 5, 6))
 
 
+def test_a_worker_holds_a_portion_of_a_batch():
+    texts = ["help " * 150_000, None, "kill", "help " * 150_000, "x" * 3_000_000, "help kill"]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(6)), "text": pa.array(texts)})
+    out = list(A._matched([("", "bond", "CARE", r"\bhelp"), ("", "bond", "HARM", r"\bkill")], None, 1)([batch]))
+    assert [b.num_rows for b in out] == [3, 1, 1, 1]
+    found = {r["id"]: [(m["class"], m["n"]) for m in r["matches"]] for b in out for r in b.to_pylist()}
+    assert found == {0: [("CARE", 150_000)], 1: [], 2: [("HARM", 1)], 3: [("CARE", 150_000)], 4: [], 5: [("CARE", 1), ("HARM", 1)]}
+
+
 def test_files(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text("bond_patterns:\n  latin:\n    CARE: ['\\bserv', noce]\n    ODD: [x]\n  greek:\nhohfeld_patterns:\n  latin:\n    RIGHT: [ius]\n")
