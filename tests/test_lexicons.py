@@ -62,6 +62,14 @@ def test_a_worker_holds_a_portion_of_a_batch():
     assert found == {0: [("CARE", 150_000)], 1: [], 2: [("HARM", 1)], 3: [("CARE", 150_000)], 4: [], 5: [("CARE", 1), ("HARM", 1)]}
 
 
+def test_bonds_take_one_call_of_python_for_normalisation(spark):
+    pytest.importorskip("yaml")
+    from lodestone.plans import registry
+
+    plan = registry.QUERIES["lexicon_bonds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan
+
+
 def test_files(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text("bond_patterns:\n  latin:\n    CARE: ['\\bserv', noce]\n    ODD: [x]\n  greek:\nhohfeld_patterns:\n  latin:\n    RIGHT: [ius]\n")
