@@ -167,3 +167,14 @@ def test_normalisation_is_one_call_of_python(spark):
         return n("NFC", t).lower().translate(str.maketrans(*X._PALI)) if name == "pali" else n("NFKC", t if name == "classical_chinese" else t.lower())
 
     assert all(r.x == want(r.language, r.text) for r in out.collect())
+
+
+def test_morphological_states_by_any_id(spark, tmp_path):
+    """Each document goes to Python in its own script alone; ids below 0 are odd or even too."""
+    from lodestone.plans import registry
+
+    spark.createDataFrame([(i, "Text") for i in (-3, -2, -1, 0, 1, 2)] + [(7, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.QUERIES["morphological_states"](spark, str(tmp_path))
+    found = {r.doc_id: r for r in out.collect()}
+    assert len(found) == 7 and all(found[i].negated is not None for i in (-3, -2, -1, 0, 1, 2)) and found[7].modal is None
+    assert "pmod(doc_id" in out._jdf.queryExecution().optimizedPlan().toString()
