@@ -47,6 +47,70 @@ def test_running_index_in_one_batch(spark, tmp_path):
     assert [(r.case, r.part, r.n, r.defects) for r in sorted(out.collect(), key=lambda r: r.ts)] == [(11, 0, 1, 1), (10, 0, 2, 1), (15, 0, 3, 2), (14, 1, 1, 0)]
 
 
+def test_calls_of_the_state_go_with_the_sessions():
+    """However many verdicts a session has, its state is asked the same number of times; and the rows are those of one verdict after the other."""
+    import numpy as np
+    import pandas as pd
+
+    class Times:
+        mark = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    class State:
+        def __init__(self):
+            self.calls, self.value, self.items, self.timers = 0, None, [], set()
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                return {
+                    "get": lambda: self.value, "update": lambda x: setattr(self, "value", x), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard,
+                    "appendValue": self.items.append, "put": lambda x: self.items.__setitem__(slice(None), x), "clear": self.items.clear,
+                }[name](*args)
+
+            return call
+
+    class Items(State):
+        def get(self):
+            self.calls += 1
+            return iter(list(self.items))
+
+    def run(batches):
+        p, at = running.RunningIndex(50), Times()
+        p.handle, p.waiting, p.totals = State(), Items(), State()
+        found = []
+        for mark, rows in [*batches, (10_000_000, [])]:
+            if rows:
+                frame = pd.DataFrame(rows, columns=["ts", "case", "defect"])
+                list(p.handleInputRows((7,), iter([frame.assign(ts=pd.to_datetime(frame["ts"], unit="ms"))]), at))
+            at.mark = mark
+            while due := sorted(t for t in p.handle.timers if t <= mark):
+                for out in p.handleExpiredTimer((7,), at, None):
+                    found += [(int(t.timestamp() * 1000 + 0.5), c, k, n, d) for t, c, k, n, d in zip(out["ts"], out["case"], out["part"], out["n"], out["defects"], strict=True)]
+                p.handle.timers.discard(due[0])
+        return found, p.handle.calls + p.waiting.calls + p.totals.calls
+
+    rng = np.random.default_rng(1)
+    calls = set()
+    for size in (1, 10, 400):
+        batches = []
+        for k in range(5):
+            times = rng.integers(k * 1000 + 1, k * 1000 + 900, size)
+            batches.append((k * 1000 + 950, [(int(t), int(c), int(d)) for t, c, d in zip(times, rng.integers(0, 9, size), rng.integers(0, 2, size), strict=True)]))
+        want, part, n, defects, last = [], -1, 0, 0, -1000
+        for t, c, d in sorted(r for _, rows in batches for r in rows):
+            if t - last > 50:
+                part, n, defects = part + 1, 0, 0
+            n, defects, last = n + 1, defects + d, t
+            want.append((t, c, part, n, defects))
+        found, asked = run(batches)
+        assert found == want
+        calls.add(asked)
+    assert len(calls) == 1 or max(calls) - min(calls) <= 5
+
+
 def test_sessions_leave_late_rows_out(spark, tmp_path):
     batches = [
         [(1, 10, "O", 0), (1, 11, "C", 20), (2, 20, "C", 10)],
