@@ -135,8 +135,11 @@ def battery(df: DataFrame, id_col: str, text_col: str, structural_pairs: dict[st
     for a, b in names.items():
         renamed_text = F.replace(renamed_text, F.lit(a), F.lit(b))
     kinds += [(False, "name_change", renamed_text)] + [(False, "detail", F.concat("text", F.lit(f" {d}"))) for d in details]
-    items = F.array(*[F.struct(F.lit(s).alias("structural"), F.lit(k).alias("kind"), x.alias("variant")) for s, k, x in kinds])
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.explode(items).alias("p")).where(F.col("p.variant") != F.col("text"))
-    # Vectors are worked out once: expressions above an explode are not inlined.
-    rows = rows.select("id", "p.structural", "p.kind", F.explode(F.array(F.struct(vector(F.col("text")).alias("x"), vector(F.col("p.variant")).alias("y")))).alias("v"))
-    return rows.select("id", "structural", "kind", V.cosine_distance(F.col("v.x"), F.col("v.y")).alias("distance"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # The vector of a text is worked out once for all of its variants, and none for a variant that is the text (expressions above an explode are not inlined).
+    variants = F.array(*[F.when(x != F.col("text"), x) for _, _, x in kinds])
+    rows = rows.select("id", F.explode(F.array(F.struct(vector(F.col("text")).alias("x"), variants.alias("variants")))).alias("v"))
+    items = F.array(*[F.struct(F.lit(s).alias("structural"), F.lit(k).alias("kind"), F.get("v.variants", F.lit(i)).alias("variant")) for i, (s, k, _) in enumerate(kinds)])
+    rows = rows.select("id", "v.x", F.explode(F.filter(items, lambda p: p["variant"].isNotNull())).alias("p"))
+    rows = rows.select("id", "p.structural", "p.kind", "x", F.explode(F.array(vector(F.col("p.variant")))).alias("y"))
+    return rows.select("id", "structural", "kind", V.cosine_distance(F.col("x"), F.col("y")).alias("distance"))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import vectors as V
 from lodestone.functions import special
 from lodestone.operators import flatten, judgement, perturb, splits, statistics
 from lodestone.sources import readers, sinks
@@ -237,3 +238,33 @@ def test_scratch_of_failing_blocks_and_threads(spark):
         keep_outer(kept)
     assert not os.path.exists(at)
     assert kept.count() == 4 and other[0].count() == 5
+
+
+def test_battery_takes_the_vector_of_a_text_once(spark):
+    """However many variants a text has; none for a variant that is the text itself."""
+    from lodestone.operators import perturb
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def lengths(text):
+        asked.add(1)
+        return [float(len(text or "")), 1.0]
+
+    vector = F.udf(lengths, "array<double>")
+    texts = spark.createDataFrame([(1, "b of the a"), (2, "of a"), (3, "x"), (4, None)], "id int, text string")
+    out = perturb.battery(texts, "id", "text", {"k": [(" the ", " "), ("of", "from")]}, {"b": "c"}, ["d", "e"], vector)
+    found = sorted((r.id, r.structural, r.kind) for r in out.collect())
+    assert found == [(1, False, "detail"), (1, False, "detail"), (1, False, "name_change"), (1, True, "k"), (1, True, "k"), (2, False, "detail"), (2, False, "detail"), (2, True, "k"), (3, False, "detail"), (3, False, "detail")]
+    assert asked.value == len(found) + 4
+
+
+def test_hashed_words(spark):
+    import hashlib
+
+    from lodestone.functions.vectors import hashed_words
+
+    texts = ["", "  ", "a", "the of the\n of\tthe", None, "é 0 f " * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashed_words(F.col("t")).alias("v")).collect()
+    for r in got:
+        digits = [hashlib.md5(w.encode()).hexdigest()[0] for w in (r.t or "").split()]
+        assert r.v == ([None] * 16 if r.t is None else [float(digits.count(d)) for d in "0123456789abcdef"])
