@@ -20,6 +20,8 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -161,18 +163,15 @@ class PieceCodec:
         symbols, get = list(chunk), self.score.get
         if len(symbols) >= HEAP_FROM:
             return self._merged_long(symbols)
-        ranks = [get(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        while ranks:
-            best = max(ranks)
-            if best == NONE:
-                break
+        ranks = [*map(get, map(add, chunk, chunk[1:]), repeat(NONE))]
+        while ranks and (best := max(ranks)) != NONE:
             i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            new = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del ranks[i]
             if i:
-                ranks[i - 1] = get(symbols[i - 1] + symbols[i], NONE)
+                ranks[i - 1] = get(symbols[i - 1] + new, NONE)
             if i < len(ranks):
-                ranks[i] = get(symbols[i] + symbols[i + 1], NONE)
+                ranks[i] = get(new + symbols[i + 1], NONE)
         return symbols
 
     def _merged_long(self, symbols: list) -> list[str]:
@@ -247,13 +246,13 @@ class PieceCodec:
         if not self.plain or SPACE in text or not text:
             ids, begins, ends = (np.array(x, kind) for x, kind in zip(self.encode(text), (np.int32, np.int64, np.int64), strict=True))
             return ids, begins, ends, ",".join(map(str, ids.tolist()))
-        found = [self.cache[c] for c in self.cut.findall(SPACE + text.replace(" ", SPACE))]
-        ids = np.frombuffer(b"".join([x[1] for x in found]), np.int32)
-        sizes = np.frombuffer(b"".join([x[2] for x in found]), np.int32).astype(np.int64)
+        listed, ids, sizes = zip(*map(self.cache.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))), strict=True)
+        ids = np.frombuffer(b"".join(ids), np.int32)
+        sizes = np.frombuffer(b"".join(sizes), np.int32).astype(np.int64)
         sizes[0] -= 1  # the space put in front is in no source
         at = np.cumsum(sizes)
         own = np.maximum.accumulate(np.where(sizes > 0, np.arange(len(sizes)), 0))  # of a character in bytes, the first id has the span of all
-        return ids, (at - sizes)[own], at[own], ",".join([x[0] for x in found])
+        return ids, (at - sizes)[own], at[own], ",".join(listed)
 
     def digested(self, text: str) -> tuple[int, str, str, int]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of what decode() makes of them, CRC-32 of the begins and ends of their source spans (64-bit numbers)."""
@@ -266,8 +265,10 @@ class PieceCodec:
 
     def surface(self, ids: list[int]) -> str:
         """What the ids stand for, spaces that begin a text included."""
-        if None not in (out := [*map(self.surfaces.__getitem__, ids)]):
-            return "".join(out)
+        try:
+            return "".join(map(self.surfaces.__getitem__, ids))
+        except TypeError:
+            pass  # ids whose surface takes the others around them have none of their own
         out, run = [], bytearray()
         for i in [*ids, None]:
             if i is not None and (b := self.byte_of.get(i)) is not None:
@@ -316,14 +317,14 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> tuple[str, bytes, bytes]:
         ids, sizes = self.codec.chunk(chunk)
-        if not chunk.replace(SPACE, "").isascii():
+        if not (chunk.isascii() or chunk.replace(SPACE, "").isascii()):
             at, own = 0, []
             for n in sizes:
                 part = chunk[at : at + n]
                 own.append(len(part.encode()) - 2 * part.count(SPACE))
                 at += n
             sizes = own
-        value = (",".join([self.decimal[i] for i in ids]), array("i", ids).tobytes(), array("i", sizes).tobytes())
+        value = (",".join(map(self.decimal.__getitem__, ids)), array("i", ids).tobytes(), array("i", sizes).tobytes())
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
