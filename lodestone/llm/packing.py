@@ -17,16 +17,18 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_arrays as ba
+from lodestone.llm import merges
 from lodestone.session import materialize
 
 WINDOW = 4096
@@ -39,6 +41,8 @@ K1, B = 1.2, 0.75
 CACHE_ENTRIES = 400_000
 #: Of these, those that stay when a task ends.
 KEPT = 60_000
+#: Characters of the longest chunk whose words are merged together with those of others.
+LONGEST = 64
 #: Texts are cut at these: white space for any tokenizer that this module accepts.
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 
@@ -46,8 +50,8 @@ _CHUNK = re.compile(r"[^ \n\t\r]+")
 # The normaliser and the split of a tokenizer whose words can be told without it.
 _NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: The same split for texts of printable ASCII and Latin letters, in lower case; all of these are in NFC.
-_SIMPLE = re.compile("[\n\t\r -~À-ÖØ-öø-ſ]*")
+#: The same split for texts of printable ASCII and Latin letters, in lower case; all of these are in NFC, and their lower case too (that of İ is not among them).
+_SIMPLE = re.compile("[\n\t\r -~À-ÖØ-öø-įı-ſ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \n\t\ra-z0-9ß-öø-ſ]+")
 
 
@@ -59,10 +63,10 @@ def _byte_letters() -> list[str]:
 
 
 class ChunkIds(dict):
-    """Chunk of a text -> its token ids as bytes; emptied when full.
+    """Chunk of a text -> its number among those known, and the token ids of each number; when full, the chunks that came first stay.
 
-    Chunks lie between white space. Where the tokenizer is of the kind above and the text is simple, they are the tokenizer's own
-    words, which repeat more often, and go to its model without its other steps.
+    Chunks lie between white space. Where the tokenizer is of the kind above, the words of simple chunks go to its merges without its other steps,
+    those of all new chunks together.
     """
 
     def __init__(self, tokenizer: str):
@@ -81,36 +85,109 @@ class ChunkIds(dict):
         kinds = [(x["type"], x.get("pattern", {}).get("Regex")) for x in splits]
         self.words = steps == _NORMAL and kinds == [("Split", _SPLIT), ("ByteLevel", None)] and spec["model"]["type"] == "BPE" and not splits[1]["add_prefix_space"]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.model = self.tokenizer.model
         self.letters = _byte_letters()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if self.words and _WORD.fullmatch(chunk) and _SIMPLE.fullmatch(chunk) and chunk == chunk.lower():
-            letters = chunk if chunk.isascii() else "".join([self.letters[b] for b in chunk.encode()])
-            found = [t.id for t in self.model.tokenize(letters)]
-        else:
-            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = self[chunk] = np.array(found, self.dtype).tobytes()
-        return ids
+        self.merges = self._merges(spec["model"]) if self.words else None
+        self.fresh: list[str] = []
+        self.starts, self.counts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _merges(self, model: dict) -> merges.Merges | None:
+        """The merges of the model, where it has no other steps and every byte has an id; else None."""
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            return None
+        ids, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        made = [a + b for a, b in pairs]
+        if any(c not in ids or c + suffix not in ids for c in self.letters) or len({*map(tuple, pairs)}) < len(pairs):
+            return None
+        # The ids of each byte, inside a word and at its end.
+        self.inner, self.final = (np.array([ids[c + x] for c in self.letters], np.int32) for x in ("", suffix))
+        left, right = (np.array([ids[p[i]] for p in pairs], np.int64) for i in (0, 1))
+        return merges.Merges(left, right, np.arange(len(pairs)), np.array([ids[x] for x in made], np.int64))
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return number
+
+    def _simple(self, text: str) -> bool:
+        return bool(self.merges and _SIMPLE.fullmatch(text)) and text == text.lower() and not any(s in text for s in self.special)
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of new chunks, in their order."""
+        simple = np.full(len(new), True) if self._simple(" ".join(new)) else np.fromiter(map(self._simple, new), bool, len(new))
+        simple &= np.fromiter(map(len, new), np.int64, len(new)) <= LONGEST
+        counts, ids = np.zeros(len(new), np.int64), np.zeros(0, self.dtype)
+        if simple.any():
+            text = " ".join(new if simple.all() else compress(new, simple))
+            data = np.frombuffer(text.encode(), np.uint8)
+            symbols = data[data != 32]
+            chunk_ends = np.concatenate([np.flatnonzero(data == 32), [len(data)]]) - np.arange(simple.sum())
+            begins = np.append(np.flatnonzero((symbols & 0xC0) != 0x80), len(symbols))  # of characters
+            word_ends = begins[np.cumsum([0, *map(len, _WORD.findall(text))])]
+            merged, left = self._merged(symbols, word_ends)
+            ids = merged.astype(self.dtype)
+            counts[simple] = np.diff(np.cumsum(np.append(0, left))[np.searchsorted(word_ends, chunk_ends)], prepend=0)
+        if not simple.all():
+            rest = np.flatnonzero(~simple)
+            own = [self.tokenizer.encode(new[i], add_special_tokens=False).ids for i in rest.tolist()]
+            at = (np.cumsum(counts) - counts)[rest]
+            counts[rest] = [*map(len, own)]
+            ids = np.insert(ids, np.repeat(at, counts[rest]), np.array([*chain.from_iterable(own)], self.dtype))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _merged(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given as bytes and where each begins and ends, and how many each has."""
+        ids, last = self.inner[symbols], ends[1:] - 1
+        ids[last] = self.final[symbols[last]]
+        return self.merges.merged(ids, np.diff(ends))
 
     def shrink(self, most: int) -> None:
         """Leaves the chunks that came first, which are the common ones."""
         if len(self) > most:
-            first = list(islice(self.items(), most))
+            first = [*islice(self, most)]
             self.clear()
-            self.update(first)
+            self.update(zip(first, range(most), strict=True))
+            self.starts, self.counts = self.starts[:most].copy(), self.counts[:most].copy()
+            self.pool = self.pool[: int(self.counts.sum())].copy()
+
+    def _encoded(self, lists: pa.ListArray) -> Iterator[np.ndarray]:
+        """The ids of each list of chunks."""
+        if len(self) >= CACHE_ENTRIES:
+            self.shrink(KEPT)
+        coded = lists.flatten().dictionary_encode()
+        self.fresh = []
+        chunks = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        if self.fresh:
+            self._learn(self.fresh)
+        numbers = numbers[coded.indices.to_numpy()]
+        counts = self.counts[numbers]
+        ids = merges.gathered(self.pool, self.starts[numbers], counts)
+        bounds = np.cumsum(np.append(0, counts))[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        yield from (ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
 
     def ids(self, texts: list[str], end: int | None) -> list[np.ndarray]:
-        last = b"" if end is None else np.array([end], self.dtype).tobytes()
-        get, out = self.__getitem__, []
-        for t in texts:
-            simple = self.words and _SIMPLE.fullmatch(t) and not any(s in t for s in self.special)
-            chunks = _WORD.findall(t.lower()) if simple else _CHUNK.findall(t)
-            out.append(np.frombuffer(b"".join(map(get, chunks)) + last, self.dtype))
+        last, out = np.array([] if end is None else [end], self.dtype), []
+        for part in merges.portions(texts):
+            whole = pa.array(part, pa.string())
+            simple = np.array([bool(self.words and _SIMPLE.fullmatch(t) and not any(s in t for s in self.special)) for t in part])
+            found = np.empty(len(part), object)
+            for own, cut in ((np.flatnonzero(simple), self._split), (np.flatnonzero(~simple), self._cut)):
+                for i, ids in zip(own.tolist(), self._encoded(cut(whole.take(pa.array(own)))) if len(own) else (), strict=True):
+                    found[i] = np.concatenate([ids, last])
+            out += found.tolist()
         return out
 
+    @staticmethod
+    def _split(texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(pc.utf8_lower(texts))
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.ListArray:
+        return pa.array(map(_CHUNK.findall, texts.to_pylist()), pa.list_(pa.string()))
+
 
 _TOKENIZERS: dict[str, ChunkIds] = {}
 

@@ -243,6 +243,50 @@ def test_chunks_encode_like_whole_texts():
         assert t.encode(x, add_special_tokens=False).ids == c.ids([x], None)[0].tolist()
 
 
+def test_new_words_of_many_texts_are_merged_together(monkeypatch):
+    """One call of the merges for all words of a portion that aren't known, with the library's ids, also where chunks have to go."""
+    from tokenizers import Tokenizer
+
+    path = tokens.path("word_bpe_49k.json")
+    t, c = Tokenizer.from_file(path), P.ChunkIds(open(path).read())
+    calls, merged = [], c.merges.merged
+    monkeypatch.setattr(c.merges, "merged", lambda *a: calls.append(1) or merged(*a))
+    rng = random.Random(5)
+    letters = [*"aeioustrnlTHEéèßŒſ0.,'’-", "tion", "ing", "'s", "ou"]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 20, 70])))
+    texts = [rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.choice([0, 1, 30]))) for _ in range(200)] + ["", " \n", "İx y", "a <|endoftext|> b"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in c.ids(texts, None)] == want
+    assert len(calls) <= 2  # of simple texts, and of the others
+    monkeypatch.setattr(P, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(P, "KEPT", 20)
+    monkeypatch.setattr(P.merges, "PORTION", 500)
+    assert [x.tolist() for x in c.ids(texts, 2)] == [[*x, 2] for x in want]
+    c.shrink(7)
+    assert len(c) == 7 and [x.tolist() for x in c.ids(texts, None)] == want
+
+
+def test_merges_against_one_at_a_time():
+    from lodestone.llm import merges
+
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (500, 2))})
+    rank = rng.integers(0, 60, len(pairs))  # several pairs have the same rank
+    made = rng.integers(0, 40, 60)
+    m = merges.Merges(*np.array(pairs).T, rank, made)
+    ranks = dict(zip(pairs, rank.tolist(), strict=True))
+    words = [rng.integers(0, 40, n).tolist() for n in rng.integers(1, 12, 300)]
+    want = []
+    for w in map(list, words):
+        while found := [(ranks[p], i) for i, p in enumerate(zip(w, w[1:], strict=False)) if p in ranks]:
+            r, i = min(found)
+            w[i : i + 2] = [int(made[r])]
+        want.append(w)
+    got, counts = m.merged(np.concatenate(words).astype(np.int32), np.array([*map(len, words)]))
+    assert counts.tolist() == [*map(len, want)] and got.tolist() == [x for w in want for x in w]
+    assert [x.tolist() for x in m.merged(np.zeros(0, np.int32), np.zeros(0, np.int64))] == [[], []]
+
+
 # 7
 
 
