@@ -38,24 +38,27 @@ def gathered(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 class Merges:
-    """Pairs of symbols with their ranks, the best one lowest, and what each rank makes of its pair.
+    """Pairs of symbols with their ranks, the best one lowest, and what becomes of each pair.
 
-    left, right, rank: one item a pair, no pair twice. made: the symbol of each rank. Symbols are numbers from 0 to below 2^31.
+    left, right, rank, made: one item a pair, no pair twice. Symbols and ranks are numbers from 0 to below 2^31; ranks have no large gaps.
     """
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray):
         bits = max(4, int(4 * len(left)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.ranks = np.full(1 << bits, _FREE), np.full(1 << bits, NONE, np.int32)
-        self.made = np.asarray(made, np.int32)
-        keys, rank = self._key(np.asarray(left), np.asarray(right)), np.asarray(rank, np.int32)
+        self.keys, self.ranks, self.results = np.full(1 << bits, _FREE), np.full(1 << bits, NONE, np.int32), np.full(1 << bits, -1, np.int32)
+        keys, rank, made = self._key(np.asarray(left), np.asarray(right)), np.asarray(rank, np.int32), np.asarray(made, np.int32)
+        # What each rank makes; -1 where its pairs make different symbols.
+        self.made = np.full(rank.max(initial=0) + 1, -1, np.int32)
+        self.made[rank] = made
+        self.made[rank[self.made[rank] != made]] = -1
         at = self._slot(keys)
         while len(keys):
             free = np.flatnonzero(self.keys[at] == _FREE)
             self.keys[at[free]] = keys[free]
             there = self.keys[at] == keys
-            self.ranks[at[there]] = rank[there]
-            keys, rank, at = keys[~there], rank[~there], (at[~there] + 1) & self.last
+            self.ranks[at[there]], self.results[at[there]] = rank[there], made[there]
+            keys, rank, made, at = keys[~there], rank[~there], made[~there], (at[~there] + 1) & self.last
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -66,17 +69,20 @@ class Merges:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair."""
+        return self._found(left, right, self.ranks, NONE)
+
+    def _found(self, left: np.ndarray, right: np.ndarray, values: np.ndarray, none: int) -> np.ndarray:
         keys = self._key(left, right).ravel()
         at = self._slot(keys)
         held = self.keys[at]
-        out = np.where(held == keys, self.ranks[at], NONE)
+        out = np.where(held == keys, values[at], none)
         rest = np.flatnonzero((held != keys) & (held != _FREE))
         at = at[rest]
         while len(rest):
             at = (at + 1) & self.last
             held = self.keys[at]
             own = held == keys[rest]
-            out[rest[own]] = self.ranks[at[own]]
+            out[rest[own]] = values[at[own]]
             on = ~own & (held != _FREE)
             rest, at = rest[on], at[on]
         return out.reshape(left.shape)
@@ -120,7 +126,10 @@ class Merges:
         stays, paired = np.ones(now.shape, bool), np.ones(rank.shape, bool)
         stays[each, best + 1] = False
         paired[each, best] = False
-        now[each, best] = self.made[low]
+        made = self.made[low]
+        if len(tied := np.flatnonzero(made < 0)):
+            made[tied] = self._found(now[tied, best[tied]], now[tied, best[tied] + 1], self.results, -1)
+        now[each, best] = made
         now, rank = now[stays].reshape(n, width - 1), rank[paired].reshape(n, width - 2)
         before, behind = np.flatnonzero(best > 0), np.flatnonzero(best < width - 2)
         i, j = best[before], best[behind]

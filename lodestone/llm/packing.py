@@ -102,7 +102,7 @@ class ChunkIds(dict):
         # The ids of each byte, inside a word and at its end.
         self.inner, self.final = (np.array([ids[c + x] for c in self.letters], np.int32) for x in ("", suffix))
         left, right = (np.array([ids[p[i]] for p in pairs], np.int64) for i in (0, 1))
-        return merges.Merges(left, right, np.arange(len(pairs)), np.array([ids[x] for x in made], np.int64))
+        return merges.Merges(left, right, np.arange(len(pairs)), np.array([ids[x] for x in made]))
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self)

@@ -8,7 +8,7 @@ projected to a span of source bytes.
 
 Encoding is local to chunks: a text is cut only between two characters that stand
 side by side in no piece, so no merge can cross a cut and the result is that of the
-whole text. Chunks repeat, so their pieces are kept in a bounded cache.
+whole text. Chunks repeat, so their pieces are kept in a bounded cache; those of many texts that it doesn't hold are merged together.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice, repeat
 from operator import add
 
 import numpy as np
@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import merges
+
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-#: Chunks kept by a worker, and the longest one kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Chunks kept by a worker, those that stay when it has so many, and the longest one kept.
+CACHE_ENTRIES, KEPT, CACHE_CHARS = 300_000, 60_000, 48
 #: From this many symbols on, merges go through a heap.
 HEAP_FROM = 160
 NONE = float("-inf")
@@ -124,11 +126,31 @@ class PieceCodec:
         spaced = all(a == SPACE for a, b in self.joined if b == SPACE)
         lined = all("\n" not in x for x in self.joined)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if spaced else re.compile("(?s).+")
+        self.merges = self._merges()
         self.cache = _Chunks(self)
         #: What an id stands for; none for the bytes of longer characters, which have to be seen together.
         self.surfaces = [chr(b) if (b := self.byte_of.get(i, 128)) < 128 else None if t == BYTE else self.unk_surface if t == UNKNOWN else "" if t == CONTROL else p.replace(SPACE, " ") for i, (p, _, t) in enumerate(self.pieces)]
         self.plain = self.map is None and self.escape and not self.squeeze and self.dummy
 
+    def _merges(self) -> merges.Merges | None:
+        """Merges by the numbers of symbols: ids of pieces, then characters that are in pieces alone, then one number for all other characters. None for a model without pieces."""
+        if not self.score:
+            return None
+        ranks = {s: r for r, s in enumerate(sorted({*self.score.values()}, reverse=True))}
+        symbols = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p if c not in self.ids}):
+            symbols[c] = len(self.pieces) + len(symbols) - len(self.ids)
+        others = len(self.pieces) + len(symbols) - len(self.ids)
+        single = {ord(c): n for c, n in symbols.items() if len(c) == 1}
+        self.symbol = np.full(max(single) + 2, others, np.int32)
+        self.symbol[[*single]] = [*single.values()]
+        #: Source bytes of each symbol: a space for each mark.
+        self.lengths = np.zeros(others + 1, np.int32)
+        self.lengths[[*symbols.values()]] = [len(p.encode()) - 2 * p.count(SPACE) for p in symbols]
+        get = symbols.get
+        pairs = [(a, b, ranks[s], self.ids[p]) for p, s in self.score.items() for i in range(1, len(p)) if (a := get(p[:i])) is not None and (b := get(p[i:])) is not None]
+        return merges.Merges(*np.array(pairs, np.int64).reshape(-1, 4).T)
+
     # Normalisation
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
@@ -241,12 +263,17 @@ class PieceCodec:
                 ends.append(starts[at])
         return ids, begins, ends
 
-    def aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """encode() in arrays, and the ids in decimal joined by commas. Where normalisation only marks spaces, chunks carry the source bytes of their pieces."""
-        if not self.plain or SPACE in text or not text:
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text whose normalisation only marks spaces; none for other texts."""
+        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if self.plain and text and SPACE not in text else []
+
+    def aligned(self, text: str, chunks: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """encode() in arrays, and the ids in decimal joined by commas. chunks: those of the text, which carry the source bytes of their pieces."""
+        chunks = self.chunks(text) if chunks is None else chunks
+        if not chunks:
             ids, begins, ends = (np.array(x, kind) for x, kind in zip(self.encode(text), (np.int32, np.int64, np.int64), strict=True))
             return ids, begins, ends, ",".join(map(str, ids.tolist()))
-        listed, ids, sizes = zip(*map(self.cache.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))), strict=True)
+        listed, ids, sizes = zip(*map(self.cache.__getitem__, chunks), strict=True)
         ids = np.frombuffer(b"".join(ids), np.int32)
         sizes = np.frombuffer(b"".join(sizes), np.int32).astype(np.int64)
         sizes[0] -= 1  # the space put in front is in no source
@@ -254,9 +281,16 @@ class PieceCodec:
         own = np.maximum.accumulate(np.where(sizes > 0, np.arange(len(sizes)), 0))  # of a character in bytes, the first id has the span of all
         return ids, (at - sizes)[own], at[own], ",".join(listed)
 
-    def digested(self, text: str) -> tuple[int, str, str, int]:
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
+        """digested() of each text; chunks that are new are worked out together."""
+        for part in merges.portions(texts):
+            chunks = [*map(self.chunks, part)]
+            self.cache.learn(chain.from_iterable(chunks))
+            yield from map(self.digested, part, chunks)
+
+    def digested(self, text: str, chunks: list[str] | None = None) -> tuple[int, str, str, int]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of what decode() makes of them, CRC-32 of the begins and ends of their source spans (64-bit numbers)."""
-        ids, begins, ends, listed = self.aligned(text)
+        ids, begins, ends, listed = self.aligned(text, chunks)
         decoded = self.decode(ids.tolist())
         spans = zlib.crc32(ends.tobytes(), zlib.crc32(begins.tobytes()))
         return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), spans
@@ -309,11 +343,40 @@ def _utf8(data: bytes) -> str:
 
 
 class _Chunks(dict):
-    """Chunk -> (ids in decimal joined by commas, ids, source bytes of each: a space for each mark), the last two as bytes; emptied when full."""
+    """Chunk -> (ids in decimal joined by commas, ids, source bytes of each: a space for each mark), the last two as bytes; when full, those that came first stay."""
 
     def __init__(self, codec: PieceCodec):
         self.codec = codec
         self.decimal = [str(i) for i in range(len(codec.pieces))]
+        self.digits = np.array([len(x) for x in self.decimal] or [0])
+
+    def shrink(self) -> None:
+        if len(self) >= CACHE_ENTRIES:
+            first = [*islice(self.items(), KEPT)]
+            self.clear()
+            self.update(first)
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Adds what it doesn't hold of these, but for chunks with characters that are no pieces."""
+        codec = self.codec
+        if codec.merges is None:
+            return
+        self.shrink()
+        new = [c for c in dict.fromkeys(chunks) if c not in self and len(c) <= CACHE_CHARS]
+        if not new:
+            return
+        points = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+        ids, counts = codec.merges.merged(codec.symbol[np.minimum(points, len(codec.symbol) - 1)], np.fromiter(map(len, new), np.int64, len(new)))
+        ends = np.cumsum(counts)
+        known = np.logical_and.reduceat(ids < len(self.decimal), ends - counts)
+        raw, sizes = ids.tobytes(), codec.lengths[ids].tobytes()
+        shown = np.minimum(ids, len(self.decimal) - 1)
+        listed, comma = ",".join(map(self.decimal.__getitem__, shown.tolist())), np.cumsum(self.digits[shown] + 1)
+        i = a = 0
+        for c, own, j, b in zip(new, known.tolist(), (4 * ends).tolist(), comma[ends - 1].tolist(), strict=True):
+            if own:
+                self[c] = listed[a : b - 1], raw[i:j], sizes[i:j]
+            i, a = j, b
 
     def __missing__(self, chunk: str) -> tuple[str, bytes, bytes]:
         ids, sizes = self.codec.chunk(chunk)
@@ -326,8 +389,7 @@ class _Chunks(dict):
             sizes = own
         value = (",".join(map(self.decimal.__getitem__, ids)), array("i", ids).tobytes(), array("i", sizes).tobytes())
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
+            self.shrink()
             self[chunk] = value
         return value
 
@@ -396,7 +458,7 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         c = codec(model.value)
         for batch in batches:
-            found = [c.digested(x or "") for x in batch.column(1).to_pylist()]
+            found = [*c.digests([x or "" for x in batch.column(1).to_pylist()])]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 

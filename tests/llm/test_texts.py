@@ -272,15 +272,15 @@ def test_merges_against_one_at_a_time():
     rng = np.random.default_rng(4)
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (500, 2))})
     rank = rng.integers(0, 60, len(pairs))  # several pairs have the same rank
-    made = rng.integers(0, 40, 60)
+    made = np.where(rank % 3, rng.integers(0, 40, len(pairs)), rank % 40)  # of some, all make the same symbol
     m = merges.Merges(*np.array(pairs).T, rank, made)
-    ranks = dict(zip(pairs, rank.tolist(), strict=True))
+    ranks, makes = dict(zip(pairs, rank.tolist(), strict=True)), dict(zip(pairs, made.tolist(), strict=True))
     words = [rng.integers(0, 40, n).tolist() for n in rng.integers(1, 12, 300)]
     want = []
     for w in map(list, words):
         while found := [(ranks[p], i) for i, p in enumerate(zip(w, w[1:], strict=False)) if p in ranks]:
-            r, i = min(found)
-            w[i : i + 2] = [int(made[r])]
+            _, i = min(found)
+            w[i : i + 2] = [makes[w[i], w[i + 1]]]
         want.append(w)
     got, counts = m.merged(np.concatenate(words).astype(np.int32), np.array([*map(len, words)]))
     assert counts.tolist() == [*map(len, want)] and got.tolist() == [x for w in want for x in w]
@@ -459,6 +459,29 @@ def test_pieces_like_the_library(spark, edge, empty):
     assert C.round_trip(empty, path).count() == C.encode(empty, path).count() == 0
 
 
+def test_new_chunks_of_many_texts_are_merged_together(monkeypatch):
+    """No chunk of known characters goes through the merges of one alone; the results are the library's and those of one at a time, also where chunks have to go."""
+    import sentencepiece
+
+    path = tokens.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    one, c = C.PieceCodec(C._read(path)), C.PieceCodec(C._read(path))
+    alone, merged = [], c.merged
+    monkeypatch.setattr(c, "merged", lambda chunk: alone.append(chunk) or merged(chunk))
+    rng = random.Random(6)
+    letters = [*"aeioustrnlTHEéè0.,'", "aaa", "tion", "ing", "ou", "  ", "     "]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 9]))) for _ in range(rng.choice([0, 1, 40]))) for _ in range(150)]
+    want = [one.digested(x) for x in texts]
+    assert [*c.digests(texts)] == want and not [x for x in alone if len(x) <= C.CACHE_CHARS]
+    assert [(n, h) for n, h, _, _ in want] == [(len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for i in map(sp.encode, texts)]
+    monkeypatch.setattr(C, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(C, "KEPT", 10)
+    monkeypatch.setattr(C.merges, "PORTION", 300)
+    texts += ["", "😀 中x", "▁a", "a\nb", "x" * 200, "\ue000é"]
+    assert [*c.digests(texts)] == [*want, *map(one.digested, texts[150:])]
+    assert [n for n, *_ in c.digests(texts)] == [len(sp.encode(x)) for x in texts]
+
+
 def test_spans_cover_the_source():
     c = C.PieceCodec(C._read(tokens.path("piece_bpe_32k.model")))
     for x in ("Hello  world", " é中😀\nok", "▁a ▁", "a" * 300):
