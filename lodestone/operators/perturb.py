@@ -124,22 +124,32 @@ def with_detail(text: Column, details: list[str], key: Column) -> Column:
     return F.concat(chosen(F.array(*map(F.lit, details)), chance(key, "front")), F.lit(" "), text)
 
 
-def battery(df: DataFrame, id_col: str, text_col: str, structural_pairs: dict[str, list[tuple[str, str]]], names: dict[str, str], details: list[str], vector) -> DataFrame:
+def battery(df: DataFrame, id_col: str, text_col: str, structural_pairs: dict[str, list[tuple[str, str]]], names: dict[str, str], details: list[str], vector, joined=None) -> DataFrame:
     """id, structural, kind, distance: how far each perturbation moves each text that it changes.
 
     structural_pairs: by kind, phrases and what takes their place (all occurrences; each phrase that a text holds is a perturbation of its own). Surface ones are a change of all
     names, and each detail at the end. vector: a Column of numbers for a Column of texts; distances are those of the cosine. Texts that a perturbation leaves as they are have no row for it.
+    joined: where there is one, the vector of two texts with a space between them, as a Column for the Columns of their vectors; a text with a detail then isn't gone through again.
     """
     kinds = [(True, k, F.replace(F.col("text"), F.lit(a), F.lit(b))) for k, pairs in structural_pairs.items() for a, b in pairs]
     renamed_text = F.col("text")
     for a, b in names.items():
         renamed_text = F.replace(renamed_text, F.lit(a), F.lit(b))
-    kinds += [(False, "name_change", renamed_text)] + [(False, "detail", F.concat("text", F.lit(f" {d}"))) for d in details]
+    kinds += [(False, "name_change", renamed_text)]
+    if joined is None:
+        kinds += [(False, "detail", F.concat("text", F.lit(f" {d}"))) for d in details]
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The vector of a text is worked out once for all of its variants, and none for a variant that is the text (expressions above an explode are not inlined).
     variants = F.array(*[F.when(x != F.col("text"), x) for _, _, x in kinds])
-    rows = rows.select("id", F.explode(F.array(F.struct(vector(F.col("text")).alias("x"), variants.alias("variants")))).alias("v"))
-    items = F.array(*[F.struct(F.lit(s).alias("structural"), F.lit(k).alias("kind"), F.get("v.variants", F.lit(i)).alias("variant")) for i, (s, k, _) in enumerate(kinds)])
-    rows = rows.select("id", "v.x", F.explode(F.filter(items, lambda p: p["variant"].isNotNull())).alias("p"))
-    rows = rows.select("id", "p.structural", "p.kind", "x", F.explode(F.array(vector(F.col("p.variant")))).alias("y"))
+    rows = rows.select("id", F.explode(F.array(F.struct(vector(F.col("text")).alias("x"), variants.alias("variants"), F.col("text").isNotNull().alias("there")))).alias("v"))
+    items = F.array(*[F.struct(F.lit(s).alias("structural"), F.lit(k).alias("kind"), F.get("v.variants", F.lit(i)).alias("variant"), F.lit(None).cast("array<double>").alias("y")) for i, (s, k, _) in enumerate(kinds)])
+    items = F.filter(items, lambda p: p["variant"].isNotNull())
+    y = vector(F.col("p.variant"))
+    if joined is not None:
+        none = F.lit(None).cast("string").alias("variant")
+        ends = F.array(*[F.struct(F.lit(False).alias("structural"), F.lit("detail").alias("kind"), none, joined(F.col("v.x"), vector(F.lit(d))).cast("array<double>").alias("y")) for d in details])
+        items = F.concat(items, F.when(F.col("v.there"), ends).otherwise(F.slice(ends, 1, 0)))
+        y = F.when(F.col("p.variant").isNull(), F.col("p.y")).otherwise(y)
+    rows = rows.select("id", "v.x", F.explode(items).alias("p"))
+    rows = rows.select("id", "p.structural", "p.kind", "x", F.explode(F.array(y)).alias("y"))
     return rows.select("id", "structural", "kind", V.cosine_distance(F.col("x"), F.col("y")).alias("distance"))

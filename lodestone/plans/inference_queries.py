@@ -152,7 +152,7 @@ v AS MATERIALIZED (SELECT id, structural, kind, {vector("x")} AS x, {vector("y")
 
 
 def _battery(t):
-    return P.battery(t("documents"), "doc_id", "text", _PAIRS, _SWAPPED_NAMES, _TAILS, V.hashed_words)
+    return P.battery(t("documents"), "doc_id", "text", _PAIRS, _SWAPPED_NAMES, _TAILS, V.hashed_words, V.add)
 
 
 @query("PT6 ST1 AG18", f"WITH {_battery_sql()} SELECT structural, kind, count(*) AS n, round(avg(distance), 8) AS mean_distance, round(stddev_pop(distance), 8) AS deviation FROM d GROUP BY ALL")

@@ -258,6 +258,26 @@ def test_battery_takes_the_vector_of_a_text_once(spark):
     assert asked.value == len(found) + 4
 
 
+def test_battery_adds_the_vectors_of_details(spark):
+    """A text is not gone through again for a detail behind it; the rows are those of the vectors of whole texts."""
+    from lodestone.functions import vectors as V
+    from lodestone.operators import perturb
+
+    texts = spark.createDataFrame([(1, "b of the a"), (2, "of  a\n"), (3, "x"), (4, None), (5, ""), (6, " ")], "id int, text string")
+    args = (texts, "id", "text", {"k": [(" the ", " "), ("of", "from")]}, {"b": "c"}, ["d", "e f"])
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(perturb.battery(*args, V.hashed_words, V.add)) == rows(perturb.battery(*args, V.hashed_words))
+    asked = spark.sparkContext.accumulator(0)
+
+    def lengths(text):
+        if text not in (None, "d", "e f"):
+            asked.add(1)
+        return None if text is None else [float(len(text)), 1.0]
+
+    out = perturb.battery(*args, F.udf(lengths, "array<double>"), V.add).collect()
+    assert len(out) == 4 + 2 * 5 and asked.value == 5 + 4
+
+
 def test_hashed_words(spark):
     import hashlib
 
