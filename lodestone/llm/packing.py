@@ -17,7 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,26 @@ _NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: The same split for texts of printable ASCII and Latin letters, in lower case; all of these are in NFC, and their lower case too (that of İ is not among them).
 _SIMPLE = re.compile("[\n\t\r -~À-ÖØ-öø-įı-ſ]*")
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \n\t\ra-z0-9ß-öø-ſ]+")
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+#: The kind of each byte of such texts, whose only white space is the blank: the bytes of letters outside ASCII are from 128 on.
+_KINDS = np.array([_SPACE if b == 32 else _DIGIT if chr(b).isdigit() else _LETTER if b >= 128 or chr(b).isalpha() else _SIGN for b in range(128)] + [_LETTER] * 128, np.uint8)
+
+
+def _word_begins(data: np.ndarray) -> np.ndarray:
+    """Where words begin in the bytes of such a text: a flag for each byte."""
+    kinds = _KINDS[data]
+    before = np.append(np.uint8(_SPACE), kinds[:-1])
+    begins = (kinds != _SPACE) & ((kinds != before) | (kinds == _DIGIT))
+    # An apostrophe that doesn't continue a run of signs takes the letters of 's and the like with it.
+    at = np.flatnonzero(begins & (data == ord("'")))
+    first, second = (np.append(data, np.zeros(2, np.uint8))[at + i] for i in (1, 2))
+    two = ((second == ord("e")) & ((first == ord("r")) | (first == ord("v")))) | ((first == ord("l")) & (second == ord("l")))
+    one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    at, size = at[one | two], np.where(one, 2, 3)[one | two]
+    begins[at + 1] = False
+    at = (at + size)[at + size < len(data)]
+    begins[at] = kinds[at] != _SPACE
+    return begins
 
 
 def _byte_letters() -> list[str]:
@@ -62,8 +81,8 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-class ChunkIds(dict):
-    """Chunk of a text -> its number among those known, and the token ids of each number; when full, the chunks that came first stay.
+class ChunkIds:
+    """Chunks of texts that are known, and the token ids of each; when full, the chunks that came first stay.
 
     Chunks lie between white space. Where the tokenizer is of the kind above, the words of simple chunks go to its merges without its other steps,
     those of all new chunks together.
@@ -87,7 +106,7 @@ class ChunkIds(dict):
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = _byte_letters()
         self.merges = self._merges(spec["model"]) if self.words else None
-        self.fresh: list[str] = []
+        self.known = pa.array([], pa.string())
         self.starts, self.counts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _merges(self, model: dict) -> merges.Merges | None:
@@ -104,35 +123,34 @@ class ChunkIds(dict):
         left, right = (np.array([ids[p[i]] for p in pairs], np.int64) for i in (0, 1))
         return merges.Merges(left, right, np.arange(len(pairs)), np.array([ids[x] for x in made]))
 
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = len(self)
-        self.fresh.append(chunk)
-        return number
+    def __len__(self) -> int:
+        return len(self.known)
 
     def _simple(self, text: str) -> bool:
         return bool(self.merges and _SIMPLE.fullmatch(text)) and text == text.lower() and not any(s in text for s in self.special)
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds the ids of new chunks, in their order."""
-        simple = np.full(len(new), True) if self._simple(" ".join(new)) else np.fromiter(map(self._simple, new), bool, len(new))
-        simple &= np.fromiter(map(len, new), np.int64, len(new)) <= LONGEST
+    def _learn(self, new: pa.StringArray) -> None:
+        """Adds new chunks and their ids, in their order."""
+        joined = _joined(new)
+        simple = np.full(len(new), True) if self._simple(joined.as_py()) else np.fromiter(map(self._simple, new.to_pylist()), bool, len(new))
+        simple &= pc.utf8_length(new).to_numpy() <= LONGEST
         counts, ids = np.zeros(len(new), np.int64), np.zeros(0, self.dtype)
         if simple.any():
-            text = " ".join(new if simple.all() else compress(new, simple))
-            data = np.frombuffer(text.encode(), np.uint8)
-            symbols = data[data != 32]
-            chunk_ends = np.concatenate([np.flatnonzero(data == 32), [len(data)]]) - np.arange(simple.sum())
-            begins = np.append(np.flatnonzero((symbols & 0xC0) != 0x80), len(symbols))  # of characters
-            word_ends = begins[np.cumsum([0, *map(len, _WORD.findall(text))])]
+            data = np.frombuffer((joined if simple.all() else _joined(new.filter(pa.array(simple)))).as_buffer(), np.uint8)
+            blank = data == 32
+            chunk_ends = np.append(np.flatnonzero(blank), len(data)) - np.arange(simple.sum())
+            symbols = data[~blank]
+            word_ends = np.append(np.flatnonzero(_word_begins(data)[~blank]), len(symbols))
             merged, left = self._merged(symbols, word_ends)
             ids = merged.astype(self.dtype)
             counts[simple] = np.diff(np.cumsum(np.append(0, left))[np.searchsorted(word_ends, chunk_ends)], prepend=0)
         if not simple.all():
             rest = np.flatnonzero(~simple)
-            own = [self.tokenizer.encode(new[i], add_special_tokens=False).ids for i in rest.tolist()]
+            own = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in new.take(pa.array(rest)).to_pylist()]
             at = (np.cumsum(counts) - counts)[rest]
             counts[rest] = [*map(len, own)]
             ids = np.insert(ids, np.repeat(at, counts[rest]), np.array([*chain.from_iterable(own)], self.dtype))
+        self.known = pa.concat_arrays([self.known, new])
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.pool = np.concatenate([self.pool, ids])
@@ -146,9 +164,7 @@ class ChunkIds(dict):
     def shrink(self, most: int) -> None:
         """Leaves the chunks that came first, which are the common ones."""
         if len(self) > most:
-            first = [*islice(self, most)]
-            self.clear()
-            self.update(zip(first, range(most), strict=True))
+            self.known = self.known.take(pa.array(np.arange(most)))
             self.starts, self.counts = self.starts[:most].copy(), self.counts[:most].copy()
             self.pool = self.pool[: int(self.counts.sum())].copy()
 
@@ -157,11 +173,12 @@ class ChunkIds(dict):
         if len(self) >= CACHE_ENTRIES:
             self.shrink(KEPT)
         coded = lists.flatten().dictionary_encode()
-        self.fresh = []
-        chunks = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        if self.fresh:
-            self._learn(self.fresh)
+        # Arrow looks all chunks up at once, without a Python string for each.
+        numbers = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = len(self) + np.arange(len(new))
+            self._learn(coded.dictionary.take(pa.array(new)))
         numbers = numbers[coded.indices.to_numpy()]
         counts = self.counts[numbers]
         ids = merges.gathered(self.pool, self.starts[numbers], counts)
@@ -189,6 +206,11 @@ class ChunkIds(dict):
         return pa.array(map(_CHUNK.findall, texts.to_pylist()), pa.list_(pa.string()))
 
 
+def _joined(chunks: pa.StringArray) -> pa.StringScalar:
+    """Chunks with a blank between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), " ")[0]
+
+
 _TOKENIZERS: dict[str, ChunkIds] = {}
 
 
@@ -213,7 +235,7 @@ def _tokenized(shared, end: int):
                 part = batch.slice(at, 1000)
                 found = tokenizer.ids([x or "" for x in part.column(2).to_pylist()], end)
                 for ids in found:
-                    frequency[np.unique(ids)] += 1
+                    frequency[ids] += 1  # an id that comes more than once counts once
                 at_row = pa.array(np.arange(row, row + part.num_rows))
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays([at_row, part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([packer.compress(x.tobytes()) for x in found], pa.binary())], names)
@@ -237,17 +259,50 @@ def _weights(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
 
 
+def portions(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of documents with up to SHARD tokens together and 2^16 in number, or one document."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        end = max(at + 1, min(at + (1 << 16), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHARD, "right"))))
+        yield at, end
+        at = end
+
+
+def counted(docs: list[np.ndarray], by_term: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, number) for all different ids of each document, in the order of documents and ids, or of ids and documents. One sort of all, of the narrowest numbers that hold both."""
+    ids = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
+    doc = np.repeat(np.arange(len(docs)), [*map(len, docs)])
+    kind = np.dtype(np.uint32 if ids.dtype.itemsize == 2 and len(docs) <= 1 << 16 else np.uint64)
+    half, low = kind.type(kind.itemsize * 4), (1 << kind.itemsize * 4) - 1
+    high, rest = (ids, doc) if by_term else (doc, ids)
+    keys = (high.astype(kind) << half) | rest.astype(kind)
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    number, keys = np.diff(first, append=len(keys)), keys[first]
+    a, b = (keys >> half).astype(np.int64), (keys & kind.type(low)).astype(np.int64)
+    return (b, a, number) if by_term else (a, b, number)
+
+
 def leading_terms(docs: list[np.ndarray], idf: np.ndarray, mean: float, shared: np.ndarray) -> np.ndarray:
     """The three heaviest terms of each document, of the shared ones, the smaller id of equals first; -1 where there is none."""
     out = np.full((len(docs), 3), -1, np.int64)
-    for i, ids in enumerate(docs):
-        term, tf = np.unique(ids, return_counts=True)
+    for begin, end in portions(np.array([*map(len, docs)], np.int64)):
+        doc, term, tf = counted(docs[begin:end])
         on = shared[term]
-        term, tf = term[on].astype(np.int64), tf[on]
-        weight = _weights(idf[term], tf, np.full(len(term), len(ids)), mean)
-        best = np.argsort(-weight, kind="stable")[:3] if len(term) < 64 else np.flatnonzero(weight >= np.partition(weight, -3)[-3])
-        best = best[np.lexsort((term[best], -weight[best]))][:3]
-        out[i, : len(best)] = term[best]
+        doc, term, tf = doc[on], term[on], tf[on]
+        weight = _weights(idf[term], tf, np.array([*map(len, docs[begin:end])], np.int64)[doc], mean)
+        for k in range(3):
+            if not len(doc):
+                break
+            # The heaviest one of each document that has any left, and the first of equals.
+            starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            most = np.repeat(np.maximum.reduceat(weight, starts), np.diff(starts, append=len(doc)))
+            at = np.flatnonzero(weight == most)
+            at = at[np.append(True, doc[at[1:]] != doc[at[:-1]])]
+            out[begin + doc[at], k] = term[at]
+            left = np.ones(len(doc), bool)
+            left[at] = False
+            doc, term, weight = doc[left], term[left], weight[left]
     return out
 
 
@@ -305,19 +360,13 @@ class Shard:
         self.docs, self.window = docs, window
         self.start = np.array([len(d) // window * window for d in docs], np.int64)  # whole windows are cut off in front
         self.length = np.array([len(d) for d in docs], np.int64)
-        found = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in found]
-        term = np.concatenate([t for t, _ in found]).astype(np.int64)
-        tf = np.concatenate([c for _, c in found]).astype(np.float64)
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in found])
-        order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
-        self.weight = _weights(idf[term], tf, self.length[doc], mean)[order]
-        self.bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.doc, term, tf = counted(docs, by_term=True)
+        self.weight = _weights(idf[term], tf, self.length[self.doc], mean)
+        self.bounds = np.searchsorted(term, np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents of the shard for the ids of the seed."""
-        terms = self.terms[seed].astype(np.int64)
+        terms = counted([self.docs[seed]])[1]
         begin, sizes = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return np.bincount(self.doc[at], self.weight[at], len(self.docs))

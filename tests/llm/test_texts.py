@@ -266,6 +266,40 @@ def test_new_words_of_many_texts_are_merged_together(monkeypatch):
     assert len(c) == 7 and [x.tolist() for x in c.ids(texts, None)] == want
 
 
+def test_words_begin_where_the_split_has_them():
+    import re
+
+    word = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ a-z0-9ß-öø-ſ]+")
+    rng = random.Random(8)
+    parts = [*"abselvrtmd09éſß'' ;.-", "'s", "'ll", "'re", "'ve", "'l", "'r", "  "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 3, 12])))
+        want = [len(text[: m.start()].encode()) for m in word.finditer(text)]
+        assert np.flatnonzero(P._word_begins(np.frombuffer(text.encode(), np.uint8))).tolist() == want, text
+
+
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_terms_of_many_documents_are_counted_in_one_sort(monkeypatch, dtype):
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 50, rng.integers(0, 70)).astype(dtype) for _ in range(300)]
+    want = [(i, int(t), int(n)) for i, d in enumerate(docs) for t, n in zip(*np.unique(d, return_counts=True), strict=True)]
+    assert [*zip(*(x.tolist() for x in P.counted(docs)), strict=True)] == want
+    assert [*zip(*(x.tolist() for x in P.counted(docs, by_term=True)), strict=True)] == sorted(want, key=lambda x: (x[1], x[0]))
+    assert [len(x) for x in P.counted([])] == [0, 0, 0]
+    idf, shared = rng.integers(1, 4, 50).astype(float), np.arange(50) % 5 > 0
+    best = []
+    for d in docs:
+        terms, tf = np.unique(d, return_counts=True)
+        weight = idf[terms] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / 30.0))
+        best.append([t for _, t in sorted((-w, int(t)) for w, t in zip(weight.tolist(), terms, strict=True) if shared[t])[:3]])
+    calls, counted = [], P.counted
+    monkeypatch.setattr(P, "counted", lambda *a: calls.append(1) or counted(*a))
+    found = P.leading_terms(docs, idf, 30.0, shared)
+    assert [[t for t in r if t >= 0] for r in found.tolist()] == best and len(calls) == 1
+    monkeypatch.setattr(P, "SHARD", 100)
+    assert P.leading_terms(docs, idf, 30.0, shared).tolist() == found.tolist() and len(calls) > 50
+
+
 def test_merges_against_one_at_a_time():
     from lodestone.llm import merges
 
