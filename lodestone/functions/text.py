@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -126,6 +127,32 @@ _SANSKRIT = "\\u0951-\\u0954\\u0900-\\u0902"
 _PALI = ("\u1e43\u1e45\u00f1\u1e6d\u1e0d\u1e47\u1e37\u0101\u012b\u016b", "mnntdnlaiu")
 
 
+# Language -> form, what goes, and what is replaced by what.
+_FOLDS = {
+    "hebrew": ("NFKC", re.compile(f"[{_HEBREW[0]}]"), [*zip(*_HEBREW[1:], strict=True)]),
+    "aramaic": ("NFKC", re.compile(f"[{_HEBREW[0]}]"), [*zip(*_HEBREW[1:], strict=True)]),
+    "arabic": ("NFKC", re.compile(f"[{_ARABIC[0]}]"), [*zip(*_ARABIC[1:], strict=True)]),
+    "classical_chinese": ("NFKC", None, []),
+    "sanskrit": ("NFC", re.compile(f"[{_SANSKRIT}]"), []),
+    "pali": ("NFC", None, [*zip(*_PALI, strict=True)]),
+}
+
+
+def normalised(text: str, language: str | None) -> str:
+    """normalise() of one text, for Python functions that take it in anyway."""
+    if language not in _FOLDS:
+        return unicodedata.normalize("NFKC", text.lower())
+    form, drop, pairs = _FOLDS[language]
+    text = unicodedata.normalize(form, text)
+    if language == "pali":
+        text = text.lower()
+    if drop:
+        text = drop.sub("", text)
+    for old, new in pairs:  # no new letter is an old one
+        text = text.replace(old, new)
+    return text
+
+
 def normalise(text: Column, language: Column) -> Column:
     """Text made comparable by its language; others: NFKC of lower case."""
     cased = language.isin("hebrew", "aramaic", "arabic", "classical_chinese", "sanskrit", "pali")

@@ -78,10 +78,8 @@ def shipped_rows() -> list[tuple]:
 
 def _matched(t, spark):
     docs = t("documents").select("doc_id", language_of(F.col("doc_id")).alias("language"), "text")
-    # Rendered once: expressions above an explode are not inlined.
-    docs = docs.select("doc_id", "language", F.explode(F.array(rendered(F.col("text"), F.col("language"), F.col("doc_id"), shipped_rows()))).alias("text"))
-    docs = docs.withColumn("text", T.normalise(F.col("text"), F.col("language")))
-    return A.match_lexicon(docs, X.loaded(X.shipped(spark)), ["doc_id", "language"], F.col("text"), "language")
+    text = rendered(F.col("text"), F.col("language"), F.col("doc_id"), shipped_rows())
+    return docs.select("doc_id", "language", A.lexicon_matches(X.loaded(X.shipped(spark)), text, F.col("language"), T.normalised).alias("matches"))
 
 
 def _lexicon_sql() -> tuple[str, str]:

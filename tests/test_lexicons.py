@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicons as L
+from lodestone.functions import text as T
 from lodestone.operators import automaton as A
 from lodestone.sources import lexicons as X
 
@@ -70,6 +71,28 @@ def test_bonds_take_one_call_of_python_for_normalisation(spark):
     assert "pythonUDF0" in plan and "pythonUDF1" not in plan
 
 
+@pytest.mark.parametrize("name", ["lexicon_bonds", "lexicon_pattern_hits"])
+def test_one_worker_normalises_and_matches(spark, name):
+    """Texts go to Python once, and don't come back."""
+    pytest.importorskip("yaml")
+    from lodestone.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "InArrow" not in plan
+
+
+def test_lexicon_matches_are_those_of_normalised_texts(spark):
+    patterns = [(n, "bond", "CARE", p) for n, p in [("english", r"\bkill"), ("hebrew", "שלומ"), ("arabic", "رحمه"), ("pali", "dana"), ("sanskrit", "धम"), ("classical_chinese", "仁")]]
+    texts = ["KILL kill", "ﬁne kill", "שָׁלוֹם שלום", "رَحْمَة رحمة", "Dāna DĀNA dāna", "धंम धम", "仁 仁", "ΣΑΣ İ", "", None]
+    rows = [(10 * i + k, n, x) for i, n in enumerate([*X.LANGUAGES, "other", None]) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, language string, text string").repartition(3)
+    want = {r.id: r.matches for r in A.match_lexicon(df, patterns, ["id", "language"], T.normalise(F.col("text"), F.col("language")), "language").collect()}
+    got = {r.id: r.matches for r in df.select("id", A.lexicon_matches(patterns, F.col("text"), F.col("language"), T.normalised).alias("matches")).collect()}
+    assert got == want and len(got) == len(rows) and sum(m.n for ms in got.values() for m in ms) >= 10
+    forms = {r.id: r.x for r in df.select("id", T.normalise(F.col("text"), F.col("language")).alias("x")).collect()}
+    assert forms == {i: None if x is None else T.normalised(x, n) for i, n, x in rows}
+
+
 def test_files(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text("bond_patterns:\n  latin:\n    CARE: ['\\bserv', noce]\n    ODD: [x]\n  greek:\nhohfeld_patterns:\n  latin:\n    RIGHT: [ius]\n")
